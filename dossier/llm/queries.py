@@ -19,6 +19,14 @@ def tokenizer_files() -> tuple[str, str, str]:
     return *(public_tokenizers.path(name) for name in TOKENIZERS), public_tokenizers.PATTERN
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()))
+    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -32,6 +40,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    # a tree of files: source / thousand / hundred / document
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    return scan(docs).select("doc_id", "path", "licence", "origin", "score", "governed_by")
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_top_k, integer_components
 
@@ -39,16 +56,58 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_boilerplate
+
+    kept = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "source", F.col("n_lines").cast("bigint"), F.col("n_dropped").cast("bigint"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import ACCEPT, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", "quality_score", "content_score", "metadata_score", (F.col("quality_score") >= ACCEPT).alias("keep"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_language_id,
         op3_bpe_coding,
         op4_best_fit_packing,
+        op5_license_scan,
         op6_exact_topk,
+        op7_merkle_fingerprint,
+        op9_line_dedup,
+        op10_quality_classifier,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op9_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at
+            FROM documents
+        ), f AS (
+            SELECT source, trim(line, ' ') AS line, count(DISTINCT doc_id) AS pages FROM l WHERE trim(line, ' ') <> '' GROUP BY ALL
+        ), t AS (
+            SELECT source, count(*) AS total FROM documents GROUP BY source
+        ), b AS (
+            SELECT f.source, f.line FROM f JOIN t USING (source) WHERE pages >= 5 AND pages / total > 0.1
+        )
+        SELECT l.doc_id, l.source, count(*) AS n_lines, count(b.line) AS n_dropped,
+               sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (WHERE b.line IS NULL), '')) AS kept_sha256
+        FROM l LEFT JOIN b ON l.source = b.source AND trim(l.line, ' ') = b.line
+        GROUP BY l.doc_id, l.source
+    """,
     "op6_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
