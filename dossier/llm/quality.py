@@ -148,7 +148,7 @@ def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool: tup
             bad_n = max(1, round(each * (1 - good)))
             picked = np.concatenate([order[:bad_n], order[-max(1, each - bad_n) :]])
             guess = np.concatenate([np.zeros(bad_n), np.ones(len(picked) - bad_n)])
-            sure = np.abs(models[view].odds(pool[view][picked])) >= np.log(9)  # 0.9 or more
+            sure = models[view].odds(pool[view][picked]) * (2 * guess - 1) >= np.log(9)  # 0.9 or more
             picked, guess = picked[sure], guess[sure]
             own[other].append(pool[other][picked])
             marks[other].append(guess)

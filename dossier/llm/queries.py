@@ -62,6 +62,13 @@ def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup_passages
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_passages(docs, rewrite=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import drop_boilerplate
 
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_license_scan,
         op6_exact_topk,
         op7_merkle_fingerprint,
+        op8_substring_dedup,
         op9_line_dedup,
         op10_quality_classifier,
     )
