@@ -19,6 +19,13 @@ def tokenizer_files() -> tuple[str, str, str]:
     return *(public_tokenizers.path(name) for name in TOKENIZERS), public_tokenizers.PATTERN
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicate_classes
+
+    classes = near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, predict, train
 
@@ -87,6 +94,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_minhash_dedup,
         op2_language_id,
         op3_bpe_coding,
         op4_best_fit_packing,
