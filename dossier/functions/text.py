@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import FINANCIAL, SUFFIXES, TECHNICAL
 
@@ -14,7 +15,7 @@ from ..config import FINANCIAL, SUFFIXES, TECHNICAL
 UNICODE_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC; Spark has no such function."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -140,7 +141,7 @@ def repair_json(c: Column) -> Column:
     return F.when(ok(bare), bare).when(ok(found), found)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def balanced_object(text: pd.Series) -> pd.Series:
     """The first balanced object in a text; braces inside strings don't count."""
 

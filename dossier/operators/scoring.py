@@ -156,7 +156,7 @@ def apply_debate(parameters: DataFrame, adjustments: DataFrame) -> DataFrame:
     out = parameters.join(adjustments, ["proposal_id", "parameter"], "left")
     held = F.when(F.col("proposed").isNotNull(), F.least(F.greatest(F.col("proposed"), F.lit(0.0)), F.lit(100.0)))  # else least() would skip the null
     moves = F.col("score").isNotNull() & held.isNotNull() & (F.abs(held - F.col("score")) >= 0.5)
-    return out.withColumn("before", F.col("score")).withColumn("score", F.when(moves, held).otherwise(F.col("score"))).withColumn("moved", F.coalesce(moves, F.lit(False))).drop("proposed")
+    return out.withColumns({"before": F.col("score"), "score": F.when(moves, held).otherwise(F.col("score")), "moved": F.coalesce(moves, F.lit(False))}).drop("proposed")
 
 
 def score_label(status: Column, score: Column) -> Column:

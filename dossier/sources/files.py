@@ -9,7 +9,7 @@ from ..config import FORMATS, MAX_BYTES
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, content, size and the SHA-256 of the bytes, which is a file's identity."""
+    """path, name, content, size and the SHA-256 of the bytes, which is a file's identity. Spark's reader lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 

@@ -106,6 +106,6 @@ def latest_verdicts(stream: DataFrame, path: str, checkpoint: str):
 
 def file_intake(spark: SparkSession, path: str) -> DataFrame:
     """New files as they arrive: hashed, checked and grouped by folder; for ``foreachBatch`` with a join against known hashes."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("recursiveFileLookup", "true").load(path)
     named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.element_at(F.split("path", "/"), -2).alias("batch"), "content", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "modificationTime")
     return validate_files(named).withWatermark("modificationTime", LATE).dropDuplicatesWithinWatermark(["sha256"])
