@@ -6,6 +6,7 @@ failed is told apart from one without evidence.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -134,21 +135,20 @@ def risk_of(supplied: Column) -> Column:
     return F.when(supplied.isin(*RISKS), supplied).otherwise("Medium")
 
 
-def debate_triggers(parameters: DataFrame, pairs: DataFrame) -> DataFrame:
+def debate_triggers(parameters: DataFrame, pairs: Sequence[tuple]) -> DataFrame:
     """(proposal_id, reasons): why scores of one proposal look contradictory; only those with three scored parameters or more.
 
-    ``pairs`` (first, second) is a config table.
+    ``pairs`` are two parameters that must not lie far apart. A proposal has a handful of parameters; they are looked at together, in one shuffle.
     """
-    scored = parameters.where(F.col("score").isNotNull())
-    enough = scored.groupBy("proposal_id").agg(F.count("*").alias("n"), F.max("score").alias("high"), F.min("score").alias("low")).where("n >= 3")
-    spread = enough.where(F.col("high") - F.col("low") > SPREAD).select("proposal_id", F.lit("spread").alias("reason"))
-    flagged = parameters.where((F.col("score") >= HIGH_WITH_FLAG) & (F.col("red_flags") > 0)).select("proposal_id", F.concat(F.lit("flagged:"), F.col("parameter").cast("string")).alias("reason"))
-    a = scored.select("proposal_id", F.col("parameter").alias("first"), F.col("score").alias("a")).join(F.broadcast(pairs), "first")
-    b = scored.select("proposal_id", F.col("parameter").alias("second"), F.col("score").alias("b"))
-    apart = a.join(b, ["proposal_id", "second"]).where(F.abs(F.col("a") - F.col("b")) >= GAP)
-    apart = apart.select("proposal_id", F.concat(F.lit("apart:"), F.col("first").cast("string"), F.lit("-"), F.col("second").cast("string")).alias("reason"))
-    reasons = spread.unionAll(flagged).unionAll(apart).join(enough.select("proposal_id"), "proposal_id", "left_semi")
-    return reasons.groupBy("proposal_id").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
+    rows = parameters.groupBy("proposal_id").agg(F.collect_list(F.struct("parameter", "score", "red_flags")).alias("all"))
+    rows = rows.withColumn("scored", F.filter("all", lambda x: x["score"].isNotNull())).where(F.size("scored") >= 3)
+    scores = F.transform("scored", lambda x: x["score"])
+    by_name = F.map_from_entries(F.transform("scored", lambda x: F.struct(x["parameter"], x["score"])))
+    rows = rows.withColumn("spread", F.array_max(scores) - F.array_min(scores)).withColumn("by", by_name)
+    flagged = F.transform(F.filter("scored", lambda x: (x["score"] >= HIGH_WITH_FLAG) & (x["red_flags"] > 0)), lambda x: F.concat(F.lit("flagged:"), x["parameter"].cast("string")))
+    apart = [F.when(F.abs(F.try_element_at("by", F.lit(a)) - F.try_element_at("by", F.lit(b))) >= GAP, f"apart:{a}-{b}") for a, b in pairs]
+    reasons = F.array_sort(F.array_compact(F.concat(F.array(F.when(F.col("spread") > SPREAD, "spread"), *apart), flagged)))
+    return rows.select("proposal_id", reasons.alias("reasons")).where(F.size("reasons") > 0)
 
 
 def apply_debate(parameters: DataFrame, adjustments: DataFrame) -> DataFrame:

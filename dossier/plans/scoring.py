@@ -128,7 +128,7 @@ def r11_recommendation(a: Archive) -> DataFrame:
       UNION ALL SELECT x.proposal_id, 'apart:' || x.parameter || '-' || y.parameter FROM (VALUES {PAIRS}) c(a, b) JOIN s x ON x.parameter = c.a JOIN s y ON y.parameter = c.b AND x.proposal_id = y.proposal_id WHERE abs(x.score - y.score) >= 25)
     SELECT proposal_id, string_agg(reason, '|' ORDER BY reason) AS reasons FROM r SEMI JOIN e USING (proposal_id) GROUP BY 1""")
 def r12_debate_triggers(a: Archive) -> DataFrame:
-    pairs = a.spark.createDataFrame([(NUMBER[x], NUMBER[y]) for x, y in CONFLICT_PAIRS], "first int, second int")
+    pairs = [(NUMBER[x], NUMBER[y]) for x, y in CONFLICT_PAIRS]
     return R.debate_triggers(parameters(a), pairs).select("proposal_id", F.array_join("reasons", "|").alias("reasons"))
 
 

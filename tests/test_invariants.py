@@ -126,7 +126,7 @@ def test_adjustment_stays_in_its_band(spark):
 def test_debate(spark):
     schema = "proposal_id int, parameter string, score double, red_flags int"
     rows = [(1, "a", 90.0, 0), (1, "b", 50.0, 0), (1, "c", 60.0, 0), (2, "a", 75.0, 2), (2, "b", 74.0, 0), (2, "c", None, 0), (3, "a", 71.0, 1), (3, "b", 70.0, 0), (3, "c", 69.0, 0)]
-    pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "first string, second string")
+    pairs = [("a", "b"), ("b", "c")]
     got = {r.proposal_id: r.reasons for r in R.debate_triggers(spark.createDataFrame(rows, schema), pairs).collect()}
     assert got == {1: ["apart:a-b", "spread"], 3: ["flagged:a"]}
     moves = spark.createDataFrame([(1, "a", 120.0), (1, "b", 50.3), (2, "c", 40.0)], "proposal_id int, parameter string, proposed double")
