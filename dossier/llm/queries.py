@@ -91,6 +91,49 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", "quality_score", "content_score", "metadata_score", (F.col("quality_score") >= ACCEPT).alias("keep"))
 
 
+def _license_sql() -> str:
+    """The licence scan in DuckDB's SQL, with the templates' weights as values."""
+    from .licenses import STOPWORDS, THRESHOLD, template_weights
+
+    idf, unknown, units = template_weights()
+    terms = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in sorted(idf.items()))
+    weights = ", ".join(f"('{w}', '{n}', {x!r}::DOUBLE)" for n, unit in sorted(units.items()) for w, x in sorted(unit.items()))
+    stop = ", ".join(f"'{w}'" for w in STOPWORDS)
+    return f"""
+        WITH i(word, idf) AS (VALUES {terms}), u(word, licence, unit) AS (VALUES {weights}), files AS (
+            SELECT doc_id, source || '/' || doc_id // 1000 || '/' || doc_id // 100 AS folder, text FROM documents
+        ), paths AS (
+            SELECT doc_id, folder, folder || '/' || doc_id || '.txt' AS path, text FROM files
+        ), s AS (
+            SELECT path, length(text) AS chars, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS sentence FROM paths
+        ), n AS (
+            SELECT path, row_number() OVER () AS place, length(sentence) / chars AS share, sentence FROM s WHERE regexp_matches(lower(sentence), '{"|".join(sorted(idf))}')
+        ), t AS (
+            SELECT path, place, share, unnest(list_filter(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN ({stop}))) AS word FROM n
+        ), c AS (
+            SELECT path, place, share, word, count(*) AS tf FROM t GROUP BY ALL
+        ), norms AS (
+            SELECT path, place, share, sqrt(sum(pow(tf * coalesce(idf, {unknown!r}), 2))) AS norm FROM c LEFT JOIN i USING (word) GROUP BY ALL
+        ), dots AS (
+            SELECT path, place, licence, sum(tf * idf * unit) AS dot FROM c JOIN i USING (word) JOIN u USING (word) GROUP BY ALL
+        ), scored AS (
+            SELECT path, licence, round(dot / norm, 6) AS score, share FROM dots JOIN norms USING (path, place) WHERE round(dot / norm, 6) >= {THRESHOLD}
+        ), own AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence, share DESC) = 1
+        ), heads AS (
+            SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS above, licence AS inherited FROM own WHERE share >= 1 / 3.0
+            QUALIFY row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY score DESC, licence) = 1
+        ), chain AS (
+            SELECT folder, unnest(['', split_part(folder, '/', 1), array_to_string(string_split(folder, '/')[1:2], '/'), folder]) AS above FROM (SELECT DISTINCT folder FROM paths)
+        ), nearest AS (
+            SELECT folder, above AS governed_by, inherited FROM chain JOIN heads USING (above) QUALIFY row_number() OVER (PARTITION BY folder ORDER BY length(above) DESC) = 1
+        )
+        SELECT p.doc_id, p.path, coalesce(own.licence, inherited) AS licence, CASE WHEN own.licence IS NOT NULL THEN 'notice' WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+               own.score, CASE WHEN own.licence IS NULL THEN governed_by END AS governed_by
+        FROM paths p LEFT JOIN own USING (path) LEFT JOIN nearest USING (folder)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,6 +151,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_license_scan": _license_sql(),
+    "op8_substring_dedup": """
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), g AS (
+            SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)
+        ), f AS (
+            SELECT k, min(doc_id) AS first_doc FROM g GROUP BY k
+        ), x AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (k) WHERE first_doc < doc_id
+        ), e AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+        ), k AS (
+            SELECT e.doc_id, count(x.p) AS n_removed, string_agg(word, ' ' ORDER BY e.p) FILTER (WHERE x.p IS NULL) AS kept
+            FROM e LEFT JOIN x ON x.doc_id = e.doc_id AND x.p = e.p GROUP BY e.doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
     "op9_line_dedup": """
         WITH l AS (
             SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at
