@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .words import SPACES, hashed_words, starts, windows
 
 RANGE_HASHES = 1_000_000  # hashes that a range is meant to hold
-BLOCK_DOCS = 4096  # documents of a block, at most
+BLOCK_LEAST, BLOCK_DOCS = 128, 4096  # documents of a block, about
 PACKED = "part int, block int, level int, hashes binary, docs binary"
 BITS = "block int, part int, level int, bits binary"
 
@@ -197,7 +197,7 @@ def dedup_passages(docs: DataFrame, length: int = 13, rewrite: bool = True) -> D
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "_block")]
     count, chars = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, min(count // 32, 8 * shuffled), count // BLOCK_DOCS)
+    blocks = max(1, min(count // BLOCK_LEAST, 8 * shuffled), count // BLOCK_DOCS)
     parts = max(64, (chars or 0) // 24 // RANGE_HASHES)  # a word has six letters, and one in four windows travels
     dealt = docs.select(*rest).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition("_block")
