@@ -26,21 +26,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import mix, powers
+
 SAMPLE = 250  # documents a language, about
 WINDOW = 160  # words of each
 SLOTS = 1 << 16  # hashed features
 BUCKET = 32  # words that are folded into one step along a text
 MEMO = 200_000  # words whose features are kept
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[int]:
-    """Slots of a lower-case word's features."""
-    marked = f"<{word}>"
-    names = ["w" + word]
-    names += ["p" + word[:n] for n in (1, 2, 3)] + ["s" + word[-n:] for n in (1, 2, 3, 4)]
-    names += [marked[i : i + n] for n in (2, 3) for i in range(min(len(marked), 24) - n + 1)]
-    return [zlib.crc32(x.encode()) % SLOTS for x in names]
+def slots_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed features of several lower-case words end to end, and where each word's begin.
+
+    All words are laid out as code points between marks, and each kind of feature is hashed for all of them at once.
+    """
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.array([len(w) for w in words]) + 2
+    ends = np.cumsum(lengths)
+    first = ends - lengths
+    word = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(codes)) - first[word]
+    owners, slots = [], []
+
+    def add(kind: int, at: np.ndarray, size: int, of: np.ndarray) -> None:
+        h = np.full(len(at), kind, dtype=np.uint64)
+        for i in range(size):
+            h = h * _STEP + codes[at + i]
+        owners.append(of)
+        slots.append((mix(h) % np.uint64(SLOTS)).astype(np.int64))
+
+    for size in (2, 3):  # letter n-grams
+        at = np.flatnonzero(place + size <= lengths[word])
+        add(size, at, size, word[at])
+    for size in (1, 2, 3, 4):  # affixes
+        long = np.flatnonzero(lengths - 2 >= size)
+        if size < 4:
+            add(10 + size, first[long] + 1, size, long)
+        add(20 + size, ends[long] - 1 - size, size, long)
+    owners.append(np.arange(len(words)))  # the word itself
+    slots.append((mix(np.add.reduceat(codes * powers(_STEP, int(lengths.max()))[0][place], first)) % np.uint64(SLOTS)).astype(np.int64))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(slots)[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
 class Crf:
@@ -52,10 +81,15 @@ class Crf:
         self.lexicon: dict[str, np.ndarray] = {}
         self.trust = 1.0
 
-    def emission(self, word: str) -> np.ndarray:
-        e = self.weights[features(word)].sum(0)
-        known = self.lexicon.get(word)
-        return e if known is None else e + self.trust * known
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Score of each label for each word by its own features."""
+        flat, starts = slots_of(words)
+        out = np.add.reduceat(self.weights[flat], starts)
+        for i, word in enumerate(words):
+            known = self.lexicon.get(word)
+            if known is not None:
+                out[i] += self.trust * known
+        return out
 
     def fit(self, chains: list[tuple[list[str], list[int]]], rounds: int = 8, rate: float = 0.1, decay: float = 1e-5) -> None:
         """Conditional likelihood by AdaGrad over batches of chains of one length."""
@@ -66,9 +100,8 @@ class Crf:
                 counts.setdefault(word, np.zeros(n))[mark] += 1
         self.lexicon = {w: np.log((c + 0.5) / (c.sum() + 0.5 * n)) + np.log(n) for w, c in counts.items() if c.sum() > 2}
         vocabulary = {w: i for i, w in enumerate(counts)}
-        slots = [features(w) for w in counts]
-        owner = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-        flat = np.array([s for own in slots for s in own])
+        flat, starts = slots_of(list(counts))
+        sizes = np.diff(np.append(starts, len(flat)))
         known = np.array([self.lexicon.get(w, np.zeros(n)) for w in counts])
         length = max(len(w) for w, _ in chains)
         at = np.full((len(chains), length), -1)
@@ -81,19 +114,20 @@ class Crf:
         for _ in range(rounds):
             for batch in np.array_split(order.permutation(len(chains)), max(1, len(chains) // 64)):
                 mine, marks = at[batch], gold[batch]
-                used = np.unique(mine[mine >= 0])
-                table = np.zeros((len(counts), n))
-                some = np.isin(owner, used)
-                for k in range(n):
-                    table[:, k] = np.bincount(owner[some], self.weights[flat[some], k], minlength=len(counts))
-                emit = np.where(mine[:, :, None] >= 0, table[mine] + self.trust * known[mine], 0.0)
-                g_emit, g_moves, g_start = _gradient(emit, mine >= 0, marks, self.moves, self.start)
                 real = mine >= 0
+                used, place = np.unique(mine[real], return_inverse=True)
+                ends = np.cumsum(sizes[used])
+                first = ends - sizes[used]
+                own = flat[np.arange(ends[-1]) + np.repeat(starts[used] - first, sizes[used])]  # the slots of the words in the batch
+                emit = np.zeros((*mine.shape, n))
+                emit[real] = (np.add.reduceat(self.weights[own], first) + self.trust * known[used])[place]
+                g_emit, g_moves, g_start = _gradient(emit, real, marks, self.moves, self.start)
+                touched, which = np.unique(own, return_inverse=True)
                 for k in range(n):
-                    word_g = np.bincount(mine[real], g_emit[real][:, k], minlength=len(counts))
-                    g = np.bincount(flat[some], word_g[owner[some]], minlength=SLOTS) / len(batch) - decay * self.weights[:, k]
-                    seen_w[:, k] += g * g
-                    self.weights[:, k] += rate * g / np.sqrt(seen_w[:, k])
+                    word_g = np.bincount(place, g_emit[real][:, k], minlength=len(used))
+                    g = np.bincount(which, np.repeat(word_g, sizes[used])) / len(batch) - decay * self.weights[touched, k]
+                    seen_w[touched, k] += g * g
+                    self.weights[touched, k] += rate * g / np.sqrt(seen_w[touched, k])
                 for value, g, seen in ((self.moves, g_moves / len(batch), seen_m), (self.start, g_start / len(batch), seen_s)):
                     seen += g * g
                     value += rate * g / np.sqrt(seen)
@@ -147,17 +181,18 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray, s
     opens = np.zeros((total, BUCKET), dtype=bool)
     opens[base[:-1][lengths > 0], 0] = True
     step, first = np.exp(moves - moves.max()), np.exp(start - start.max())
-    # the move into a text's first word comes from no word: each row the start vector
-    into = np.broadcast_to(first, (n, n))
-
-    def move(i):
-        return np.where(opens[:, i, None, None], into, step)
+    opens = opens[:, 0]  # the move into a text's first word comes from no word
 
     folded = np.broadcast_to(np.eye(n), (total, n, n)).copy()
     for i in range(BUCKET):
-        x = (folded @ move(i)) * scores[:, i, None, :]
+        x = (folded.reshape(-1, n) @ step).reshape(total, n, n)
+        if i == 0:
+            x[opens] = first
+        x *= scores[:, i, None, :]
         x /= x.sum((1, 2), keepdims=True)
-        folded = np.where(real[:, i, None, None], x, folded)
+        done = ~real[:, i]
+        x[done] = folded[done]
+        folded = x
     ahead, behind = np.ones((total, n)) / n, np.ones((total, n)) / n  # messages into a step from before and from after it
     for k in range(1, int(blocks.max(initial=0))):
         here = base[:-1][blocks > k] + k
@@ -169,13 +204,16 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray, s
     alpha = np.zeros((total, BUCKET, n))
     a = ahead
     for i in range(BUCKET):
-        x = np.einsum("bi,bij->bj", a, move(i)) * scores[:, i]
+        x = a @ step
+        if i == 0:
+            x[opens] = first
+        x *= scores[:, i]
         x /= x.sum(1, keepdims=True)
         a = alpha[:, i] = np.where(real[:, i, None], x, a)
     b, out = behind, np.zeros((total, BUCKET, n))
     for i in range(BUCKET - 1, -1, -1):
         out[:, i] = alpha[:, i] * b
-        x = np.einsum("bij,bj->bi", move(i), scores[:, i] * b)
+        x = (scores[:, i] * b) @ step.T
         x /= x.sum(1, keepdims=True)
         b = np.where(real[:, i, None], x, b)
     out = out[row, col]
@@ -249,23 +287,21 @@ class Reader:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         known = self.number
-        out = np.empty(len(words), dtype=np.int64)
-        for i, word in enumerate(words):
-            k = known.get(word)
-            if k is None:
-                k = known[word] = len(known)
-                if k >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[k] = self.model.emission(word)
-            out[i] = k
-        return out
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            first, last = len(known), len(known) + len(new)
+            while last > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[first:last] = self.model.emissions(new)
+            known.update(zip(new, range(first, last)))
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def label_words(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Marginals of the words of each text."""
         if len(self.number) > MEMO:
             self.forget()
         lengths = np.array([len(t) for t in texts])
-        numbers = np.concatenate([self.numbers(t) for t in texts])  # may enlarge the table
+        numbers = self.numbers([w for t in texts for w in t])  # may enlarge the table
         emit = self.table[numbers]
         marginals = self.model.marginals(emit, lengths) if len(emit) else emit
         return np.split(marginals, np.cumsum(lengths)[:-1])
