@@ -6,19 +6,27 @@ at all (by Cauchy-Schwarz the cosine is at most the length of the template's sha
 these few the terms are exploded, weighted by a join with the templates' table and summed up.
 The templates are a fixed list of a few dozen terms, so their table is broadcast.
 
-A file's licence is that of its best sentence. A file that is called like one (LICENSE, COPYING, NOTICE) or whose
+Licences are also written as headers of several lines and as whole files: ``licence_texts`` holds the standard headers and whole texts
+by SPDX name. Every file's whole text is scored against the whole texts, and every run of as many words as a header has
+that starts at a line against the headers. Files go on only if they can reach the threshold: the text holds some anchor without
+which no template is reached, then the shared terms are long enough (as for sentences), then the run shares enough different terms.
+
+A file's licence is that of its best header or whole text, else that of its best sentence. A file that is called like one (LICENSE, COPYING, NOTICE) or whose
 notice makes up a third of it is a licence file and speaks for its directory. Files without a licence
 of their own inherit that of the nearest directory above them that has one; the directories, not
 the files, are joined with their ancestors.
 
 Null texts and null paths have no licence; a null path inherits none. Ties go to the licence that comes first by name. Files that
-repeat a path count as one file with several texts: the best sentence of any holds for all.
+repeat a path count as one file with several texts: the best notice of any holds for all.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +51,6 @@ WORD = r"[\p{L}\p{N}]+"
 
 
 def _terms_of(text: str) -> Counter:
-    import re
-
     return Counter(w for w in re.findall(r"[^\W_]+", text.lower()) if w not in STOPWORDS)
 
 
@@ -71,10 +77,101 @@ def _could_reach(terms: Column, units: dict[str, dict[str, float]], threshold: f
     return any_of
 
 
+@cache
+def passage_templates() -> dict[str, str]:
+    """Headers and whole texts by file name, which is SPDX name, kind and .txt."""
+    return {f.name: f.read_text("utf-8") for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
+
+def _licence_of(name: str) -> str:
+    return name.removesuffix(".txt").rsplit(".", 1)[0]
+
+
+def _anchors(units: dict[str, dict[str, float]], threshold: float) -> list[str]:
+    """Words so chosen that a text in which none of them stands cannot reach any template."""
+    out: list[str] = []
+    for unit in units.values():
+        left = sum(u * u for w, u in unit.items() if not any(x in w for x in out))
+        for word, _ in sorted(unit.items(), key=lambda x: (len(x[0]) < 5, -x[1], x[0])):  # long ones stand in few other words
+            if left < threshold * threshold - 1e-6:
+                break
+            if not any(x in word for x in out):
+                out.append(word)
+                left = sum(v * v for w, v in unit.items() if not any(x in w for x in out))
+    return out
+
+
+def _least_shared(unit: dict[str, float], threshold: float) -> int:
+    """How many different terms a text must share with a template at least to reach it."""
+    shared = 0.0
+    for n, u in enumerate(sorted(unit.values(), reverse=True), 1):
+        shared += u * u
+        if shared + 1e-9 >= threshold * threshold:
+            return n
+    return len(unit)
+
+
+def passages(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(path, licence, score, share): every header and whole text in each file that is at the threshold."""
+    texts = passage_templates()
+    idf, unknown, units = template_weights(tuple(texts.items()))
+    spark = files.sparkSession
+    whole = [n for n in texts if ".whole." in n]
+    weights = F.broadcast(spark.createDataFrame([(w, idf[w], [(n, u[w]) for n, u in units.items() if w in u]) for w in sorted(idf)], "word string, idf double, units array<struct<name:string,unit:double>>"))
+    headers = [(n, sum(1 for _ in re.finditer(r"[^\W_]+", t)), sorted(units[n]), _least_shared(units[n], threshold)) for n, t in texts.items() if n not in whole]
+    headers = F.broadcast(spark.createDataFrame(headers, "name string, long int, terms array<string>, least int"))
+
+    def words(column: str) -> Column:
+        return F.filter(F.col(column), lambda w: ~w.isin(*STOPWORDS))
+
+    def scored(rows: DataFrame, *keys: str) -> DataFrame:
+        """Cosine and length of the shared terms for each template of which rows (keys, words) have a term."""
+        counted = rows.select(*keys, F.explode("words").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
+        weighed = counted.join(weights, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+        one = F.struct(F.lit("").alias("name"), F.lit(0.0).alias("unit"))  # carries the norm
+        long = weighed.select(*keys, "w", F.explode(F.concat(F.array(one), F.coalesce("units", F.array().cast("array<struct<name:string,unit:double>>")))).alias("u"))
+        u = F.col("u.unit")
+        sums = long.groupBy(*keys, F.col("u.name").alias("template")).agg(F.sum(F.col("w") * u).alias("dot"), F.sum(u * u).alias("shared"), F.sum(F.col("w") * F.col("w")).alias("square"))
+        # one row a text: its templates beside its norm
+        listed = sums.groupBy(*keys).agg(F.max(F.when(F.col("template") == "", F.sqrt("square"))).alias("norm"), F.collect_list(F.when(F.col("template") != "", F.struct("template", "dot", "shared"))).alias("t"))
+        return listed.select(*keys, F.explode(F.filter("t", lambda t: t["shared"] + 1e-9 >= threshold * threshold)).alias("t"), "norm").select(
+            *keys, "t.template", F.round(F.col("t.dot") / F.col("norm"), 6).alias("score"))
+
+    low = F.lower("text")
+    anchored = F.lit(False)
+    for anchor in _anchors(units, threshold):
+        anchored = anchored | low.contains(anchor)
+    # before anything is shuffled: a file goes on only if it shares enough different terms with some template
+    rows = files.where(F.col("path").isNotNull() & anchored).select("path", "text", low.alias("low"))
+    shared = F.array_intersect(F.regexp_extract_all("low", F.lit(WORD), F.lit(0)), F.split(F.lit(" ".join(sorted(idf))), " "))
+    least = {n: _least_shared(u, threshold) for n, u in units.items()}
+    rows = rows.withColumn("shared", shared).where(F.size("shared") >= min(least.values()))
+    reaches = F.lit(False)
+    for name, unit in units.items():
+        reaches = reaches | (F.size(F.array_intersect("shared", F.split(F.lit(" ".join(sorted(unit))), " "))) >= least[name])
+    rows = rows.where(reaches).select("path", F.md5("text").alias("key"), "low").distinct()
+    split = rows.withColumn("words", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
+    near = scored(split.select("path", "key", words("words").alias("words")), "path", "key")
+    wholes = near.where(F.col("template").isin(*whole) & (F.col("score") >= threshold)).select("path", "template", "score", F.lit(1.0).alias("share"))
+
+    wanted = near.join(headers, F.col("template") == F.col("name")).select("path", "key", "template", "long", "terms", "least")
+    by_line = F.transform(F.split("low", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
+    marked = F.flatten(F.transform(by_line, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), (i == 0).alias("first")))))
+    lined = rows.select("path", "key", F.length("low").alias("chars"), marked.alias("m")).join(wanted, ["path", "key"])
+    begins = lined.select("path", "key", "template", "chars", "long", "terms", "least", F.col("m.w").alias("all"), F.posexplode("m.first").alias("at", "first")).where("first")
+    runs = begins.withColumn("run", F.slice("all", F.col("at") + 1, F.col("long"))).where(F.size(F.array_intersect("run", "terms")) >= F.col("least"))
+    share = F.least(F.lit(1.0), F.length(F.array_join("run", " ")) / F.col("chars"))
+    runs = runs.select("path", "key", "at", F.col("template").alias("header"), share.alias("share"), words("run").alias("words"))
+    hits = scored(runs, "path", "key", "at", "header", "share").where((F.col("template") == F.col("header")) & (F.col("score") >= threshold))
+
+    licence = F.element_at(F.create_map(*[F.lit(x) for n in texts for x in (n, _licence_of(n))]), F.col("template"))
+    return wholes.unionByName(hits.select("path", "template", "score", "share")).select("path", licence.alias("licence"), "score", "share")
+
+
 def notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, licence, score, share): the best sentence of each file that has one at the threshold.
+    """(path, licence, score, share): the best notice of each file that has one at the threshold; headers and whole texts go before sentences.
 
-    ``share``: that sentence's part of the whole text.
+    ``share``: that notice's part of the whole text.
     """
     idf, unknown, units = template_weights(templates)
     spark = files.sparkSession
@@ -95,7 +192,8 @@ def notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     sums = weighed.groupBy("path", "at", "share").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
     scored = F.array(*[F.struct(F.round(F.col(f"`{n}`") / F.col("norm"), 6).alias("score"), F.lit(n).alias("licence")) for n in names])
     long = sums.select("path", "share", F.explode(scored).alias("s")).where(F.col("s.score") >= threshold)
-    best = long.groupBy("path").agg(F.min(F.struct((-F.col("s.score")).alias("less"), F.col("s.licence").alias("licence"), (-F.col("share")).alias("part"))).alias("b"))
+    found = long.select("path", F.lit(1).alias("level"), "s.licence", "s.score", "share").unionByName(passages(files, threshold).withColumn("level", F.lit(0)))
+    best = found.groupBy("path").agg(F.min(F.struct("level", (-F.col("score")).alias("less"), "licence", (-F.col("share")).alias("part"))).alias("b"))
     return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.less")).alias("score"), (-F.col("b.part")).alias("share"))
 
 

@@ -4,7 +4,7 @@ import math
 import re
 from collections import Counter
 
-from dossier.llm.licenses import STOPWORDS, TEMPLATES, THRESHOLD, notices, scan
+from dossier.llm.licenses import STOPWORDS, TEMPLATES, THRESHOLD, notices, passage_templates, scan
 
 
 def plain(text):
@@ -51,3 +51,21 @@ def test_inheritance(spark):
         ("a/b/own.txt", "Proprietary", "notice", None), ("top.txt", "MIT", "inherited", ""), (None, None, "none", None), ("q/long.txt", "MIT", "notice", None), ("q/other.txt", "MIT", "inherited", ""),
     }
     assert scan(frame.limit(0)).count() == 0
+
+
+def test_headers_and_whole_texts(spark):
+    known = passage_templates()
+    mit, bsd, gpl, apache = (known[f"{n}.txt"] for n in ("MIT.header", "BSD-3-Clause.header", "GPL-3.0.header", "Apache-2.0.header"))
+    rights = "Copyright (c) 2019, Jane Doe\nAll rights reserved.\n\n"
+    code = "\n".join(f"value{i} = compute{i}(alpha{i}, beta{i})" for i in range(60))
+    comment = lambda t, mark: "".join(f"{mark}{line}\n" for line in t.splitlines())
+    rows = [
+        ("m/LICENSE", mit.replace("The MIT License\n", "MIT License\n\nCopyright (c) 2019 Jane Doe\n"), "MIT"), ("n/LICENSE", mit.split("\n", 1)[1], "MIT"),
+        ("b/LICENSE", rights + bsd, "BSD-3-Clause"), ("b2/LICENSE", rights + known["BSD-2-Clause.header.txt"], "BSD-2-Clause"),
+        ("g/COPYING", known["GPL-3.0.whole.txt"], "GPL-3.0"), ("h/COPYING", known["GPL-2.0.whole.txt"], "GPL-2.0"), ("l/COPYING.LESSER", known["LGPL-3.0.whole.txt"], "LGPL-3.0"),
+        ("a/LICENSE", known["Apache-2.0.whole.txt"], "Apache-2.0"), ("p/LICENSE", known["MPL-2.0.whole.txt"], "MPL-2.0"),
+        ("s/gpl.py", comment("Copyright (C) 2020 Jane Doe\n\n" + gpl, "# ") + code, "GPL-3.0"), ("s/apache.java", "/*\n" + comment("Copyright 2020 Jane Doe. All rights reserved.\n" + apache, " * ") + " */\n" + code, "Apache-2.0"),
+        ("s/gpl2.py", comment(known["GPL-2.0.header2.txt"], "// ") + code, "GPL-2.0"), ("s/plain.py", code, None), ("s/own.py", rights + code, "Proprietary"),
+    ]
+    got = {r.path: r.licence for r in notices(spark.createDataFrame(rows, "path string, text string, want string")).collect()}
+    assert got == {path: want for path, _, want in rows if want}
