@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+TEXTS_A_BATCH = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(spark: SparkSession, rows: int = TEXTS_A_BATCH) -> None:
+    """Python workers get at most so many texts at once (Spark's own bound is 10,000 rows, however long).
+
+    Sets the session's ``spark.sql.execution.arrow.maxRecordsPerBatch``, unless it is smaller already. Results don't depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def is_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more rows than that; looks at one row more at most."""
     return df.limit(rows + 1).count() <= rows

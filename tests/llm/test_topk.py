@@ -1,6 +1,7 @@
 """Exact search against brute force."""
 
 import numpy as np
+import pytest
 from dossier.llm import topk
 from dossier.llm.topk import exact_top_k, integer_components
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ def brute(rows, k):
 def test_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(topk, "BLOCK", 50)
+    monkeypatch.setattr(topk, "PART", 130)
     for dims, n in ((3, 40), (40, 500), (64, 700)):
         x = rng.normal(size=(n, dims)) * rng.uniform(0.1, 3, size=(n, 1))
         x[n // 2 :: 3] = x[1]  # many ties
@@ -28,6 +30,31 @@ def test_against_brute_force(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == brute(list(enumerate(ints)), 10)
 
 
+@pytest.mark.parametrize("parts", [2, 23, 211])
+def test_any_number_of_parts(spark, monkeypatch, parts):
+    """Spark may make other parts than those asked for: all are searched."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 24))
+    x[: 1000] *= rng.uniform(0.1, 3, size=(1000, 1))
+    plain = type(spark.range(1)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda self, n, *by: plain(self, parts, *by))
+    monkeypatch.setattr(topk, "ASKING", 10)
+    monkeypatch.setattr(topk, "HEAD", 64)
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    ints = np.floor(1024 * x).astype(int).tolist()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = exact_top_k(frame.select("vec_id", integer_components().alias("v")), F.col("vec_id") % 100 == 0)
+    assert sorted(map(tuple, got.collect())) == brute(list(enumerate(ints)), 10)
+
+
+def test_one_id_or_one_vector_in_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PART", 20)
+    frame = spark.createDataFrame([(100, [1, 0])] * 50 + [(7, [1, 1])] * 60 + [(200, [-1, 2]), (8, [9, 9, 9])], "vec_id bigint, v array<bigint>")
+    got = exact_top_k(frame, F.col("vec_id") % 100 == 0, 3)
+    want = [(100, 1, 8, 9), (100, 2, 7, 1), (100, 3, 7, 1), (200, 1, 8, 9), (200, 2, 7, 1), (200, 3, 7, 1)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [1.0, nan]), (3, [inf, 0.0]), (4, [None, 1.0]), (5, [-0.5, 0.25]), (None, [1.0, 1.0]), (6, [0.0, 0.0])]
