@@ -1,85 +1,122 @@
 """Quality classifier by co-training on two views of a document.
 
-The content view is a vector of counts over the whole text (letters, signs, words, lines, and how
-much they repeat); the metadata view is language, source, stored length and its ratio to the text's.
-Each view has a logistic regression. In every round each view labels, out of a pool of unlabelled
-documents, those it is surest of (as many of either class as the labels' share of it), and the other view learns from them too.
-In the end both are calibrated on labelled rows that neither has learned from, and their log odds are added up,
-less the prior that both contain.
-
-Fitting uses a bounded sample (``LABELLED`` rows with a label and ``POOL`` without, drawn by a hash
-of doc_id), of which only the vectors reach the driver. Every document is scored, by a map over whole texts.
-
-Null texts count as empty, other nulls as values of their own. Labels that are neither 0 nor 1 are left out, of several for one document the lowest holds.
-Without labels of both classes every score is 1. Rows are scored one by one, repeated or not.
+The content view is naive Bayes over letter n-grams: every three bytes in a row of the whole text, digits taken as
+one, hashed into ``SLOTS`` counts, and over how much its words repeat (shares of words like the one before, of different words for
+its length, and of its commonest word). A document's evidence is the mean log ratio of its trigrams, so long and short ones
+weigh alike, and that of its repetitions. The metadata view is naive Bayes over language, source, stored length and the ratio of
+that to the text's. Both are sums over documents, so they are learned from all documents with partial aggregates: only sums
+(SLOTS + STYLE + METADATA rows) come to the driver.
+
+First both views learn from the labelled sample. Then, in each of ``ROUNDS`` rounds, every unlabelled
+document of the corpus of which one view is sure teaches the other view (Blum and Mitchell), and both are made anew from
+the labels and these pseudo-labels. After each round both are calibrated on labelled documents that neither
+learns from. A view is sure of a document whose odds lie beyond the median of its class among those, so either class is taught at its
+own share; a view that is right there less often than ``SURE`` teaches nothing. Scores add the calibrated log odds of both views, less the prior that both contain.
+
+The labelled sample is bounded: about ``LABELLED`` labelled ids drawn by a hash of doc_id, never over twice as many; other labels count
+as absent. Of several rows with a labelled id the smallest (text, then the other columns) teaches. All else, pseudo-labels and
+scores, covers every document.
+
+Null texts count as empty, other nulls as values of their own. Labels that are neither 0 nor 1 are left out, of several for
+one document the lowest holds. Without labels of both classes, or with no documents, every score is 1. Rows are scored one by one,
+repeated or not, whatever their length (a long text is read a megabyte at a time). Empty tables give empty results. Other columns
+stay; those called quality_score, content_score or metadata_score are replaced.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches, written
+from .words import CHUNK, SPACES, hashed_words, stretches
+
 LABELLED = 4000
-POOL = 4000
-ROUNDS = 4
-GROWTH = 0.02  # part of the pool that a view labels in a round
+ROUNDS = 3
+SURE = 0.95  # how often a view must be right about the documents that it teaches the other
 ACCEPT = 0.25  # documents with a lower probability of good quality are rejected
-SLOTS = 16  # hashed languages and sources
-
-_CLASS = np.zeros(256, dtype=np.int64)
-for _i in range(256):
-    _c = chr(_i)
-    _CLASS[_i] = (
-        0 if "a" <= _c <= "z" else 1 if "A" <= _c <= "Z" else 2 if "0" <= _c <= "9" else 3 if _c in " \t\r" else 4 if _c == "\n"
-        else 5 if _c in ".,;:?'\"()-" else 6 if _c == "!" else 7 if _c == "|" else 8 if _i < 128 else 9
-    )
-
-
-def content_vector(text: str) -> list[float]:
-    """Counts over a whole text, as shares and logarithms."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
-    n = max(1, len(raw))
-    share = np.bincount(_CLASS[raw], minlength=10) / n if len(raw) else np.zeros(10)
-    words = text.split()
-    w = max(1, len(words))
-    seen: dict[str, int] = {}
-    for word in words:
-        seen[word] = seen.get(word, 0) + 1
-    lines = text.split("\n")
-    letters = max(1e-9, share[0] + share[1] + share[9])
-    return [
-        *share.tolist(),
-        share[1] / letters,
-        float(np.log1p(len(words))),
-        len(seen) / w,
-        max(seen.values(), default=0) / w,
-        n / w,
-        len(set(lines)) / len(lines),
-        float(np.log1p(len(lines))),
-        float(np.log1p(w / len(lines))),
-        sum(k for word, k in seen.items() if not word[-1].isalnum()) / w,
-        sum(k for word, k in seen.items() if word.isupper()) / w,
-    ]
-
-
-def metadata_vector(lang, source, n_chars, size: int) -> list[float]:
-    out = [0.0] * (2 * SLOTS)
-    out[zlib.crc32(str(lang).encode()) % SLOTS] = 1.0
-    out[SLOTS + zlib.crc32(str(source).encode()) % SLOTS] = 1.0
-    stated = -1.0 if n_chars is None or pd.isna(n_chars) else float(n_chars)
-    return [*out, float(np.log1p(max(0.0, stated))), float(stated < 0), float(np.log((1 + max(0.0, stated)) / (1 + size)))]
-
-
-def _vectors(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    texts = [t or "" for t in batch["text"]]
-    content = np.array([content_vector(t) for t in texts])
-    metadata = np.array([metadata_vector(a, b, c, len(t)) for a, b, c, t in zip(batch["lang"], batch["source"], batch["n_chars"], texts)])
-    return content, metadata
+SLOTS, STYLE, METADATA = 1 << 15, 1024, 256
+PARTS = (slice(0, SLOTS), slice(SLOTS, SLOTS + STYLE), slice(SLOTS + STYLE, SLOTS + STYLE + METADATA))
+SMOOTH = 0.02  # added to each count; a document's trigrams count as 1 in total, as do its repetitions and its metadata
+TOGETHER = 100  # texts looked at together
+NAMES = ("quality_score", "content_score", "metadata_score")
+
+_FOLDED = np.arange(256, dtype=np.int32)
+_FOLDED[ord("0") : ord("9") + 1] = ord("0")
+
+
+def trigrams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the text, slot) of every three bytes in a row within a text, about CHUNK at a time."""
+    for first, last in stretches(texts):
+        lengths = [len(t) for t in texts[first:last]]
+        raw = np.frombuffer(b"".join(texts[first:last]), dtype=np.uint8)
+        ends = np.cumsum(lengths)
+        for at in range(0, len(raw) - 2, CHUNK):
+            b = _FOLDED[raw[at : at + CHUNK + 2]]
+            slot = (b[:-2] * 7919 + b[1:-1] * 263 + b[2:]) & (SLOTS - 1)
+            owner = np.searchsorted(ends, np.arange(at, at + len(b)), side="right") + first
+            inside = owner[:-2] == owner[2:]
+            yield owner[:-2][inside], slot[inside]
+
+
+def metadata_slots(lang, source, n_chars, size: int) -> list[int]:
+    stated = None if n_chars is None or pd.isna(n_chars) else max(0, int(n_chars))
+    ratio = None if stated is None else max(-20, min(20, round(4 * float(np.log((1 + stated) / (1 + size))))))
+    length = None if stated is None else int(2 * np.log2(1 + stated))
+    return [zlib.crc32(f"{i} {value}".encode()) % METADATA for i, value in enumerate((lang, source, length, ratio))]
+
+
+def style_slots(texts: list[bytes]) -> np.ndarray:
+    """For each text, the slots of how much its words repeat: three numbers."""
+    words, bounds = hashed_words(texts, SPACES)
+    sizes = np.diff(bounds)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    again = np.bincount(text[1:][(words[1:] == words[:-1]) & (text[1:] == text[:-1])], minlength=len(texts))
+    order = np.lexsort((words, text))
+    new = np.ones(len(words), bool)
+    new[1:] = (words[order][1:] != words[order][:-1]) | (text[1:] != text[:-1])
+    different = np.bincount(text[new], minlength=len(texts))
+    most = np.zeros(len(texts), dtype=np.int64)
+    first = np.flatnonzero(new)
+    np.maximum.at(most, text[first], np.diff(np.append(first, len(words))))
+    n = np.maximum(1, sizes)
+    length = np.minimum(15, np.log2(n).astype(int))
+    return np.stack([20 * again // n, 64 + 32 * length + 20 * different // n, 600 + 20 * most // n], 1)
+
+
+class Batch:
+    """Some documents: their texts as bytes, how many trigrams each has, and their metadata."""
+
+    def __init__(self, rows: pd.DataFrame):
+        texts = [t if isinstance(t, str) else "" for t in rows["text"]]
+        self.texts = [b"\n" + t.encode("utf-8", "replace") + b"\n" for t in texts]
+        self.sizes = np.array([max(1, len(t) - 2) for t in self.texts], dtype=float)
+        self.style = style_slots(self.texts)
+        self.metadata = np.array([metadata_slots(a, b, c, len(t)) for a, b, c, t in zip(rows["lang"], rows["source"], rows["n_chars"], texts)], dtype=np.int64).reshape(-1, 4)
+
+    def evidence(self, ratios: list[np.ndarray]) -> np.ndarray:
+        """Mean log ratio of each document by trigrams, repetitions and metadata, in three columns."""
+        total = np.zeros(len(self.texts))
+        for owner, slot in trigrams(self.texts):
+            total += np.bincount(owner, ratios[0][slot], minlength=len(total))
+        return np.stack([total / self.sizes, ratios[1][self.style].mean(1), ratios[2][self.metadata].mean(1)], 1)
+
+    def counts(self, content: np.ndarray, metadata: np.ndarray) -> np.ndarray:
+        """Sums for both classes (columns bad, good) of the documents marked 0 or 1, by content and by metadata marks; nan: unmarked."""
+        out = np.zeros((PARTS[-1].stop, 2))
+        for y in (0, 1):
+            weight = np.where(content == y, 1 / self.sizes, 0.0)
+            if weight.any():
+                for owner, slot in trigrams(self.texts):
+                    out[:SLOTS, y] += np.bincount(slot, weight[owner], minlength=SLOTS)
+            for part, slots, mark, size in zip(PARTS[1:], (self.style, self.metadata), (content, metadata), (STYLE, METADATA)):
+                out[part, y] += np.bincount(slots[mark == y].ravel(), minlength=size) / slots.shape[1]
+        return out
 
 
 class Logistic:
@@ -111,95 +148,130 @@ class Logistic:
         return np.clip(self._ready(x) @ self.w, -30, 30)
 
 
+def log_ratios(counts: np.ndarray) -> list[np.ndarray]:
+    """Log of P(slot | good) by P(slot | bad), for trigrams, repetitions and metadata."""
+    out = []
+    for part in (counts[p] for p in PARTS):
+        seen = part + SMOOTH * (part.sum(1, keepdims=True) > 0)  # slots that no document has tell nothing
+        share = seen / np.maximum(seen.sum(0), 1e-300)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out.append(np.where(seen[:, 0] > 0, np.log(share[:, 1]) - np.log(share[:, 0]), 0.0))
+    return out
+
+
+def bounds(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Odds up to which a view is sure of bad and from which it is sure of good; infinite if it is not right often enough."""
+    low, high = float(np.median(odds[y == 0])), float(np.median(odds[y == 1]))
+    right = min((y[odds <= low] == 0).mean(), (y[odds >= high] == 1).mean())
+    return (low, high) if low < high and right >= SURE else (-np.inf, np.inf)
+
+
 class CoTrained:
     """Two calibrated views and the prior."""
 
-    def __init__(self, views: list[Logistic], calibrated: list[Logistic], prior: float):
-        self.views, self.calibrated, self.prior = views, calibrated, prior
+    COLUMNS = ([0, 1], [2])  # of the evidence, by view
 
-    def odds(self, x: list[np.ndarray]) -> list[np.ndarray]:
-        return [c.odds(v.odds(m)[:, None]) for v, c, m in zip(self.views, self.calibrated, x)]
+    def __init__(self, ratios: list[np.ndarray], evidence: np.ndarray, y: np.ndarray):
+        """From rows with known classes that the views have not learned from."""
+        self.ratios = ratios
+        self.calibrated = [Logistic().fit(evidence[:, at], y) for at in self.COLUMNS]
+        self.prior = float(np.log(y.mean() / (1 - y.mean())))
+        self.bounds = [bounds(c.odds(evidence[:, at]), y) for c, at in zip(self.calibrated, self.COLUMNS)]
 
-    def scores(self, x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def odds(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        x = batch.evidence(self.ratios)
+        return tuple(c.odds(x[:, at]) for c, at in zip(self.calibrated, self.COLUMNS))
+
+    def scores(self, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of good quality: both views together, content alone, metadata alone."""
-        a, b = self.odds(x)
+        a, b = self.odds(batch)
         return tuple(1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in (a + b - self.prior, a, b))
 
+    def taught(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """Pseudo-labels (nan: none) for content, of which metadata is sure, and for metadata, of which content is sure."""
+        a, b = (np.where(o >= high, 1.0, np.where(o <= low, 0.0, np.nan)) for o, (low, high) in zip(self.odds(batch), self.bounds))
+        return b, a
+
+
+def _some_at_a_time(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), TOGETHER):
+            yield batch.iloc[at : at + TOGETHER]
+
+
+def _sums(rows: DataFrame, marks: Callable[[pd.DataFrame, Batch], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sums over all rows with the marks that they are given; added up in the tasks, then by slot."""
 
-def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], folds: np.ndarray, rounds: int = ROUNDS) -> CoTrained | None:
-    """``folds``: 0 for the labelled rows kept for calibration. None if a class is missing where it is needed."""
-    kept, learn = folds == 0, folds != 0
-    if any(len(set(y[s])) < 2 for s in (kept, learn)):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((PARTS[-1].stop, 2))
+        for some in _some_at_a_time(batches):
+            batch = Batch(some)
+            total += batch.counts(*marks(some, batch))
+        at = np.flatnonzero(total.any(1))
+        yield pd.DataFrame({"slot": at, "bad": total[at, 0], "good": total[at, 1]})
+
+    sums = rows.mapInPandas(run, "slot int, bad double, good double").groupBy("slot").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    out = np.zeros((PARTS[-1].stop, 2))
+    got = sums.toPandas()  # so many rows at most
+    out[got["slot"].to_numpy(int)] = got[["bad", "good"]].to_numpy(float)
+    return out
+
+
+def _calibrated(sample: DataFrame, counts: np.ndarray) -> CoTrained | None:
+    """The views of these sums, calibrated on the sample's rows of fold 0; None if those lack a class."""
+    ratios = log_ratios(counts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in _some_at_a_time(batches):
+            x = Batch(some).evidence(ratios)
+            yield pd.DataFrame({"doc_id": some["doc_id"], "y": some["y"], "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})
+
+    got = sample.where("fold = 0").mapInPandas(run, "doc_id bigint, y int, a double, b double, c double").toPandas().sort_values("doc_id")  # a part of the bounded sample
+    y = got["y"].to_numpy(float)
+    if len(set(y)) < 2:
         return None
-    views = [content, metadata]
-    own = [[v[learn]] for v in views]
-    marks = [[y[learn]], [y[learn]]]
-    free = np.ones(len(pool[0]), dtype=bool)
-    good = float(y[learn].mean())
-    models = [Logistic().fit(content[learn], y[learn]), Logistic().fit(metadata[learn], y[learn])]
-    for _ in range(rounds):
-        each = int(GROWTH * len(free))
-        for view, other in ((0, 1), (1, 0)):
-            left = np.flatnonzero(free)
-            if not each or len(left) < 2 * each:
-                break
-            odds = models[view].odds(pool[view][left])
-            order = left[np.argsort(odds, kind="stable")]
-            bad_n = max(1, round(each * (1 - good)))
-            picked = np.concatenate([order[:bad_n], order[-max(1, each - bad_n) :]])
-            guess = np.concatenate([np.zeros(bad_n), np.ones(len(picked) - bad_n)])
-            sure = models[view].odds(pool[view][picked]) * (2 * guess - 1) >= np.log(9)  # 0.9 or more
-            picked, guess = picked[sure], guess[sure]
-            own[other].append(pool[other][picked])
-            marks[other].append(guess)
-            free[picked] = False
-        models = [Logistic().fit(np.concatenate(own[i]), np.concatenate(marks[i])) for i in (0, 1)]
-    calibrated = [Logistic().fit(m.odds(v[kept])[:, None], y[kept]) for m, v in zip(models, views)]
-    rate = float(y[kept].mean())
-    return CoTrained(models, calibrated, float(np.log(rate / (1 - rate))))
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
-    """Fits on the documents whose ids a hash draws; only their vectors come to the driver."""
+    return CoTrained(ratios, got[["a", "b", "c"]].to_numpy(float), y)
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
+    """Co-trains on all of ``docs`` (doc_id, text, lang, source, n_chars) and a bounded sample of ``labels`` (doc_id, quality)."""
+    in_small_batches(docs.sparkSession)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
-    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("_y"))
-    n_marks, n_docs = marks.count(), docs.count()
-    if not n_marks or not n_docs:
-        return None
-    some = marks.where(draw < F.lit(int(1_000_003 * min(1.0, labelled / n_marks)))).limit(2 * labelled)  # so many rows of two numbers are broadcast
-    few = draw >= F.lit(int(1_000_003 * (1 - min(1.0, (labelled + pool) / n_docs))))
-    rows = docs.select(*(F.col(c) for c in ("doc_id", "text", "lang", "source", "n_chars")), few.alias("_few"))
-    rows = rows.join(F.broadcast(some), "doc_id", "left").where(F.col("_y").isNotNull() | F.col("_few"))
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                a, b = _vectors(batch)
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["_y"].astype("Int32"), "a": list(a), "b": list(b)})
-
-    got = rows.select("doc_id", "text", "lang", "source", "n_chars", "_y").mapInPandas(vectors, "doc_id bigint, y int, a array<double>, b array<double>")
-    got = got.limit(4 * (labelled + pool)).toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    if got.empty:
+    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
+    n_marks = marks.count()
+    if not n_marks:
         return None
-    a, b, y = np.array(got["a"].tolist()), np.array(got["b"].tolist()), got["y"].to_numpy(dtype=float, na_value=np.nan)
-    known = ~np.isnan(y)
-    folds = np.array([zlib.crc32(str(i).encode()) % 4 for i in got["doc_id"]])
-    if not known.any():
+    drawn = marks.where(draw < F.lit(int(1_000_003 * min(1.0, labelled / n_marks)))).orderBy(draw, "doc_id").limit(2 * labelled)  # bounded, so it is broadcast
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"))
+    one = F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")
+    sample = rows.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(one)
+    fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4).alias("fold")
+    sample = written(sample.select("doc_id", "y", "d.*", fold), "labelled")
+
+    known = lambda some, batch: (some["y"].to_numpy(float),) * 2
+    base = _sums(sample.where("fold <> 0").select("y", "text", "lang", "source", "n_chars"), known)
+    if not base.any(0).all():
         return None
-    return co_train(a[known], b[known], y[known], (a[~known], b[~known]), folds[known])
+    model = _calibrated(sample, base)
+    unlabelled = rows.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_anti").select("text", "lang", "source", "n_chars")
+    for _ in range(rounds if model else 0):
+        model = _calibrated(sample, base + _sums(unlabelled, lambda some, batch, now=model: now.taught(batch)))
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     """``docs`` with quality_score, content_score and metadata_score (probabilities of good quality)."""
-    names = ["quality_score", "content_score", "metadata_score"]
-    rest = [c for c in docs.columns if c not in names]
+    in_small_batches(docs.sparkSession)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in NAMES]
     docs = docs.select(*rest)
     if model is None:
-        return docs.withColumns({n: F.lit(1.0) for n in names})
+        return docs.withColumns({n: F.lit(1.0) for n in NAMES})
 
     @F.pandas_udf("quality_score double, content_score double, metadata_score double")
     def scored(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         batch = pd.DataFrame({"text": text, "lang": lang, "source": source, "n_chars": n_chars})
-        return pd.DataFrame(dict(zip(names, model.scores(list(_vectors(batch)))))) if len(batch) else pd.DataFrame({n: [] for n in names}, dtype=float)
+        parts = [np.stack(model.scores(Batch(some)), 1) for some in _some_at_a_time(iter([batch]))]
+        return pd.DataFrame(np.concatenate([*parts, np.zeros((0, 3))]), columns=list(NAMES))
 
-    return docs.withColumn("_q", scored("text", "lang", "source", F.col("n_chars").cast("bigint"))).select(*rest, *[F.col(f"_q.{n}") for n in names])
+    got = scored("text", "lang", "source", F.col("n_chars").cast("bigint"))
+    return docs.select(*rest, got.alias("_scores")).select(*rest, *[F.col(f"_scores.{n}").alias(n) for n in NAMES])

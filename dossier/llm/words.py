@@ -56,7 +56,7 @@ def _words(raw: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndar
 def hashed_words(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words before each text and after the last)."""
     hashes, counts = [np.zeros(0, dtype=np.uint64)], []
-    for first, last in _stretches(texts):
+    for first, last in stretches(texts):
         if last - first == 1 and len(texts[first]) > CHUNK:
             own = [_words(np.frombuffer(part, dtype=np.uint8), separators)[2] for part in _parts(texts[first], separators)]
             hashes += own
@@ -70,7 +70,7 @@ def hashed_words(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray
     return np.concatenate(hashes), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)
 
 
-def _stretches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def stretches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Neighbouring texts of about CHUNK bytes together; a longer one alone."""
     first, size = 0, 0
     for i, text in enumerate(texts):
