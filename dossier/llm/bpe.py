@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 SEGMENT = 1_000_000  # characters that are split into pieces at a time
 MEMO_PIECES = 400_000  # distinct pieces kept, then forgotten: bounds a worker's memory
 MEMO_PAIRS = 1_000_000
@@ -187,4 +189,5 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
+    in_small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(run, schema)

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
 from .words import mix, powers
 
 SAMPLE = 250  # documents a language, about
@@ -328,6 +329,7 @@ def predict(docs: DataFrame, model: Crf | None, together: int = 100_000) -> Data
                 at = end
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": names, "score": scores})
 
+    in_small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return rows.mapInPandas(run, "doc_id bigint, lang_pred string, score double")
 

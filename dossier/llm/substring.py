@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
 from .words import SPACES, hashed_words, starts, windows
 
 RANGE_HASHES = 1_000_000  # hashes that a range is meant to hold
@@ -194,6 +195,7 @@ def dedup_passages(docs: DataFrame, length: int = 13, rewrite: bool = True) -> D
     words are what is left, joined by one space; other texts stay as they are.
     """
     spark = docs.sparkSession
+    in_small_batches(spark)
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "_block")]
     count, chars = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))

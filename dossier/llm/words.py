@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 20  # bytes hashed at a time
+CHUNK = 1 << 18  # bytes hashed at a time
 
 #: Separators: ASCII white space; or all of ASCII but letters and digits.
 SPACES = np.zeros(256, dtype=bool)
