@@ -3,22 +3,24 @@
 Each word of letters is a node. Its features are affixes (1 to 3 first, 1 to 4 last letters),
 letter n-grams (2 and 3, with word ends), the word itself and its share among the languages in the
 training words (the lexicon). Transitions between the labels of neighbours are learned too. The
-training chains are windows of labelled texts, most of them spliced from texts of different languages, so the
+training chains are whole labelled texts, cut into stretches of ``CHAIN`` words, and as many spliced from texts of different languages, so the
 transitions are those of code-switched text. Marginals come from forward-backward; a text's
 language is the label with the largest mean marginal over its words, which is the score.
 
-The model is fitted on a bounded sample, ``SAMPLE`` documents a language drawn by a hash of
-doc_id and ``WINDOW`` words of each, and sent to the tasks with their code. Prediction is a map over
+The model is fitted on a bounded sample of labelled documents, about ``SAMPLE`` a language drawn by a hash of
+doc_id (of several rows with one id and language the text that sorts first), whole texts, and sent to the tasks with their code. Prediction is a map over
 whole texts without a shuffle. It looks at the text alone.
 
-``und`` with score 0 for null texts and those without a letter, and for all if there is nothing to
-learn from. Rows are predicted one by one: repeated rows give repeated results, null ids stay null.
+``und`` with score 0 for null texts and those without a letter (number signs such as 2 in superscript are none), and for all if there is nothing to
+learn from. Rows are predicted one by one: repeated rows give repeated results, null ids stay null. Texts of any length are labelled whole, long ones alone.
+Of equally likely languages the first by name is taken. An empty table gives an empty result. Other columns, whatever they are called, are left out.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +31,14 @@ from pyspark.sql import functions as F
 from .common import in_small_batches
 from .words import mix, powers
 
-SAMPLE = 250  # documents a language, about
-WINDOW = 160  # words of each
+SAMPLE = 60  # documents a language, about
+CHAIN = 160  # words of a training chain
 SLOTS = 1 << 16  # hashed features
 BUCKET = 32  # words that are folded into one step along a text
 MEMO = 200_000  # words whose features are kept
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: \w also takes signs of numbers, which are no letters.
+WORDS = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")))
 
 
 def slots_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,36 +224,29 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray, s
     return out / out.sum(1, keepdims=True)
 
 
-def training_windows(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, window: int = WINDOW) -> list[tuple[str, int, list[str]]]:
-    """(label, doc_id, words) of about ``sample`` documents a label, drawn by a hash of their ids."""
+def training_texts(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> list[tuple[str, int, list[str]]]:
+    """(label, doc_id, words) of about ``sample`` whole documents a label, drawn by a hash of their ids."""
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     share = F.lit(0.0)
     for name, n in sorted(counts.items()):
         share = F.when(F.col(label) == name, min(1.0, sample / n)).otherwise(share)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, doc_id, text in zip(batch[label], batch["doc_id"], batch["text"]):
-                words = WORDS.findall(text.lower())
-                at = zlib.crc32(str(doc_id).encode()) % max(1, len(words) - window)
-                if words:
-                    out.append((name, doc_id, [w[:40] for w in words[at : at + window]]))
-            yield pd.DataFrame(out, columns=["label", "doc_id", "words"])
-
-    drawn = rows.where(draw < share).select(label, "doc_id", "text").mapInPandas(cut, "label string, doc_id bigint, words array<string>")
-    return sorted((r.label, r.doc_id, r.words) for r in drawn.limit(2 * sample * max(1, len(counts))).collect())
+    drawn = rows.where(draw < share).groupBy(F.col(label).alias("label"), "doc_id").agg(F.min("text").alias("text"))
+    texts = sorted((r.label, r.doc_id, WORDS.findall(r.text.lower())) for r in drawn.collect())  # the bounded sample
+    return [t for t in texts if t[2]]
 
 
-def spliced(windows: list[tuple[str, int, list[str]]], labels: list[str]) -> list[tuple[list[str], list[int]]]:
-    """Chains for training: each window as it is, and as many spliced from stretches of several."""
+def spliced(texts: list[tuple[str, int, list[str]]], labels: list[str]) -> list[tuple[list[str], list[int]]]:
+    """Chains for training: all words of the texts as they are, and as many chains spliced from stretches of several."""
     rng = np.random.default_rng(7)
     number = {name: i for i, name in enumerate(labels)}
-    chains = [(words, [number[name]] * len(words)) for name, _, words in windows]
-    by = {name: [w for n, _, w in windows if n == name] for name in labels}
-    for _ in range(len(windows)):
+    chains = []
+    for name, _, words in texts:
+        cuts = [words[at : at + CHAIN] for at in range(0, len(words), CHAIN)]
+        chains += [(some, [number[name]] * len(some)) for some in cuts]
+    by = {name: [w for n, _, w in texts if n == name] for name in labels}
+    for _ in range(len(chains)):
         words: list[str] = []
         marks: list[int] = []
         while len(words) < 80:
@@ -260,18 +256,18 @@ def spliced(windows: list[tuple[str, int, list[str]]], labels: list[str]) -> lis
             at = int(rng.integers(0, max(1, len(source) - size)))
             words += source[at : at + size]
             marks += [number[name]] * len(source[at : at + size])
-        chains.append((words[:WINDOW], marks[:WINDOW]))
+        chains.append((words, marks))
     return chains
 
 
 def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Crf | None:
     """The model of the given labelled documents, or None if they teach nothing."""
-    windows = training_windows(docs, label, sample)
-    labels = sorted({name for name, _, _ in windows})
+    texts = training_texts(docs, label, sample)
+    labels = sorted({name for name, _, _ in texts})
     if not labels:
         return None
     model = Crf(labels)
-    model.fit(spliced(windows, labels))
+    model.fit(spliced(texts, labels))
     return model
 
 

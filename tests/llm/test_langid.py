@@ -1,8 +1,11 @@
 """Language identification: exact marginals, held-out accuracy, code-switched words."""
 
 import itertools
+import unicodedata
 
 import numpy as np
+import pytest
+import regex as re
 from dossier.llm import langid
 from dossier.llm.langid import Crf, Reader, forward_backward, held_out, predict, train
 from dossier.llm.queries import op2_language_id
@@ -58,6 +61,55 @@ def test_odd_rows(spark):
     assert train(frame.limit(0)) is None and predict(frame.limit(0), model).count() == 0
 
 
+def plain_prediction(model, text):
+    """One text, word by word, by the textbook's recursions."""
+    words = re.findall(r"\p{L}+", (text or "").lower()) if text else []
+    if not words:
+        return "und", 0.0
+    n = len(model.labels)
+    emit = [[sum(model.weights[s, k] for s in langid.slots_of([w])[0]) + (model.lexicon[w][k] if w in model.lexicon else 0) for k in range(n)] for w in words]
+    emit = [np.exp(np.array(e) - max(e)) for e in emit]
+    moves = np.exp(model.moves)
+    alpha = [np.exp(model.start) * emit[0]]
+    for e in emit[1:]:
+        alpha.append(alpha[-1] @ moves * e)
+        alpha[-1] /= alpha[-1].sum()
+    beta = [np.ones(n)]
+    for e in reversed(emit[1:]):
+        beta.append(moves @ (e * beta[-1]))
+        beta[-1] /= beta[-1].sum()
+    both = np.array(alpha) * np.array(beta[::-1])
+    mean = (both / both.sum(1, keepdims=True)).mean(0)
+    return model.labels[int(mean.argmax())], float(mean.max())
+
+
+def test_same_as_plain_python(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    model = train(docs.where(~held_out()), sample=20)
+    got = {r.doc_id: r for r in predict(docs, model).collect()}
+    assert len(got) == docs.count()
+    for row in docs.collect():
+        name, score = plain_prediction(model, row.text)
+        assert (got[row.doc_id].lang_pred, got[row.doc_id].score) == (name, pytest.approx(score, abs=1e-6))
+
+
+def test_number_signs_are_no_letters(spark):
+    model = train(spark.createDataFrame([(1, "the of and", "en"), (2, "le la des", "fr")], "doc_id bigint, text string, lang string"))
+    frame = spark.createDataFrame([(1, "½ ² ① Ⅷ 7"), (2, "² the ½of")], "doc_id bigint, text string")
+    assert sorted(map(tuple, predict(frame, model).select("doc_id", "lang_pred").collect())) == [(1, "und"), (2, "en")]
+    odd = "".join(chr(c) for c in (*range(0x20, 0x2FFF), *range(0x1D400, 0x1D800), *range(0x10100, 0x10200)) if unicodedata.category(chr(c)) != "Cn")
+    assert langid.WORDS.findall(odd) == re.findall(r"\p{L}+", odd)
+
+
+def test_training_reads_whole_texts(spark):
+    long = " ".join(["the"] * 400 + ["latest"])
+    rows = [(1, long, "en"), (1, long, "en"), (1, "zz " + long, "en"), (2, "le", "fr"), (3, "..", "fr")]
+    texts = langid.training_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert [(n, i, len(w), w[-1]) for n, i, w in texts] == [("en", 1, 401, "latest"), ("fr", 2, 1, "le")]
+    chains = langid.spliced(texts, ["en", "fr"])
+    assert sum(len(w) for w, _ in chains[: len(chains) // 2]) == 402
+
+
 def test_one_label():
     model = Crf(["en"])
     model.fit([(["the", "of"], [0, 0])])
