@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_company, slugify
 
+ASKED = 256  # new rows that meet a part at a time
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -19,43 +25,59 @@ def unit_normalise(vec: Column) -> Column:
     return F.when(norm > 0, F.transform(vec, lambda x: x / norm)).otherwise(F.transform(vec, lambda x: x.cast("double")))
 
 
-def knn_cosine(new: DataFrame, archive: DataFrame, k: int = 5, threshold: float = 0.72, blocks: int = 64) -> DataFrame:
+def _nearest(k: int, threshold: float):
+    """Over rows sorted so that a cell's archive stands before its new rows: each new row's k nearest in the cell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held, ids, other = None, [], None, None
+        for batch in batches:
+            marks = batch[["part", "deal", "asks"]].to_numpy(np.int64)
+            cuts = np.flatnonzero((np.diff(marks, axis=0, prepend=-1) != 0).any(1))
+            for lo, hi in zip(cuts, [*cuts[1:], len(batch)]):
+                rows, here = batch.iloc[lo:hi], tuple(marks[lo, :2])
+                if here != cell:
+                    cell, held, other = here, [], None
+                if not marks[lo, 2]:
+                    held.append((rows["id"].to_numpy(), np.stack(rows["vec"].to_list()).astype(float)))
+                    continue
+                if other is None and held:
+                    ids, other, held = *(np.concatenate(x) for x in zip(*held)), []
+                for at in range(0, len(rows) if other is not None else 0, ASKED):
+                    some = rows.iloc[at : at + ASKED]
+                    vec = np.stack(some["vec"].to_list()).astype(float)
+                    like = vec @ other.T
+                    like[some["id"].to_numpy()[:, None] == ids] = -np.inf
+                    least = np.full(len(some), threshold)
+                    if other.shape[0] > k:
+                        least = np.maximum(least, np.partition(like, -k, axis=1)[:, -k])
+                    i, j = np.nonzero(like >= least[:, None] - 1e-9)
+                    exact = np.zeros(len(i))
+                    for d in range(vec.shape[1]):  # summed up in order, as the expression does
+                        exact += vec[i, d] * other[j, d]
+                    yield pd.DataFrame({"id": some["id"].to_numpy()[i], "matched": ids[j], "similarity": exact})
+
+    return run
+
+
+def knn_cosine(new: DataFrame, archive: DataFrame, k: int = 5, threshold: float = 0.72, part: int = 20_000) -> DataFrame:
     """(id, matched, similarity, place): the k nearest archive rows of each new one at the threshold, exactly.
 
-    Both sides hold ``id`` and a unit vector ``vec``. The archive is dealt into blocks and every new row visits each block once, so the comparison spreads
-    over the cluster whatever the sizes; each block passes on k rows a query.
+    Both sides hold ``id`` and a unit vector ``vec``, all of one length; rows with a null one take no part. Both are dealt into parts of about ``part`` rows by
+    a hash of the id, and each two parts meet once in a task, as products of matrices; a cell passes on k rows a query (and ties).
     """
-    a = archive.where(F.col("vec").isNotNull()).select(F.col("id").alias("matched"), F.col("vec").alias("other"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    n = new.where(F.col("vec").isNotNull()).select("id", "vec", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    near = n.join(a, "block").where("id <> matched").withColumn("similarity", dot(F.col("vec"), F.col("other"))).where(F.col("similarity") >= threshold)
-    order = W.partitionBy("id").orderBy(F.desc("similarity"), "matched")
-    return near.select("id", "matched", "similarity").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).withColumn("similarity", F.round("similarity", 4))
-
-
-def knn_lsh(new: DataFrame, archive: DataFrame, k: int = 5, threshold: float = 0.72, tables: int = 12, bits: int = 8, seed: int = 5) -> DataFrame:
-    """As knn_cosine, over candidates that share a random-hyperplane bucket: for archives too large to compare in full."""
-    import random
-
-    rng = random.Random(seed)
-    dims = archive.select(F.max(F.size("vec"))).first()[0] or 1
-    planes = [[[rng.gauss(0, 1) for _ in range(dims)] for _ in range(bits)] for _ in range(tables)]
-
-    def buckets(vec: Column) -> Column:
-        keys = []
-        for t, table in enumerate(planes):
-            key = F.lit(t)
-            for plane in table:
-                key = key * 2 + (dot(vec, F.lit(plane)) > 0).cast("int")
-            keys.append(key)
-        return F.explode(F.array(*keys))
-
-    a = archive.where(F.col("vec").isNotNull()).select(F.col("id").alias("matched"), buckets(F.col("vec")).alias("bucket"))
-    n = new.where(F.col("vec").isNotNull()).select("id", buckets(F.col("vec")).alias("bucket"))
-    pairs = n.join(a, "bucket").where("id <> matched").select("id", "matched").distinct()
-    near = pairs.join(new.select("id", "vec"), "id").join(archive.select(F.col("id").alias("matched"), F.col("vec").alias("other")), "matched")
-    near = near.withColumn("similarity", dot(F.col("vec"), F.col("other"))).where(F.col("similarity") >= threshold)
+    sides = [x.where(F.col("vec").isNotNull()).select("id", F.col("vec").cast("array<double>").alias("vec")) for x in (archive, new)]
+    parts, deals = (max(1, -(-x.count() // part)) for x in sides)
+
+    def dealt(rows: DataFrame, own: str, n: int, other: str, m: int, asks: bool) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
+        return rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), every, F.lit(asks).alias("asks"))
+
+    cells = dealt(sides[0], "part", parts, "deal", deals, False).unionByName(dealt(sides[1], "deal", deals, "part", parts, True))
+    cells = cells.repartition("part", "deal").sortWithinPartitions("part", "deal", "asks")
+    kind = new.schema["id"].dataType.simpleString()
+    near = cells.mapInPandas(_nearest(k, threshold), f"id {kind}, matched {kind}, similarity double").where(F.col("similarity") >= threshold)
     order = W.partitionBy("id").orderBy(F.desc("similarity"), "matched")
-    return near.select("id", "matched", "similarity").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).withColumn("similarity", F.round("similarity", 4))
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).withColumn("similarity", F.round("similarity", 4))
 
 
 def similarity_gate(new: DataFrame, matches: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def pipe_tables(qa: DataFrame, key: str = "doc_id", text: str = "answer", place:
     widths = F.transform("all", lambda r: F.size(r))
     counted = F.transform(F.array_distinct(widths), lambda w: F.struct(F.size(F.filter(widths, lambda x: x == w)).alias("times"), w.alias("width")))
     out = out.withColumn("width", F.array_max(counted)["width"]).withColumn("all", F.filter("all", lambda r: F.size(r) == F.col("width")))
-    return out.where(F.size("all") >= 2).select(key, place, "width", F.element_at("all", 1).alias("headers"), F.slice("all", 2, 100_000).alias("rows"))
+    return out.where(F.size("all") >= 2).select(key, place, "width", F.element_at("all", 1).alias("headers"), F.slice("all", F.lit(2), F.size("all")).alias("rows"))
 
 
 def aligned_tables(qa: DataFrame, key: str = "doc_id", text: str = "answer", place: str = "place") -> DataFrame:
@@ -138,7 +138,7 @@ def normalise_table(df: DataFrame, rows: str = "rows") -> DataFrame:
     out = df.withColumn("_rows", clean).where(F.coalesce(F.array_max(F.transform("_rows", lambda r: F.size(r))), F.lit(0)) > 1)
     several = F.size("_rows") > 1
     headers = F.when(several, F.element_at("_rows", 1)).otherwise(F.array().cast("array<string>"))
-    return out.withColumn("headers", headers).withColumn(rows, F.when(several, F.slice("_rows", 2, 100_000)).otherwise(F.col("_rows"))).drop("_rows")
+    return out.withColumn("headers", headers).withColumn(rows, F.when(several, F.slice("_rows", F.lit(2), F.size("_rows"))).otherwise(F.col("_rows"))).drop("_rows")
 
 
 def clean_metadata(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+MOST_CENTROIDS = 200
 
 def drop_repeated_lines(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.split(F.col(text), "\n")
@@ -86,11 +87,20 @@ def classify_keyword(scores: DataFrame, key: str = "doc_id", least: float = 3.0)
 
 
 def classify_semantic(blocks: DataFrame, centroids: DataFrame, key: str = "doc_id", least: float = 0.3, default: str = "vision") -> DataFrame:
-    """(key, block, section, confidence, method) by the nearest of a few centroids (section, position, centre); ``vec`` is the block's unit vector."""
+    """(key, block, section, confidence, method) by the cosine to the nearest of a few centroids (section, position, centre); ``vec`` is the block's unit vector.
+
+    There is one centroid a section, MOST_CENTROIDS at most; they come to the driver and go out with the plan, so blocks are not shuffled.
+    """
     from .dedup import dot
 
-    near = blocks.join(F.broadcast(centroids)).withColumn("score", dot(F.col("vec"), F.col("centre")))
-    best = near.groupBy(key, "block").agg(F.max(F.struct("score", (-F.col("position")).alias("early"), "section")).alias("b"))
+    few = centroids.select("section", F.col("position").cast("bigint"), F.col("centre").cast("array<double>")).limit(MOST_CENTROIDS + 1).collect()
+    if len(few) > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
+    scored = [
+        F.struct(F.round(dot(F.col("vec"), F.lit(c.centre)) / (sum(x * x for x in c.centre) ** 0.5 or 1.0), 9).alias("score"), F.lit(-c.position).alias("early"), F.lit(c.section).alias("section"))
+        for c in few
+    ]
+    best = blocks.select(key, "block", F.array_max(F.array(*scored)).alias("b"))
     sure = F.col("b.score") >= least
     return best.select(key, "block", F.when(sure, F.col("b.section")).otherwise(default).alias("section"), F.round("b.score", 4).alias("confidence"), F.when(sure, "semantic").otherwise("default").alias("method"))
 

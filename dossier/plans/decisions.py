@@ -36,11 +36,6 @@ def j6_knn_cosine(a: Archive) -> DataFrame:
     return D.knn_cosine(a.vectors, a.vectors, k=5, threshold=0.3)
 
 
-@query()
-def j6_knn_lsh(a: Archive) -> DataFrame:
-    return D.knn_lsh(a.vectors, a.vectors, k=5, threshold=0.3)
-
-
 @query(f"""WITH m AS ({NEAR}) SELECT v.vec_id AS id, m.matched, m.similarity, CASE WHEN m.id IS NULL THEN 'queued' ELSE 'pending_review' END AS status,
     CASE WHEN m.id IS NULL THEN 'approved_for_eval' ELSE 'pending' END AS review_decision FROM embeddings v LEFT JOIN m ON v.vec_id = m.id AND m.place = 1""")
 def d2_similarity_gate(a: Archive) -> DataFrame:
@@ -132,15 +127,14 @@ def g1_conflicts(a: Archive) -> DataFrame:
 
 
 def batch(a: Archive) -> DataFrame:
-    """All proposals as candidates for approval; one in ten acknowledged. Categories are split by month, so that some are free."""
+    """All proposals as candidates for approval; one in ten acknowledged. Categories are split by day, so that some are free."""
     category = F.concat("category", F.lit("/"), F.date_format("created_at", "yyyy-MM-dd"))
     return a.proposals.select("proposal_id", F.col("proposal_id").alias("seq"), F.lit("approved").alias("decision"), (F.col("proposal_id") % 10 == 0).alias("acknowledged"), "is_evaluated", category.alias("category"), "company_id")
 
 
 @query()
 def g2_decide_batch(a: Archive) -> DataFrame:
-    ledger = a.decisions.where("decision = 'approved' AND proposal_id % 3 = 0")
-    return G.decide_batch(batch(a), ledger)
+    return G.decide_batch(batch(a), a.decisions.where("decision = 'approved'"))
 
 
 @query("SELECT d.proposal_id, coalesce(CASE WHEN d.proposal_id % 2 = 0 THEN d.category END, p.category) AS category, p.company_id, CAST(year(decided_at) AS INT) AS decision_year, CAST(month(decided_at) AS INT) AS decision_month FROM decisions d JOIN proposals p USING (proposal_id)")

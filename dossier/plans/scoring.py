@@ -51,14 +51,12 @@ def r1_rubric_of_answers(a: Archive) -> DataFrame:
     return a.answers.join(F.broadcast(rubric), "parameter").groupBy("parameter", "name", "weight").agg(F.count("*").alias("answers"))
 
 
-@query("""SELECT doc_id, len(list_filter(q, lambda x: length(x) >= 10)) AS citations, coalesce(len(list_filter(q, lambda x: length(x) >= 10)[1]), 0) AS first_length FROM (
-    SELECT doc_id, list_transform(string_split(text, chr(10))[1:5], lambda x: substr(trim(x, ' '), 1, 1200)) AS q FROM documents WHERE len(list_filter(string_split(text, chr(10))[1:5], lambda x: length(trim(x, ' ')) < 10)) = 0)""")
+@query("""SELECT doc_id, least(len(q), 5) AS citations, coalesce(length(q[1]), 0) AS first_length, sha256(coalesce(array_to_string(q[1:5], chr(10)), '')) AS digest FROM (
+    SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: length(x) >= 10), lambda x: substr(x, 1, 1200)) AS q FROM documents)""")
 def r2_parse_citations(a: Archive) -> DataFrame:
-    lines = F.split("text", "\n")
-    # documents whose first five lines are all long enough, so that the first five kept quotes are these
-    full = F.size(F.filter(F.slice(lines, 1, 5), lambda x: F.length(F.trim(x)) < 10)) == 0
-    quotes = R.parse_citations(lines)
-    return a.texts.where(full).select("doc_id", F.size(quotes).cast("bigint").alias("citations"), F.coalesce(F.length(F.get(quotes, F.lit(0))), F.lit(0)).cast("bigint").alias("first_length"))
+    quotes = R.parse_citations(F.split("text", "\n"))
+    first = F.coalesce(F.length(F.get(quotes, F.lit(0))), F.lit(0)).cast("bigint")
+    return a.texts.select("doc_id", F.size(quotes).cast("bigint").alias("citations"), first.alias("first_length"), F.sha2(F.array_join(quotes, "\n"), 256).alias("digest"))
 
 
 FOLD = "trim(regexp_replace(translate(lower({0}), '‘’“”–— ', '''''\"\"-- '), '\\s+', ' ', 'g'))"

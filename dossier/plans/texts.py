@@ -154,12 +154,17 @@ def x16_classify_keyword(a: Archive) -> DataFrame:
     return S.classify_keyword(S.keyword_scores(blocks(a), taxonomy_table(a.spark, DEMO)))
 
 
-@query("""WITH c AS (SELECT vec_id AS position, 's' || vec_id AS section, embedding AS centre FROM embeddings WHERE vec_id < 10),
-    s AS (SELECT vec_id AS doc_id, section, position, list_sum(list_transform(list_zip(embedding, centre), lambda p: CAST(p[1] AS DOUBLE) * p[2])) AS score FROM embeddings, c)
+@query("""WITH m AS (SELECT label AS position, i, sum(CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) / count(*) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
+    c AS (SELECT position, 's' || position AS section, list(x ORDER BY i) AS centre, sqrt(sum(x * x)) AS size FROM m GROUP BY ALL),
+    s AS (SELECT vec_id AS doc_id, section, position, round(list_sum(list_transform(list_zip(embedding, centre), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / size, 9) AS score FROM embeddings, c)
     SELECT doc_id, CASE WHEN score >= 0.3 THEN section ELSE 'vision' END AS section, round(score, 4) AS confidence, CASE WHEN score >= 0.3 THEN 'semantic' ELSE 'default' END AS method
     FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) = 1""")
 def x17_classify_semantic(a: Archive) -> DataFrame:
-    centroids = a.vectors.where("id < 10").select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("section"), F.col("id").alias("position"), F.col("vec").alias("centre"))
+    """The nearest of the labels' mean vectors; whole numbers are added up, so that the order of rows has no say."""
+    parts = a.vectors.select(F.col("company").alias("position"), F.posexplode("vec").alias("i", "x"))
+    means = parts.groupBy("position", "i").agg((F.sum(F.floor(1024 * F.col("x").cast("double")).cast("bigint")) / F.count("*")).alias("x"))
+    listed = means.groupBy("position").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centre"))
+    centroids = listed.select(F.concat(F.lit("s"), F.col("position").cast("string")).alias("section"), "position", "centre")
     rows = a.vectors.select(F.col("id").alias("doc_id"), F.lit(0).alias("block"), "vec")
     return S.classify_semantic(rows, centroids).drop("block")
 
@@ -174,13 +179,16 @@ def x18_sectionise(a: Archive) -> DataFrame:
 
 
 NAMES = ("problem", "vision", "adoption", "solution", "pilot", "identity")
-LINES = "SELECT doc_id, [" + ", ".join(f"'{n}'" for n in NAMES) + "][i] AS section, string_split(text, chr(10))[i] AS text, i FROM documents, range(1, 7) r(i) WHERE trim(string_split(text, chr(10))[i], ' ') <> ''"
+LINES = "SELECT doc_id, [" + ", ".join(f"'{n}'" for n in NAMES) + "][1 + (i - 1) % 6] AS section, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY ALL HAVING trim(string_agg(line, chr(10) ORDER BY i), ' ') <> ''"
 
 
 def line_sections(a: Archive) -> DataFrame:
-    """The first six lines of a document as its sections, by name."""
-    lines = a.texts.select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, len(NAMES))).alias("i", "text"))
-    return lines.where(F.trim("text") != "").select("doc_id", F.element_at(F.array(*map(F.lit, NAMES)), F.col("i") + 1).alias("section"), "text")
+    """The lines of whole documents, dealt out in turn to six sections and joined in order."""
+    names = F.array(*map(F.lit, NAMES))
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct((i % len(NAMES)).alias("at"), line.alias("line")))
+    own = lambda i: F.transform(F.filter("lines", lambda x: x["at"] == i), lambda x: x["line"])
+    rows = a.texts.select("doc_id", lines.alias("lines")).select("doc_id", F.explode(F.transform(names, lambda name, i: F.struct(name.alias("section"), F.array_join(own(i), "\n").alias("text")))).alias("s"))
+    return rows.select("doc_id", "s.section", "s.text").where(F.trim("text") != "")
 
 
 @query(f"SELECT doc_id, section, text FROM ({LINES})")

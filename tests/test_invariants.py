@@ -5,6 +5,7 @@ import json
 import random
 import uuid
 
+import numpy as np
 import pytest
 from dossier.config import RUBRIC, rubric_table
 from dossier.functions import text as X
@@ -169,13 +170,16 @@ def test_listing(spark):
     assert L.status_in(frame.withColumn("status", F.lit("a")), " , ").count() == 4
 
 
-def test_knn_by_buckets_recalls_most(spark, small_dir):
+def test_knn_meets_every_part(spark, small_dir):
     v = spark.read.parquet(f"{small_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    near = v.unionAll(v.where("id % 5 = 0").select((F.col("id") + 100_000).alias("id"), F.transform("vec", lambda x, i: x + F.when(i == 0, 0.3).otherwise(0.0)).cast("array<float>").alias("vec")))
-    unit = near.select("id", D.unit_normalise(F.col("vec")).alias("vec"))
-    exact = {(r.id, r.matched) for r in D.knn_cosine(unit, unit).collect()}
-    found = {(r.id, r.matched) for r in D.knn_lsh(unit, unit).collect()}
-    assert found <= exact and len(found) >= 0.9 * len(exact) > 100
+    rows = v.unionAll(v.where("id % 5 = 0").select((F.col("id") + 100_000).alias("id"), "vec")).unionAll(v.limit(1).select(F.lit(-1).cast("bigint"), F.lit(None).cast("array<float>")))
+    one, many = (sorted(map(tuple, D.knn_cosine(rows, rows, threshold=0.3, part=part).collect())) for part in (20_000, 17))
+    vectors = {r.id: np.array(r.vec, float) for r in rows.collect() if r.vec is not None}
+    want = []
+    for i, x in vectors.items():
+        near = sorted((-round(float(x @ y), 9), j) for j, y in vectors.items() if j != i and x @ y >= 0.3)[:5]
+        want += [(i, j, n + 1) for n, (_, j) in enumerate(near)]
+    assert one == many and [(i, j, n) for i, j, _, n in one] == sorted(want, key=lambda w: (w[0], w[1])) and len(want) > 100
     zero = spark.createDataFrame([([0.0, 0.0],)], "vec array<double>").select(D.unit_normalise(F.col("vec"))).first()[0]
     assert zero == [0.0, 0.0]
 
