@@ -10,7 +10,9 @@ of its pages) / ``ratio`` such lines. Their table is broadcast while it is small
 at; beyond that it is joined by host, where adaptive execution splits large hosts.
 
 Blank lines are never dropped. Null texts stay null; pages whose host is null form no site and stay as they
-are. A page that loses all its lines keeps an empty text. Repeated rows count as pages of their own.
+are. A page that loses all its lines keeps an empty text. Repeated rows count as pages of their own. Texts of any length are
+taken whole. A line at the ratio exactly stays. An empty table gives an empty result. Other columns stay, whatever they are called, but for n_lines and
+n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ def _key(line):
 
 
 def _lines(text: str):
-    return F.split(F.col(text), "\n")
+    return F.split(F.col(f"`{text}`"), "\n")
 
 
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """(host, key, pages, share): the boilerplate lines of each host, by hash."""
-    sites = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"))
+    sites = pages.where(F.col(f"`{host}`").isNotNull()).select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
     totals = sites.groupBy("host").agg(F.count("*").alias("total"))
     own = F.array_distinct(F.transform(F.filter(_lines("text"), lambda x: F.trim(x) != ""), _key))
     counted = sites.select("host", F.explode(own).alias("key")).groupBy("host", "key").agg(F.count("*").alias("pages"))
@@ -42,14 +44,16 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """``pages`` with the text of its kept lines, plus ``n_lines`` and ``n_dropped`` (null for a null text)."""
+    """``pages`` with the text of its kept lines, plus ``n_lines`` and ``n_dropped`` (null for a null text; they replace columns of those names)."""
     found = written(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
-    by_host = found.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("key")).alias("_keys"))
+    by_host = found.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     if is_at_most(found, BROADCAST_LINES):
         by_host = F.broadcast(by_host)
-    lines = _lines(text)
-    kept = F.when(F.col("_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_keys"), _key(x))))
-    out = pages.join(by_host, pages[host] == F.col("_host"), "left").withColumn("_kept", kept)
-    size = F.when(F.col(text).isNotNull(), F.size(lines))
-    new = {"n_lines": size, "n_dropped": size - F.size("_kept"), text: F.when(F.col(text).isNotNull(), F.array_join("_kept", "\n"))}
-    return out.select(*[new.pop(c, F.col(c)).alias(c) for c in pages.columns], *[c.alias(name) for name, c in list(new.items())])
+    # a page's columns travel as one, so their names meet no others
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.col(f"`{host}`").alias("of_host"), _lines(text).alias("lines"))
+    kept = F.when(F.col("keys").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("keys"), _key(x))))
+    out = rows.join(by_host, F.col("of_host") == F.col("host"), "left").withColumn("kept", kept)
+    size = F.when(F.col("lines").isNotNull(), F.size("lines"))
+    new = {"n_lines": size, "n_dropped": size - F.size("kept"), text: F.array_join("kept", "\n")}
+    names = [*pages.columns, *[n for n in new if n not in pages.columns]]
+    return out.select(*[new.get(c, F.col(f"page.`{c}`")).alias(c) for c in names])

@@ -9,10 +9,12 @@ There are no more different lengths than the capacity, so all this needs only th
 of each length. The driver plans with that histogram (at most ``capacity`` rows whatever the
 corpus) and the plan says: of length l, the pieces with ranks from r on go to sequences from s on,
 at offset o. Its size depends on the capacity alone. Ranks are counted on the executors, within
-hash buckets of each length, so a length that holds a third of all pieces is no hot key.
+buckets of each length, dealt by a number that each piece got when it was written: neither a length nor an id that holds
+a third of all pieces is a hot key.
 
 Null texts count as empty (a document of one token, the end mark). Repeated rows and rows with a
-null id are pieces like any other. An empty table gives an empty result.
+null id are pieces like any other. Texts of any length are coded whole. Which of equally long pieces goes where is open. An empty table gives an
+empty result. Other columns of documents, whatever they are called, are left out; those of pieces stay.
 """
 
 from __future__ import annotations
@@ -143,43 +145,46 @@ class Plan:
         return {length: np.array(runs, dtype=np.int64).reshape(-1, 3) for length, runs in self.runs.items()}
 
 
-def _assign(plan: dict[int, np.ndarray]):
+def _assign(plan: dict[int, np.ndarray], columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sequence = np.zeros(len(batch), dtype=np.int64)
             offset = np.zeros(len(batch), dtype=np.int64)
-            ranks, lengths = batch["rank"].to_numpy(), batch["length"].to_numpy()
+            ranks, lengths = batch["_rank"].to_numpy(), batch["length"].to_numpy()
             for length in np.unique(lengths):
                 here = np.flatnonzero(lengths == length)
                 first, sequences, offsets = plan[int(length)].T
                 at = np.searchsorted(first, ranks[here], side="right") - 1
                 sequence[here] = sequences[at] + ranks[here] - first[at]
                 offset[here] = offsets[at]
-            yield batch.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            yield batch[columns].assign(sequence_id=sequence, offset=offset)
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, bucket_rows: int = 50_000) -> DataFrame:
-    """A sequence and an offset for each piece: its columns plus sequence_id and offset.
+    """A sequence and an offset for each piece: its columns plus sequence_id and offset (which replace columns of those names).
 
-    ``pieces``: doc_id, piece, length (1 to ``capacity``) and any other columns, from a table that
-    reads the same each time (see ``written``).
+    ``pieces``: doc_id, piece, length (1 to ``capacity``) and any other columns; written first, so that they read the same each time.
     """
-    columns = pieces.columns
-    counts = {int(length): n for length, n in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    inner = {c: c if c == "length" else f"_c{i}" for i, c in enumerate(columns)}  # names that meet no others
+    kept = pieces.select(*[F.col(f"`{c}`").alias(name) for c, name in inner.items()])
+    numbered = written(kept.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    counts = {int(length): n for length, n in numbered.groupBy("length").count().collect()}  # at most ``capacity`` rows
     buckets = max(64, sum(counts.values()) // bucket_rows)
     plan = Plan(counts, capacity).arrays()
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sizes = dealt.groupBy("length", "bucket").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    within = W.partitionBy("length", "bucket").orderBy(*[c for c in ("doc_id", "piece", "start", "ids_crc32") if c in columns])
-    ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(sizes.select("length", "bucket", "before"), ["length", "bucket"])
-    ranked = ranked.select(*columns, (F.col("before") + F.col("rank")).alias("rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
-    return ranked.mapInPandas(_assign(plan), schema)
+    dealt = numbered.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
+    before = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = W.partitionBy("length", "_bucket").orderBy("_row")
+    ranked = dealt.withColumn("_place", F.row_number().over(within) - 1).join(sizes, ["length", "_bucket"])
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_place")).drop("_row", "_bucket", "_before", "_place")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", sequence_id bigint, offset bigint"
+    out = ranked.mapInPandas(_assign(plan, list(inner.values())), schema)
+    return out.select(*[F.col(name).alias(c) for c, name in inner.items()], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, json_path: str, pattern: str, capacity: int = 1024) -> DataFrame:
     """Tokenizes once, writes the pieces' lengths (not the texts) and packs them."""
-    return pack(written(token_pieces(docs, ranks_path, json_path, pattern, capacity), "pieces"), capacity)
+    return pack(token_pieces(docs, ranks_path, json_path, pattern, capacity), capacity)

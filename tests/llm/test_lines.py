@@ -40,3 +40,13 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in drop_boilerplate(frame, ratio=0.02, min_pages=2).collect()), key=str) == brute(rows, 0.02, 2)
     assert got.columns == ["doc_id", "source", "text", "host", "n_lines", "n_dropped"]
     assert drop_boilerplate(frame.limit(0)).count() == 0
+
+
+def test_clashing_names_and_long_texts(spark):
+    long = "\n".join([*(f"own {i}" for i in range(200_000)), "menu"])
+    frame = spark.createDataFrame([(i, "h", "menu\nx" + str(i), i) for i in range(20)] + [(20, "h", long, 20)], "doc_id int, source string, text string, own int")
+    frame = frame.selectExpr("doc_id", "source", "text", *[f"own AS `{n}`" for n in ("_keys", "_host", "_kept", "n_lines", "keys", "host", "a.b", "page", "lines")])
+    got = {r.doc_id: r for r in drop_boilerplate(frame).collect()}
+    assert got[3].text == "x3" and got[3]._keys == got[3]["a.b"] == got[3].page == got[3].lines == 3 and got[3].n_lines == 2
+    assert got[20].n_lines == 200_001 and got[20].n_dropped == 1 and len(got[20].text) == len(long) - 5
+    assert drop_boilerplate(frame).columns == [*frame.columns, "n_dropped"]

@@ -5,7 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-from dossier.llm.packing import Plan, pack_documents, token_pieces
+from dossier.llm.packing import Plan, pack, pack_documents, token_pieces
 from dossier.llm.queries import op4_best_fit_packing, tokenizer_files
 
 
@@ -77,6 +77,16 @@ def test_query(spark, small_dir):
     assert n <= 1.02 * sum(r.length for r in rows) / 1024 + 2
 
 
+def test_clashing_names_and_null_ids(spark):
+    rows = [(None, 0, 500 + i % 3, i) for i in range(200)] + [(1, 0, 1024, 1)] * 3
+    names = ("rank", "bucket", "before", "sequence_id", "a.b")
+    pieces = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint, own bigint").selectExpr("*", *[f"own AS `{n}`" for n in names])
+    out = pack(pieces).collect()
+    gapless([(r.sequence_id, r.offset, r.length) for r in out], 1024)
+    assert len(out) == 203 and all(r["rank"] == r.own and r["a.b"] == r.own for r in out)
+    assert pack(pieces).columns == ["doc_id", "piece", "length", "own", "rank", "bucket", "before", "a.b", "sequence_id", "offset"]
+
+
 def test_odd_rows(spark):
     from tokenizers import Tokenizer
 

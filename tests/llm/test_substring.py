@@ -5,7 +5,7 @@ import random
 import re
 
 from dossier.llm.queries import op8_substring_dedup
-from dossier.llm.substring import dedup_passages
+from dossier.llm.substring import dedup_passages, lengths
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -48,7 +48,8 @@ def test_against_brute_force(spark):
     docs.append((30_000, " ".join(passages) + " tail"))
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert result(dedup_passages(frame)) == brute(docs)
-    assert result(dedup_passages(frame, length=4)) == brute(docs, 4)
+    for length in (1, 4, 30, 50):
+        assert result(dedup_passages(frame, length=length)) == brute(docs, length)
 
 
 def test_rewritten_text_and_odd_tables(spark):
@@ -60,6 +61,19 @@ def test_rewritten_text_and_odd_tables(spark):
     assert dedup_passages(frame.limit(0)).count() == 0
 
 
+def test_levels():
+    assert [lengths(n) for n in (1, 2, 4, 13, 14, 50)] == [[1], [1, 2], [2, 4], [7, 13], [7, 14], [7, 13, 25, 50]]
+
+
+def test_one_id_or_none_in_many_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(15))
+    docs = [(None, f"{passage} n{i}") for i in range(300)] + [(7, f"{passage} s{i}") for i in range(300)] + [(9, passage)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert result(dedup_passages(frame)) == brute(docs)
+    odd = frame.selectExpr("doc_id", "text", "1 AS _block", "2 AS part", "3 AS block", "4 AS `a.b`")
+    assert dedup_passages(odd).columns == ["doc_id", "text", "_block", "part", "block", "a.b", "n_words", "n_removed", "kept_sha256"]
+
+
 def test_query(spark, small_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()]
     assert result(op8_substring_dedup(spark, small_dir)) == brute(docs)
