@@ -1,15 +1,16 @@
 """Document fingerprints as Merkle trees, with DataFrame functions only.
 
-A text is cut into sections (at an empty line), these into paragraphs (lines). A paragraph's node is the
-SHA-256 of its text, a section's that of its paragraphs' nodes, the root's that of its sections' nodes. The cuts lose
-nothing, so two roots are equal only if the texts are. Below the paragraphs stand pieces of ``PIECE`` characters,
-counted from the paragraph's start, as short hashes: an edit leaves alone the pieces before it and all other
-paragraphs, so the share of common pieces says how alike two texts are, and differing nodes where
-they differ.
+A text is cut into sections (at an empty line), these into paragraphs (lines), these into pieces of ``PIECE`` characters,
+counted from the paragraph's start. A leaf is the SHA-256 of a piece; the node of a paragraph, a section and the root is the SHA-256 of
+its children's nodes. The cuts lose nothing, so two roots are equal only if the texts are. An edit leaves alone the leaves before it in its
+paragraph and all other paragraphs, so the share of common leaves says how alike two texts are, and differing nodes where they differ.
 
 The fingerprint is a string: the root, then the nodes of sections and paragraphs (16 digits each) and
-the pieces (8 digits each), the four parts parted by dots. Null texts count as empty; an empty text has one empty
-section with one empty paragraph and no pieces.
+the leaves (8 digits each), the four parts parted by dots. Likeness is the Jaccard similarity of two fingerprints' leaves.
+
+Null texts count as empty; an empty text has one empty section with one empty paragraph and no leaves. Two texts without leaves are alike (1). Texts of any
+length are taken whole. Rows with a null id are ordered first, rows with one id by a hash of their texts, then the texts; many such rows are dealt into
+several ranges by that hash. An empty table gives an empty result. Other columns, whatever they are called, are left out.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ BUCKET_ROWS = 128  # documents that are ordered together
 MOST_BUCKETS = 100_000
 
 
+def _leaves(paragraph: Column) -> Column:
+    return F.transform(F.regexp_extract_all(paragraph, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)), lambda x: F.sha2(x, 256))
+
+
 def pieces(text: Column) -> Column:
-    """Short hashes of the pieces of all paragraphs, in order."""
-    cut = F.flatten(F.transform(F.split(text, "\n"), lambda p: F.regexp_extract_all(p, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))))
-    return F.transform(cut, lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
+    """The leaves of all paragraphs in order, 8 digits each."""
+    return F.transform(F.flatten(F.transform(F.split(text, "\n"), _leaves)), lambda x: F.substring(x, 1, 8))
 
 
 def paragraph_nodes(text: Column) -> Column:
-    """SHA-256 of each paragraph, by section."""
-    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), lambda p: F.sha2(p, 256)))
+    """The node of each paragraph over its leaves, by section."""
+    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), lambda p: F.sha2(F.array_join(_leaves(p), ","), 256)))
 
 
 def section_nodes(paragraphs: Column) -> Column:
@@ -79,37 +83,47 @@ def differing(left: Column, right: Column) -> Column:
     return F.struct(F.when(same, none).otherwise(places(1)).alias("sections"), F.when(same, none).otherwise(places(2)).alias("paragraphs"))
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most the key: first among every k-th, then between."""
+def _bucket(key: Column, share: Column, bounds: list[int]) -> Column:
+    """The range that a key falls into: how many of the ascending bounds are below it, plus, for a key that is a bound several times, a part by ``share``.
+
+    ``share``: from 0 to 1. The bounds are looked up first among every k-th, then between.
+    """
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     if not groups:
         return F.lit(0)
-    heads = F.lit([g[0] for g in groups])
-    fine = F.array(*[F.lit(g) for g in groups])
-    at = F.size(F.filter(heads, lambda b: b <= key))
-    inside = F.size(F.filter(F.element_at(fine, F.greatest(at, F.lit(1))), lambda b: b <= key))
-    return F.when(at == 0, 0).otherwise((at - 1) * step + inside)
+    heads, fine = F.lit([g[0] for g in groups]), F.array(*[F.lit(g) for g in groups])
+
+    def below(test) -> Column:
+        at = F.size(F.filter(heads, test))
+        inside = F.size(F.filter(F.element_at(fine, F.greatest(at, F.lit(1))), test))
+        return F.when(at == 0, 0).otherwise((at - 1) * step + inside)
+
+    first, last = below(lambda b: b < key), below(lambda b: b <= key)
+    return first + F.least(last - first, F.floor(share * (last - first + 1)).cast("int"))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, next): each text (null: empty) beside that of the next larger key; after the last comes the first.
 
     Rows are dealt out by ranges of the key, ordered within them, and the last of a range
-    takes the first row of the next one. Equal keys are ordered by text, null keys stand first.
+    takes the first row of the next one. Null keys stand first; equal keys are ordered by a hash of the text and the text.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keys = rows.where(F.col("key").isNotNull())
-    buckets = min(MOST_BUCKETS, max(1, keys.count() // BUCKET_ROWS))
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    n_rows, n_keys = rows.agg(F.count("*"), F.count("key")).first()
+    buckets = min(MOST_BUCKETS, max(1, n_keys // BUCKET_ROWS))
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = keys.agg(F.percentile_approx("key", cuts, 20 * buckets)).first()[0] if cuts else []
-    bounds = sorted(set(bounds or []))
-    dealt = rows.withColumn("bucket", F.coalesce(_bucket(F.col("key"), bounds), F.lit(0))).repartition("bucket")
-    order = W.partitionBy("bucket").orderBy("key", "text")
+    bounds = sorted(rows.agg(F.percentile_approx("key", cuts, 20 * buckets)).first()[0] or []) if cuts else []  # MOST_BUCKETS numbers at most
+    of_null = min(MOST_BUCKETS, max(1, (n_rows - n_keys) // BUCKET_ROWS))
+    order_in_key = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    share = order_in_key / float(1 << 40)
+    at = F.when(F.col("key").isNull(), F.floor(share * of_null).cast("int") - of_null).otherwise(_bucket(F.col("key"), share, bounds))
+    dealt = rows.withColumn("order_in_key", order_in_key).withColumn("bucket", at).repartition("bucket")
+    order = W.partitionBy("bucket").orderBy("key", "order_in_key", "text")
     dealt = dealt.withColumn("pieces", pieces(F.col("text")))
     ordered = dealt.withColumn("after", F.lead(F.struct("text", "pieces")).over(order)).withColumn("place", F.row_number().over(order))
     first = ordered.where(F.col("place") == 1).select(F.col("bucket").alias("at"), F.struct("text", "pieces").alias("first"))
-    ring = W.orderBy("at")  # the numbers of the ranges, MOST_BUCKETS rows at most
+    ring = W.orderBy("at")  # the numbers of the ranges, 2 * MOST_BUCKETS rows at most
     numbers = first.select("at").withColumn("bucket", F.lag("at").over(ring)).withColumn("last", F.max("at").over(W.partitionBy()))
     onward = first.join(numbers.select("at", F.coalesce("bucket", "last").alias("bucket")), "at").select("bucket", "first")
     joined = ordered.join(onward, "bucket").withColumn("after", F.coalesce("after", "first"))
@@ -117,7 +131,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of all texts and of their edited texts, and how alike they are.
+    """Fingerprints of all texts and of their edited texts, how alike they are, and how many sections and paragraphs the edit reaches.
 
     Edited: the last floor(n / 4) characters replaced by the first as many of the next document.
     """
@@ -127,6 +141,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = rows.withColumn("edited_pieces", pieces(F.col("edited")))
     rows = with_fingerprint(rows, "text", "fingerprint", "pieces")
     rows = with_fingerprint(rows, "edited", "edited_fingerprint", "edited_pieces")
+    rows = rows.withColumn("edits", differing(F.col("fingerprint"), F.col("edited_fingerprint")))
     return rows.select(
         F.col("key").alias("doc_id"),
         "n_chars",
@@ -135,4 +150,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         "edited_fingerprint",
         likeness(F.col("pieces"), F.col("edited_pieces")).alias("near_edited"),
         likeness(F.col("pieces"), F.col("next_pieces")).alias("near_next"),
+        F.size("edits.sections").alias("edited_sections"),
+        F.size("edits.paragraphs").alias("edited_paragraphs"),
     )

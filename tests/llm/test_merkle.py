@@ -3,20 +3,49 @@
 import hashlib
 import random
 
+import pytest
+
 from dossier.llm import merkle
 from dossier.llm.merkle import differing, fingerprints, likeness, pieces, with_fingerprint
 from pyspark.sql import functions as F
 
 
-def root(text):
-    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    return sha(",".join(sha(",".join(sha(p) for p in s.split("\n"))) for s in text.split("\n\n")))
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def tree(text):
+    """[section node, [[paragraph node, leaves]]] of a text, and its root, by hand."""
+    sections = []
+    for s in text.split("\n\n"):
+        leaves = [[sha(p[i : i + 32]) for i in range(0, len(p), 32)] for p in s.split("\n")]
+        paragraphs = [[sha(",".join(x)), x] for x in leaves]
+        sections.append([sha(",".join(n for n, _ in paragraphs)), paragraphs])
+    return sections, sha(",".join(n for n, _ in sections))
+
+
+def plain(text):
+    """Fingerprint, leaves, and the nodes of sections and paragraphs."""
+    sections, root = tree(text)
+    paragraphs = [p for _, ps in sections for p in ps]
+    # leaves follow the lines of the whole text; empty lines have none
+    leaves = [x[:8] for _, xs in paragraphs for x in xs]
+    nodes = [n[:16] for n, _ in sections], [n[:16] for n, _ in paragraphs]
+    return ".".join([root, "".join(nodes[0]), "".join(nodes[1]), "".join(leaves)]), leaves, nodes
+
+
+def jaccard(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+
+def unlike(a, b):
+    return sum(i >= len(a) or i >= len(b) or a[i] != b[i] for i in range(max(len(a), len(b))))
 
 
 def test_edited_texts(spark, monkeypatch):
     monkeypatch.setattr(merkle, "BUCKET_ROWS", 7)
     rng = random.Random(8)
-    docs = {rng.randrange(10**9): "".join(rng.choices("ab é\n日😀", k=rng.choice([0, 1, 3, 50, 400]))) for _ in range(150)}
+    docs = {rng.randrange(10**9): "".join(rng.choices("ab é\n日😀", k=rng.choice([0, 1, 3, 50, 400, 4000]))) for _ in range(150)}
     docs[5] = None
     frame = spark.createDataFrame([(i, t, "z", 1) for i, t in docs.items()], "doc_id bigint, text string, next string, bucket int")
     rows = {r.doc_id: r for r in fingerprints(frame).collect()}
@@ -26,8 +55,10 @@ def test_edited_texts(spark, monkeypatch):
         t, n = docs[i] or "", docs[j] or ""
         edited = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
         assert rows[i].n_chars == len(t) and rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert rows[i].fingerprint.split(".")[0] == root(t) and rows[i].edited_fingerprint.split(".")[0] == root(edited)
-        assert 0 <= rows[i].near_edited <= 1 and 0 <= rows[i].near_next <= 1
+        (mine, leaves, nodes), (new, new_leaves, new_nodes) = plain(t), plain(edited)
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (mine, new)
+        assert rows[i].near_edited == pytest.approx(jaccard(leaves, new_leaves)) and rows[i].near_next == pytest.approx(jaccard(leaves, plain(n)[1]))
+        assert (rows[i].edited_sections, rows[i].edited_paragraphs) == tuple(unlike(a, b) for a, b in zip(nodes, new_nodes))
     assert fingerprints(frame.limit(0)).count() == 0
     alone = fingerprints(frame.where("doc_id = 5")).first()
     assert alone.n_chars == 0 and alone.near_edited == 1.0 == alone.near_next
@@ -39,6 +70,25 @@ def test_ties_and_null_ids(spark):
     assert len(got) == 5 and len({r.fingerprint for r in got}) == 4
 
 
+def test_many_rows_of_one_id_or_none(spark, monkeypatch):
+    """They are dealt into several ranges, and each row still stands before the next in one round trip."""
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 10)
+    rows = [(None, f"n{i}") for i in range(200)] + [(5, f"f{i}") for i in range(200)] + [(i, f"o{i}") for i in range(100)]
+    got = [(r.key, r.text, r.next_text) for r in merkle.with_next(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    onward = {text: following for _, text, following in got}
+    keys = {text: key for key, text in rows}
+    at, seen = "n0", []
+    for _ in rows:
+        seen.append(keys[at])
+        at = onward[at]
+    assert at == "n0" and len(set(onward.values())) == len(rows)
+    first = seen.index(0)
+    turned = seen[first:] + seen[:first]
+    assert turned == sorted(k for k, _ in rows if k is not None) + [None] * 200
+    ranges = merkle.with_next(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert ranges.count() == 500
+
+
 def test_edits_are_located(spark):
     a = "one line\nand another\n\nsecond section\nwith two lines of text that go on for a while, longer than a piece"
     b = a.replace("two lines", "2 lines")
