@@ -74,3 +74,36 @@ def test_packing(stages):
 
 def test_run(spark, small_dir, stages):
     assert corpus_pipeline.run(spark, small_dir).count() == stages[-1][1].count()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls everywhere, empty and long texts, repeated rows, and columns with the names that stages use inside."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = [None, "", "menu\nown words here", passage, f"{passage} and more", "x" * 300_000, "long " * 100_000, "###$$$ !!!"]
+    rows = [(i if i % 5 else None, t, None if i % 3 else "en", None if i % 4 == 3 else "s", None if i % 2 else 9) for i, t in enumerate(texts * 3)]
+    frame = spark.createDataFrame([*rows, rows[4], rows[4], rows[2]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    names = ("quality_score", "_keys", "host", "class", "name", "bucket", "part", "n_words", "_block", "length", "rank", "y", "slot")
+    return frame.selectExpr("*", *[f"7 AS `{n}`" for n in names])
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, small_dir, odd, name, stage):
+    rows = stage(spark, odd, small_dir).collect()
+    ids = {r.doc_id for r in odd.select("doc_id").collect()}
+    assert rows and {r.doc_id for r in rows} <= ids
+    nothing = stage(spark, odd.limit(0), small_dir)
+    assert nothing.count() == 0
+    if name == "best_fit_packing":
+        assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) and sum(r.piece == 0 for r in rows) == odd.count()
+        return
+    assert nothing.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    if name in ("line_dedup", "substring_dedup"):  # no row goes
+        assert len(rows) == odd.count() and sum(r.text is None for r in rows) == 3
+    if name == "minhash_near_dedup":
+        assert sum(r.doc_id is None for r in rows) == odd.where("doc_id IS NULL").count() and sum(r.text is None and r.doc_id is not None for r in rows) <= 1
+
+
+def test_quality_without_labels_keeps_all(spark, odd, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.quality_classifier(spark, odd, str(tmp_path)).count() == odd.count()
