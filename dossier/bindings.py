@@ -78,8 +78,9 @@ class Archive:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def view(self, name: str) -> DataFrame:
-        given = {n: self.table(n) for n in ("orders", "lineitem", "customer", "events") if re.search(rf"\b{n}\b", SQL[name])}
+    def view(self, name: str, **instead: DataFrame) -> DataFrame:
+        """A binding; ``instead``: other frames, such as streams, in place of given tables."""
+        given = {n: instead.get(n) if n in instead else self.table(n) for n in ("orders", "lineitem", "customer", "events") if re.search(rf"\b{n}\b", SQL[name])}
         text = re.sub(r"\b(orders|lineitem|customer|events)\b", r"{\1}", SQL[name])
         return self.spark.sql(text, **given)
 

@@ -86,10 +86,18 @@ def claim_order(jobs: DataFrame, now: str, n: int, kinds: tuple[str, ...] | None
 
 
 def rolling_budget(calls: DataFrame, seconds: int = 60, limit: float = 12_000, share: float = 0.9) -> DataFrame:
-    """Calls with the tokens of their model in the window up to each (both ends included), whether that is over budget, and whether one call alone is."""
+    """Calls with the tokens of their model in the window up to each (both ends included), whether that is over budget, and whether one call alone is.
+
+    Time is cut into stretches as long as the window. A window reaches no further than the stretch before, so each call also goes to the next
+    stretch, and windows are taken per model and stretch: a busy model is many small tasks.
+    """
+    span = seconds * 1_000_000
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    trail = W.partitionBy("model").orderBy("_at").rangeBetween(-seconds * 1_000_000, W.currentRow)
-    out = calls.withColumn("_at", at).withColumn("used", F.sum("tokens").over(trail)).drop("_at")
+    own = F.floor(F.col("_at") / F.lit(span)).cast("bigint")
+    copies = F.when(F.col("_at").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    trail = W.partitionBy("model", "_stretch").orderBy("_at").rangeBetween(-span, W.currentRow)
+    dealt = calls.withColumn("_at", at).withColumn("_later", F.explode(copies)).withColumn("_stretch", own + F.col("_later"))
+    out = dealt.withColumn("used", F.sum("tokens").over(trail)).where("_later = 0").drop("_at", "_later", "_stretch")
     return out.withColumn("over", F.col("used") > limit * share).withColumn("too_large", F.col("tokens") > limit * share)
 
 

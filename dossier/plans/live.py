@@ -49,6 +49,24 @@ def st10_live_throughput(a: Archive) -> DataFrame:
     return _newest(rows, "day").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
+@query("""SELECT proposal_id, score, CAST(created_at AS TIMESTAMP) AS created_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY created_at DESC, score DESC) AS place FROM evaluations WHERE status = 'completed') WHERE place = 1""")
+def st9_live_verdicts(a: Archive) -> DataFrame:
+    out = f"{shared_dir(a.spark)}/verdicts-{uuid.uuid4().hex}"
+    done = a.view("evaluations", lineitem=_stream(a, "lineitem")).where("status = 'completed'").select("proposal_id", "score", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+    writer = streams.latest_verdicts(done, f"{out}/rows", f"{out}/state").trigger(availableNow=True).start()
+    writer.awaitTermination()
+    last = max(p["batchId"] for p in writer.recentProgress if p["numInputRows"])
+    return a.spark.read.parquet(f"{out}/rows/v{last}")
+
+
+@query()
+def st11_file_intake(a: Archive) -> DataFrame:
+    """The files of the given tables as they would arrive: equal files once, with why they are not taken."""
+    taken = streams.file_intake(a.spark, f"{a.dir}/*.parquet").select("name", "size", "sha256", "reason")
+    return _finished(a, taken, "append").drop("batch")
+
+
 @query()
 def st2_live_jobs(a: Archive) -> DataFrame:
     """The stream's states, to be equal to those of the batch fold."""

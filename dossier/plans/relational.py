@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from ..bindings import Archive
 from ..operators import listing as L
 from ..registry import query
+from ..session import shared_dir
 from ..sources import files, tables
 
 ELIGIBLE = """CASE WHEN review_decision = 'pending' AND status = 'pending_review' THEN 'Awaiting duplicate review'
@@ -34,6 +37,37 @@ def s2_validate_files(a: Archive) -> DataFrame:
     return files.validate_files(a.proposals.select(F.col("filename").alias("name"), (F.col("proposal_id") % 60000000).alias("size")))
 
 
+@query()
+def s1_read_files(a: Archive) -> DataFrame:
+    """The files of the given tables and what identifies them."""
+    return files.read_files(a.spark, f"{a.dir}/*.parquet").select("name", "size", "sha256")
+
+
+@query("SELECT doc_id, sha256(text || ' é' || chr(65533) || ' end') AS digest FROM documents")
+def s3_read_text(a: Archive) -> DataFrame:
+    """Texts from bytes of which one is wrong."""
+    content = F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("20C3A9FF20656E64")))
+    return files.read_text(a.texts.select("doc_id", content.alias("content"))).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT CAST(year(decided_at) AS INT) AS decision_year, CAST(month(decided_at) AS INT) AS decision_month, decision, count(*) AS n, CAST(sum(proposal_id) AS BIGINT) AS ids FROM decisions GROUP BY ALL")
+def s6_append_ledger(a: Archive) -> DataFrame:
+    """The ledger after two appends."""
+    path = f"{shared_dir(a.spark)}/ledger-{uuid.uuid4().hex}"
+    for rows in (a.decisions.where("decision = 'approved'"), a.decisions.where("decision <> 'approved'")):
+        tables.append_ledger(rows, path)
+    return a.spark.read.parquet(path).groupBy("decision_year", "decision_month", "decision").agg(F.count("*").alias("n"), F.sum("proposal_id").cast("bigint").alias("ids"))
+
+
+@query("SELECT proposal_id, status, error_stage FROM proposals WHERE status IN ('failed', 'skipped')")
+def s7_append_audit(a: Archive) -> DataFrame:
+    """The audit rows after an append for failures and one for skipped proposals."""
+    path = f"{shared_dir(a.spark)}/audit-{uuid.uuid4().hex}"
+    for status in ("failed", "skipped"):
+        tables.append_audit(a.proposals.where(F.col("status") == status).select("proposal_id", "status", "error_stage"), path)
+    return a.spark.read.parquet(path)
+
+
 @query("""SELECT proposal_id, CASE WHEN proposal_id % 3 = 0 THEN NULL ELSE status END AS status,
     CASE WHEN proposal_id % 3 = 0 THEN 9 ELSE retry_count END AS retry_count FROM proposals""")
 def s5_apply_patch(a: Archive) -> DataFrame:

@@ -254,17 +254,31 @@ def x28_extract_amounts(a: Archive) -> DataFrame:
     return Q.extract_amounts(rows, "proposal_id").select("proposal_id", "place", "value")
 
 
-@query()
+#: The lines of documents with their places, for the SQL of forms and layout.
+LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
+LINE_WORDS = "len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> ''))"
+QA = f"""WITH named AS (SELECT doc_id, pos, trim(line, ' ') AS line, CASE WHEN contains(lower(line), 'the') THEN 'the' WHEN contains(lower(line), 'elle') THEN 'elle' END AS known FROM ({LINES}) WHERE trim(line, ' ') <> ''),
+    asked AS (SELECT *, known IS NOT NULL OR (line LIKE '%?' AND length(line) < 300) OR (line LIKE '%)' AND length(line) < 200 AND {LINE_WORDS} <= 30)
+        OR (length(line) < 120 AND {LINE_WORDS} <= 15 AND regexp_matches(line, '^\\p{{Lu}}') AND line NOT LIKE '%.' AND len(list_filter([{", ".join(f"'{w}'" for w in Q.LABEL_WORDS)}], lambda w: contains(lower(line), w))) > 0) AS asks FROM named),
+    placed AS (SELECT *, sum(CAST(asks AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS place FROM asked),
+    qa AS (SELECT doc_id, CAST(place AS BIGINT) AS place, coalesce(max(line) FILTER (WHERE asks), 'Preamble') AS question, max(known) FILTER (WHERE asks) AS known,
+        string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT asks) AS answer FROM placed GROUP BY 1, 2)
+    SELECT doc_id, place, coalesce(known, question) AS field, question, answer FROM qa WHERE answer <> ''"""
+
+
+@query(QA)
 def x29_qa_pairs(a: Archive) -> DataFrame:
     return Q.qa_pairs(a.texts, ("the", "elle"))
 
 
-@query()
+@query(f"SELECT doc_id, field, string_agg(answer, chr(10) ORDER BY place) AS answer FROM ({QA}) GROUP BY 1, 2")
 def x30_field_map(a: Archive) -> DataFrame:
     return Q.field_map(Q.qa_pairs(a.texts, ("the", "elle")))
 
 
-@query()
+@query(f"""WITH widths AS (SELECT doc_id, len(list_filter(string_split(line, '|'), lambda c: trim(c, ' ') <> '')) AS width FROM ({LINES}) WHERE contains(line, '|')),
+    counted AS (SELECT doc_id, width, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, width DESC) AS place FROM widths WHERE width > 0 GROUP BY 1, 2)
+    SELECT doc_id, CAST(width AS INT) AS width, CAST(n - 1 AS INT) AS n_rows FROM counted WHERE place = 1 AND n >= 2""")
 def x31_pipe_tables(a: Archive) -> DataFrame:
     return Q.pipe_tables(a.texts.withColumn("place", F.lit(0)), text="text").select("doc_id", "width", F.size("rows").alias("n_rows"))
 
@@ -287,7 +301,8 @@ def x34_form_completeness(a: Archive) -> DataFrame:
     return Q.form_completeness(fields, wanted=("THE", "of", "Elle", "der"))
 
 
-@query()
+@query(f"""SELECT doc_id, CAST(CASE WHEN count(*) > 1 THEN arg_min(width, pos) ELSE 0 END AS INT) AS columns, CAST(CASE WHEN count(*) > 1 THEN count(*) - 1 ELSE 1 END AS INT) AS n_rows
+    FROM (SELECT doc_id, pos, len(string_split(line, '|')) AS width FROM ({LINES}) WHERE replace(replace(line, '|', ''), ' ', '') <> '') GROUP BY 1 HAVING max(width) > 1""")
 def x35_normalise_table(a: Archive) -> DataFrame:
     rows = F.transform(F.split("text", "\n"), lambda line: F.split(line, r"\|"))
     out = Q.normalise_table(a.texts.select("doc_id", rows.alias("rows")))
@@ -319,7 +334,9 @@ def l2_mark_headings(a: Archive) -> DataFrame:
     return P.mark_headings(spans(a)).where("heading").groupBy("doc_id").agg(F.count("*").alias("headings"), F.sum("at").cast("bigint").alias("places"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, pos, pos // 40 AS page, CASE WHEN (pos // 40) % 2 = 1 AND pos % 2 = 1 THEN 1 ELSE 0 END AS side FROM ({LINES})),
+    t AS (SELECT *, sum(side) OVER p >= 3 AND sum(1 - side) OVER p >= 3 AS two FROM s WINDOW p AS (PARTITION BY doc_id, page))
+    SELECT doc_id, page, CAST(pos AS INT) AS at, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN two THEN side ELSE 0 END, pos) AS INT) AS position FROM t""")
 def l3_reading_order(a: Archive) -> DataFrame:
     return P.reading_order(spans(a), 600.0).select("doc_id", "page", "at", "position")
 

@@ -37,8 +37,8 @@ def with_periods(df: DataFrame, ts: str = "decided_at") -> DataFrame:
 
 
 def append_ledger(df: DataFrame, path: str) -> None:
-    """Appends decisions, partitioned by year and month; earlier rows are never touched."""
-    with_periods(df).write.mode("append").partitionBy("decision_year", "decision_month").parquet(path)
+    """Appends decisions, partitioned by year and month; earlier rows are never touched. A month's rows are brought together first, so few files are written."""
+    with_periods(df).hint("rebalance", "decision_year", "decision_month").write.mode("append").partitionBy("decision_year", "decision_month").parquet(path)
 
 
 def append_audit(df: DataFrame, path: str) -> bool:

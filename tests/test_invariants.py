@@ -268,6 +268,32 @@ def test_budget_counts_the_edge(spark):
     assert [r.used for r in got] == [50, 100, 60, 95] and [r.over for r in got] == [False, True, False, True] and [r.too_large for r in got] == [False, False, False, True]
 
 
+def test_budget_agrees_with_every_earlier_call(spark):
+    from collections import defaultdict
+
+    calls = [(i, f"m{i % 3}", (i * i * 7919) % 5000 if i % 50 else None, i % 17) for i in range(600)]
+    start = dt.datetime(1969, 12, 31, 23, 30)  # stretches before the epoch too
+    frame = spark.createDataFrame([(i, m, None if s is None else start + dt.timedelta(seconds=s), n) for i, m, s, n in calls], "event_id int, model string, ts timestamp_ntz, tokens bigint")
+    of = defaultdict(list)
+    for _, m, s, n in calls:
+        of[m].append((s, n))
+    got = {r.event_id: r.used for r in J.rolling_budget(frame, 300, 100).collect()}
+    assert got == {i: sum(n for t, n in of[m] if (t is None if s is None else t is not None and s - 300 <= t <= s)) for i, m, s, _ in calls}
+
+
+def test_given_files(spark, small_dir):
+    import hashlib
+    from pathlib import Path
+
+    from dossier import registry
+
+    registry.load()
+    given = {(p.name, p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(small_dir).glob("*.parquet")}
+    assert {tuple(r) for r in registry.QUERIES["s1_read_files"](spark, small_dir).collect()} == given
+    arrived = registry.QUERIES["st11_file_intake"](spark, small_dir).collect()
+    assert {(r.name, r.size, r.sha256) for r in arrived} == given and {r.reason for r in arrived} == {"Unsupported format"}
+
+
 def test_live_jobs_agree_with_the_fold(spark, small_dir):
     from dossier import registry
     from dossier.bindings import Archive
