@@ -17,14 +17,17 @@ from ..functions.text import fold
 
 QUOTE_LEAST, QUOTE_MOST, QUOTES, HEAD, HEAD_LEAST = 10, 1200, 5, 80, 40
 BROADCAST_QUOTES = 1000
+MOST_QUESTIONS = 1000
 
 
 def asked(proposals: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Every question of the rubric for every proposal: unasked answers go, missing ones count as unevidenced.
 
-    The rubric is a config table (some dozen questions), repeated beside each proposal.
+    The rubric is a config table (some dozen questions, MOST_QUESTIONS at most), repeated beside each proposal.
     """
-    rows = [r.asDict() for r in questions.collect()]
+    rows = [r.asDict() for r in questions.limit(MOST_QUESTIONS + 1).collect()]
+    if len(rows) > MOST_QUESTIONS:
+        raise ValueError(f"more than {MOST_QUESTIONS} questions")
     listed = F.array(*[F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in questions.dtypes]) for r in rows])
     wanted = proposals.select("proposal_id", F.inline(listed))
     out = wanted.join(answers, ["proposal_id", *questions.columns], "left")

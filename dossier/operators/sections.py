@@ -29,6 +29,7 @@ def clean_text(df: DataFrame, text: str = "text", is_ocr: bool = False) -> DataF
     return df.withColumn(text, X.collapse_ws(X.fix_line_breaks(F.col(text))))
 
 
+# The shapes of a heading.
 HEADINGS = (r"^\d+(?:\.\d+)*\.?\s+[A-Z].{3,80}$", r"^[A-Z][A-Z\s&/,]{5,60}$", r"^[A-Z][a-zA-Z\s&/:,–-]{5,60}$")
 
 

@@ -77,13 +77,25 @@ def x8_clean_text(a: Archive) -> DataFrame:
     return S.clean_text(a.texts, is_ocr=True).select("doc_id", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 
-@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS heading, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line FROM documents)
+MARKED = ((r"<style>[^<]*</style>|<script>[^<]*</script>|<head>", ""), ("<h1>", "\n## "), ("</h1>|<p>", "\n"), ("<[^>]*>", ""))
+PAGE_LINES = f"regexp_replace({sql_chain('html', MARKED)}, '(^|\\n)## ', chr(10), 'g')"
+
+
+def page_text(a: Archive, marked: bool = True) -> DataFrame:
+    """The pages' text: paragraphs as lines, first headings as lines of their own, marked or not."""
+    text = F.col("html")
+    for pattern, new in MARKED if marked else (*MARKED, (r"(^|\n)## ", "\n")):
+        text = F.regexp_replace(text, pattern, new)
+    return a.table("pages").select(F.col("page_id").alias("doc_id"), text.alias("text"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS heading, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line FROM (SELECT page_id AS doc_id, {PAGE_LINES} AS text FROM pages))
     SELECT doc_id, heading, min(line) AS line FROM l
-    WHERE (regexp_matches(heading, '^\\d+(?:\\.\\d+)*\\.?\\s+[A-Z].{3,80}$') OR regexp_matches(heading, '^[A-Z][A-Z\\s&/,]{5,60}$') OR regexp_matches(heading, '^[A-Z][a-zA-Z\\s&/:,–-]{5,60}$'))
+    WHERE (regexp_matches(heading, '^\\d+(?:\\.\\d+)*\\.?\\s+[A-Z].{{3,80}}$') OR regexp_matches(heading, '^[A-Z][A-Z\\s&/,]{{5,60}}$') OR regexp_matches(heading, '^[A-Z][a-zA-Z\\s&/:,–-]{{5,60}}$'))
       AND len(list_filter(regexp_split_to_array(heading, '\\s+'), lambda w: w <> '')) >= 2 AND NOT ends_with(heading, '.')
       AND len(list_filter(regexp_extract_all(heading, '\\d'), lambda d: instr(heading, d) > 6)) = 0 GROUP BY ALL""")
 def x9_detect_headings(a: Archive) -> DataFrame:
-    return S.detect_headings(a.texts)
+    return S.detect_headings(page_text(a, marked=False))
 
 
 def sql_flags(patterns) -> str:
@@ -113,7 +125,6 @@ def x13_doc_profile(a: Archive) -> DataFrame:
     return S.doc_profile(a.texts)
 
 
-MARKED = ((r"<style>[^<]*</style>|<script>[^<]*</script>|<head>", ""), ("<h1>", "\n## "), ("</h1>|<p>", "\n"), ("<[^>]*>", ""))
 BLOCKS = f"""SELECT doc_id, CAST(i - 1 AS INT) AS block, CASE WHEN i = 1 THEN '' ELSE trim(regexp_extract(part, '^[^\\n]+'), ' ') END AS heading,
         regexp_replace(CASE WHEN i = 1 THEN part ELSE regexp_replace(part, '^[^\\n]*\\n?', '') END, '^\\s+|\\s+$', '', 'g') AS body
     FROM (SELECT page_id AS doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM (SELECT page_id, string_split({sql_chain('html', MARKED)}, chr(10) || '## ') AS p FROM pages))"""
@@ -122,10 +133,7 @@ BLOCKS = f"SELECT * FROM ({BLOCKS}) WHERE heading <> '' OR length(body) >= 10"
 
 def blocks(a: Archive) -> DataFrame:
     """Blocks of the pages: first headings as marked lines, paragraphs as lines."""
-    text = F.col("html")
-    for pattern, new in MARKED:
-        text = F.regexp_replace(text, pattern, new)
-    return S.split_blocks(a.table("pages").select(F.col("page_id").alias("doc_id"), text.alias("text")))
+    return S.split_blocks(page_text(a))
 
 
 @query(f"SELECT doc_id, block, heading, sha256(body) AS digest FROM ({BLOCKS})")
