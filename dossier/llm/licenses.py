@@ -31,6 +31,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Wordings of notices, by SPDX name.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -149,7 +151,8 @@ def passages(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reaches = F.lit(False)
     for name, unit in units.items():
         reaches = reaches | (F.size(F.array_intersect("shared", F.split(F.lit(" ".join(sorted(unit))), " "))) >= least[name])
-    rows = rows.where(reaches).select("path", F.md5("text").alias("key"), "low").distinct()
+    # dealt by file once: all that is grouped below has the file among its keys and is not dealt again
+    rows = rows.where(reaches).select("path", F.md5("text").alias("key"), "low").groupBy("path", "key").agg(F.max("low").alias("low"))
     split = rows.withColumn("words", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
     near = scored(split.select("path", "key", words("words").alias("words")), "path", "key")
     wholes = near.where(F.col("template").isin(*whole) & (F.col("score") >= threshold)).select("path", "template", "score", F.lit(1.0).alias("share"))
@@ -158,8 +161,10 @@ def passages(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     by_line = F.transform(F.split("low", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
     marked = F.flatten(F.transform(by_line, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), (i == 0).alias("first")))))
     lined = rows.select("path", "key", F.length("low").alias("chars"), marked.alias("m")).join(wanted, ["path", "key"])
-    begins = lined.select("path", "key", "template", "chars", "long", "terms", "least", F.col("m.w").alias("all"), F.posexplode("m.first").alias("at", "first")).where("first")
-    runs = begins.withColumn("run", F.slice("all", F.col("at") + 1, F.col("long"))).where(F.size(F.array_intersect("run", "terms")) >= F.col("least"))
+    starts = F.filter(F.transform("m.first", lambda first, i: F.when(first, i)), lambda i: i.isNotNull())
+    begun = F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice(F.col("m.w"), at + 1, F.col("long")).alias("run")))
+    enough = F.filter(begun, lambda r: F.size(F.array_intersect(r["run"], F.col("terms"))) >= F.col("least"))
+    runs = lined.select("path", "key", "template", "chars", F.inline(enough))  # chosen in the row, so that no row carries the whole text beside a run
     share = F.least(F.lit(1.0), F.length(F.array_join("run", " ")) / F.col("chars"))
     runs = runs.select("path", "key", "at", F.col("template").alias("header"), share.alias("share"), words("run").alias("words"))
     hits = scored(runs, "path", "key", "at", "header", "share").where((F.col("template") == F.col("header")) & (F.col("score") >= threshold))
@@ -207,7 +212,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, no
 
     Adds licence, origin (``notice``, ``inherited`` or ``none``), score (of its own notice) and governed_by (the directory inherited from).
     """
-    own = notices(files, templates, threshold)
+    own = written(notices(files, templates, threshold), "notices")  # read twice
     speaks = F.col("path").rlike(LICENCE_FILE) | (F.col("share") >= notice_share)
     ranked = F.struct((-F.col("score")).alias("less"), F.col("licence").alias("licence"))
     heads = own.where(speaks).groupBy(_directory(F.col("path")).alias("above")).agg(F.min(ranked)["licence"].alias("inherited"))
