@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TEXTS_A_BATCH = 500
+BYTES_A_SLICE = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,19 @@ def in_small_batches(spark: SparkSession, rows: int = TEXTS_A_BATCH) -> None:
         spark.conf.set(name, str(rows))
 
 
+def in_slices(batch, column: str, size: int = BYTES_A_SLICE) -> Iterator:
+    """An Arrow batch in slices whose texts have about so many bytes together; a longer text is a slice of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > first and held + n > size:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def is_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more rows than that; looks at one row more at most."""
     return df.limit(rows + 1).count() <= rows

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .common import table
+from .sharding import ROUNDS, SEED
 
+SHARDS = 24
 TOKENIZERS = ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")
 
 
@@ -91,6 +94,44 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", "quality_score", "content_score", "metadata_score", (F.col("quality_score") >= ACCEPT).alias("keep"))
 
 
+def op11_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    text = F.coalesce("text", F.lit(""))
+    size, crc = F.octet_length(text).cast("bigint") + 8, F.crc32(text.cast("binary"))
+    placed = shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
+    return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The contract's texts: in a tenth of the documents, words from the a-th on repeat with period p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    docs = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    docs = docs.withColumn("g", F.expr("h div 10"))
+    docs = docs.withColumn("a", F.col("g") % F.nullif(F.size("words"), F.lit(0)))
+    docs = docs.withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    planted = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[int(a + (i - a) % p)])), ' ')")
+    return docs.select("doc_id", F.when(F.size("words") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs
+
+    found = periodic_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"))
+    run = {"start": -F.col("best.start"), "length": F.col("best.length"), "period": -F.col("best.period"), "exponent_milli": F.expr("(1000 * best.length) div -best.period")}
+    return found.select("doc_id", "n_runs", *(c.alias(n) for n, c in run.items()), "runs_sha256", "collapsed_sha256")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _license_sql() -> str:
     """The licence scan in DuckDB's SQL, with the templates' weights as values."""
     from .licenses import STOPWORDS, THRESHOLD, template_weights
@@ -147,11 +188,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_line_dedup,
         op10_quality_classifier,
+        op11_feistel_sharding,
+        op12_periodic_runs,
+        op13_lexical_search,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op5_license_scan": _license_sql(),
+    "op11_feistel_sharding": sql.sharding(SEED, ROUNDS, SHARDS),
+    "op12_periodic_runs": sql.PERIODIC_RUNS,
+    "op13_lexical_search": sql.LEXICAL_SEARCH,
     "op8_substring_dedup": """
         WITH d AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
