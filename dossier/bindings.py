@@ -22,7 +22,10 @@ SQL = {
                o_orderstatus = 'F' AS is_evaluated,
                CASE WHEN o_orderstatus IN ('F', 'O') THEN 'approved_for_eval' WHEN o_orderkey % 4 = 2 THEN 'skipped_duplicate' ELSE 'pending' END AS review_decision,
                CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 5000 END AS latest_score,
-               o_orderdate AS created_at,
+               CASE WHEN o_orderstatus = 'F' THEN 'Recommended' END AS latest_recommendation, CASE WHEN o_orderstatus = 'F' THEN 'run of old' END AS latest_evaluation_id,
+               CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS evaluated_at, o_orderdate AS created_at, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 30) AS updated_at,
+               CAST(floor(o_totalprice % 90) AS INT) AS total_pages, CAST(o_orderkey * 7919 % 20000 AS INT) AS total_words,
+               concat('Stock of ', o_orderpriority, ' runs out in district ', CAST(o_custkey % 25 AS STRING)) AS problem_statement,
                CAST(o_orderkey % 5 AS INT) AS retry_count,
                CASE WHEN o_orderstatus NOT IN ('F', 'O') AND o_orderkey % 4 = 3 THEN CASE o_orderkey % 3 WHEN 0 THEN 'extraction' WHEN 1 THEN 'metadata' END END AS error_stage,
                CAST(o_custkey % 50 AS INT) AS batch_id,
@@ -40,7 +43,9 @@ SQL = {
                CASE WHEN l_returnflag IN ('A', 'N') THEN 'completed' WHEN l_linestatus = 'F' THEN 'failed' ELSE 'processing' END AS status,
                round(l_discount * 1000, 2) AS score, CAST(floor(l_extendedprice) AS BIGINT) AS tokens, CAST(floor(l_quantity * 10000) AS BIGINT) AS duration_ms,
                CASE l_suppkey % 3 WHEN 0 THEN 'large' WHEN 1 THEN 'medium' ELSE 'small' END AS model,
-               round(l_tax * 10, 2) AS coverage, l_shipdate AS created_at, l_linenumber AS line, l_partkey AS part_id, l_suppkey AS supp_id
+               round(l_tax * 10, 2) AS coverage, l_shipdate AS created_at, CASE WHEN l_partkey % 4 > 0 THEN l_shipdate + INTERVAL 1 DAY * (l_suppkey % 3) END AS completed_at,
+               CASE WHEN l_discount >= 0.08 THEN 'Highly Recommended' WHEN l_discount >= 0.05 THEN 'Recommended' ELSE 'Not Recommended' END AS recommendation,
+               concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS run_id, l_linenumber AS line, l_partkey AS part_id, l_suppkey AS supp_id
         FROM lineitem""",
     "answers": """
         SELECT proposal_id, parameter, question, raw_score, evidenced, red_flag FROM (

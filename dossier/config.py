@@ -43,7 +43,20 @@ TECHNICAL = (r"api\b", "cloud", "architecture", "database", "algorithm", "machin
 # Words that say nothing about who an organisation is.
 SUFFIXES = "pvt private ltd limited llp inc incorporated corp corporation co company technologies technology tech solutions labs laboratories industries enterprises ventures innovations agritech agro".split()
 # File formats that are taken, and the largest size.
-FORMATS = ("pdf", "docx", "doc", "pptx", "ppt", "txt", "md", "png", "jpg", "jpeg", "tiff")
+FORMATS = ("pdf", "docx", "doc", "pptx", "ppt", "txt", "png", "jpg", "jpeg", "tiff", "bmp")
+# The format that a media type stands for, where a name has no extension.
+MEDIA_TYPES = {
+    "application/pdf": "pdf",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/msword": "doc",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
+    "application/vnd.ms-powerpoint": "ppt",
+    "text/plain": "txt",
+    "image/png": "png",
+    "image/jpeg": "jpg",
+    "image/tiff": "tiff",
+    "image/bmp": "bmp",
+}
 MAX_BYTES = 50 * 1024 * 1024
 
 

@@ -15,6 +15,15 @@ from ..config import FINANCIAL, SUFFIXES, TECHNICAL
 UNICODE_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
+#: What Python strips from the ends of a text.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends; Spark's own trim knows spaces only."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC; Spark has no such function."""
@@ -46,7 +55,7 @@ def repeated_lines(lines: Column, least_lines: int = 20, longer_than: int = 3, t
 
     Sorting puts equal lines side by side, so the cost follows the text's length, however many lines it has.
     """
-    trimmed = F.sort_array(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: F.length(x) > longer_than))
+    trimmed = F.sort_array(F.filter(F.transform(lines, strip), lambda x: F.length(x) > longer_than))
     again = F.filter(F.transform(trimmed, lambda x, i: F.when(F.get(trimmed, i + times - 1) == x, x)), lambda x: x.isNotNull())
     return F.when(F.size(lines) >= least_lines, F.array_distinct(again)).otherwise(F.array().cast("array<string>"))
 
@@ -63,7 +72,7 @@ def fix_ocr(c: Column) -> Column:
 def fix_line_breaks(c: Column) -> Column:
     """Joins hyphenated words, and a long unfinished line with the next one."""
     joined = F.regexp_replace(c, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
-    lines = F.transform(F.split(joined, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(joined, "\n"), strip)
     wraps = lambda x: (F.length(x) > 20) & ~x.rlike(r"[.!?:;\"')]$") & ~x.rlike(r"^[-•*–—]") & ~x.rlike(r"^\d+[.)]\s")
     with_end = F.transform(lines, lambda x, i: F.when(x == "", F.lit("")).otherwise(F.concat(x, F.when(wraps(x) & (F.coalesce(F.get(lines, i + 1), F.lit("")) != ""), " ").otherwise("\n"))))
     return F.array_join(with_end, "")
@@ -126,11 +135,13 @@ def identity_text(*parts: Column, fallback: Column) -> Column:
 
 
 # Words that stand for no value.
-NULL_WORDS = ("", "n/a", "na", "none", "null", "unknown", "not specified", "not available", "not provided", "-")
+NULL_WORDS = ("n/a", "na", "none", "null", "not specified", "not stated", "unknown", "not found", "-")
 
 
 def known_or_null(c: Column) -> Column:
-    return F.when(~F.lower(F.trim(c)).isin(*NULL_WORDS), F.trim(c))
+    """Without white space around; null where nothing or a word for nothing is left."""
+    bare = strip(c)
+    return F.when((bare != "") & ~F.lower(bare).isin(*NULL_WORDS), bare)
 
 
 def repair_json(c: Column) -> Column:

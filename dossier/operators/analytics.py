@@ -21,11 +21,11 @@ def mean(column: Column | str, places: int = 2) -> Column:
 
 
 def pipeline_stages(df: DataFrame) -> DataFrame:
-    """All stages in order with their counts, zeros included, the total and how many wait for someone."""
+    """All stages in order with their counts, zeros included, the total, and how many are cleared for an evaluation that they have not had."""
     stages = df.sparkSession.createDataFrame([(i, s) for i, s in enumerate(STAGES)], "position int, stage string")
     counts = df.groupBy(F.col("status").alias("stage")).agg(F.count("*").alias("n"))
     out = stages.join(counts, "stage", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    totals = df.agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("pending_review", "queued", "failed")).alias("actionable"))
+    totals = df.agg(F.count("*").alias("total"), F.count_if(~F.col("is_evaluated") & (F.col("review_decision") == "approved_for_eval")).alias("actionable"))
     return out.join(totals)
 
 
@@ -98,8 +98,8 @@ def duplicate_gate_report(df: DataFrame, matches: DataFrame, runs: DataFrame) ->
     """Flagged, confirmed, pending and dismissed proposals, and the tokens that confirmed duplicates saved."""
     flagged = matches.agg(F.count_distinct("proposal_id").alias("flagged"), F.count_if(F.col("status") == "dismissed").alias("dismissed"))
     ruled = df.agg(F.count_if(F.col("review_decision") == "skipped_duplicate").alias("confirmed"), F.count_if(F.col("review_decision") == "pending").alias("pending"))
-    tokens = runs.where("status = 'completed'").agg(F.floor(F.sum("tokens") / F.count("tokens")).cast("bigint").alias("each"))
-    saved = F.when(F.col("confirmed") > 0, F.col("confirmed") * F.col("each"))
+    tokens = runs.where("status = 'completed'").agg((F.sum("tokens").cast("double") / F.count("tokens")).alias("each"))
+    saved = F.when((F.col("confirmed") > 0) & (F.col("each") != 0), F.floor(F.col("confirmed") * F.col("each")).cast("bigint"))
     return flagged.join(ruled).join(tokens).select("flagged", "confirmed", "pending", "dismissed", saved.alias("tokens_saved"))
 
 
@@ -160,22 +160,24 @@ PARKED = ("queued", "evaluated", "skipped", "failed", "pending_review")
 
 
 def batch_state(df: DataFrame) -> DataFrame:
-    """Per batch: by status, evaluated, awaiting review, failed, and in progress (in no parked status)."""
-    by_status = df.groupBy("batch_id", "status").agg(F.count("*").alias("n"))
+    """Per batch: by status, evaluated, awaiting a review, failed, and in progress (in no parked status)."""
+    by_status = df.groupBy("batch_id", "status").agg(F.count("*").alias("n"), F.count_if("is_evaluated").alias("evaluated"), F.count_if(F.col("review_decision") == "pending").alias("awaiting"))
     out = by_status.groupBy("batch_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("by_status"),
         F.sum("n").alias("total"),
-        *[F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(name) for s, name in (("evaluated", "evaluated"), ("pending_review", "awaiting"), ("failed", "failed"))],
+        F.sum("evaluated").alias("evaluated"),
+        F.sum("awaiting").alias("awaiting"),
+        F.coalesce(F.sum(F.when(F.col("status") == "failed", F.col("n"))), F.lit(0)).alias("failed"),
         F.coalesce(F.sum(F.when(~F.col("status").isin(*PARKED), F.col("n"))), F.lit(0)).alias("in_progress"),
     )
     return out
 
 
-def batch_partition(df: DataFrame, most: int = 3) -> DataFrame:
+def batch_partition(df: DataFrame) -> DataFrame:
     """Per batch: ready, blocked, skipped and already evaluated; the four overlap."""
     return df.groupBy("batch_id").agg(
-        F.count_if((F.col("status") == "queued") & ~F.col("is_evaluated")).alias("ready"),
-        F.count_if(F.col("status") == "pending_review").alias("blocked"),
+        F.count_if((F.col("review_decision") == "approved_for_eval") & ~F.col("is_evaluated")).alias("ready"),
+        F.count_if(F.col("review_decision") == "pending").alias("blocked"),
         F.count_if(F.col("review_decision") == "skipped_duplicate").alias("skipped"),
         F.count_if("is_evaluated").alias("already"),
     )

@@ -67,8 +67,8 @@ def override_audit(decided: DataFrame) -> DataFrame:
     return decided.select("proposal_id", F.concat(F.lit("decision_"), F.col("decision")).alias("action"), F.to_json(F.struct(kinds.alias("overridden"))).alias("payload"))
 
 
-def funding(candidates: DataFrame, selected: DataFrame) -> DataFrame:
-    """A batch from a selection: selected proposals for funding, the others unselected."""
+def funding(candidates: DataFrame, selected: DataFrame, ledger: DataFrame) -> DataFrame:
+    """A batch from a selection, decided: selected proposals for funding, which may conflict, the others unselected, which never do."""
     marks = selected.select("proposal_id").distinct().withColumn("_selected", F.lit(True))
-    out = candidates.join(marks, "proposal_id", "left")
-    return out.withColumn("decision", F.when(F.col("_selected"), "selected_for_funding").otherwise("unselected")).drop("_selected")
+    out = candidates.drop("decision").join(marks, "proposal_id", "left")
+    return decide_batch(out.withColumn("decision", F.when(F.col("_selected"), "selected_for_funding").otherwise("unselected")).drop("_selected"), ledger)

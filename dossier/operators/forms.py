@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import AMOUNT, word_count
+from ..functions.text import AMOUNT, known_or_null, strip, word_count
 
 # Words that make a short title line a label.
 LABEL_WORDS = ("name", "email", "address", "state", "website", "stage", "status", "level", "model", "plan", "strategy", "no.", "registration", "gstin", "cin", "employees")
@@ -20,12 +23,18 @@ KEY_FIELDS = (
 )
 
 
+@F.pandas_udf(T.ArrayType(T.StructType().add("value", T.StringType()).add("context", T.StringType())))
+def _amounts(text: pd.Series) -> pd.Series:
+    """Amounts with 50 characters before and 20 after; contexts of neighbours overlap, which Spark's pattern functions can't give."""
+    sign = re.compile(AMOUNT)
+    around = lambda t, m: t[max(0, m.start() - 50) : m.end() + 20].strip()
+    return text.map(lambda t: None if t is None else [{"value": m[1].replace(",", ""), "context": around(t, m)} for m in sign.finditer(t)])
+
+
 def extract_amounts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, place, value, context): amounts after a currency sign, with 50 characters before and 20 after."""
-    around = F.regexp_extract_all(text, F.lit(r"(?s)(.{0,50}" + AMOUNT.replace("(\\d", "(?:\\d", 1) + r".{0,20})"), F.lit(1))
-    values = F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(1)), lambda x: F.regexp_replace(x, ",", ""))
-    rows = df.select(key, F.posexplode(F.arrays_zip(values.alias("value"), around.alias("context"))).alias("place", "a"))
-    return rows.select(key, "place", "a.value", F.trim("a.context").alias("context"))
+    """(key, place, value, context): amounts after a currency sign, with 50 characters before and 20 after. Only texts that hold a sign go to Python."""
+    held = df.where(F.col(text).rlike(AMOUNT)).select(key, F.col(text).alias("_text"))
+    return held.select(key, F.posexplode(_amounts("_text")).alias("place", "a")).select(key, "place", "a.value", "a.context")
 
 
 def qa_pairs(df: DataFrame, labels: tuple[str, ...] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,7 +43,7 @@ def qa_pairs(df: DataFrame, labels: tuple[str, ...] = (), key: str = "doc_id", t
     Lines before the first question answer ``Preamble``. Questions without an answer are dropped. Lines stay in one array per document until they are
     grouped, so their order is that of the text.
     """
-    lines = df.select(key, F.posexplode(F.transform(F.split(text, "\n"), lambda x: F.trim(x))).alias("at", "line")).where("line <> ''")
+    lines = df.select(key, F.posexplode(F.transform(F.split(text, "\n"), strip)).alias("at", "line")).where("line <> ''")
     line, low = F.col("line"), F.lower("line")
     field = F.lit(None).cast("string")
     for label in reversed(labels):
@@ -72,56 +81,77 @@ def pipe_tables(qa: DataFrame, key: str = "doc_id", text: str = "answer", place:
     return out.where(F.size("all") >= 2).select(key, place, "width", F.element_at("all", 1).alias("headers"), F.slice("all", F.lit(2), F.size("all")).alias("rows"))
 
 
+TOLERANCE = 2  # characters that starts of one column may lie apart
+
+
+def _columns_of(lines: list[str]) -> list[int]:
+    """Where columns begin: word starts that half of the lines share. A start counts for the first place, in order of appearance, that it lies near to."""
+    votes: dict[int, int] = {}
+    for line in lines:
+        for start in (m.start() for m in re.finditer(r"[^ ]+", line)):
+            near = next((at for at in votes if abs(at - start) <= TOLERANCE), start)
+            votes[near] = votes.get(near, 0) + 1
+    return sorted(at for at, n in votes.items() if 2 * n >= len(lines))
+
+
 def aligned_tables(qa: DataFrame, key: str = "doc_id", text: str = "answer", place: str = "place") -> DataFrame:
-    """(key, place, columns, rows): answers of three lines or more whose cells begin at the same places (within 2) in half of the lines."""
-
-    def table(lines: list[str]) -> tuple[int, list[list[str]]] | None:
-        import re
-
-        begins = [[m.start() for m in re.finditer(r"(?:^|(?<=\s\s))\S", line)] for line in lines]
-        starts: list[int] = []
-        for b in sorted({x for own in begins for x in own}):
-            near = sum(any(abs(x - b) <= 2 for x in own) for own in begins)
-            if near * 2 >= len(lines) and (not starts or b - starts[-1] > 2):
-                starts.append(b)
-        if len(starts) < 3:
-            return None
-        ends = [*(max(0, s - 2) for s in starts[1:]), None]
-        return len(starts), [[line[max(0, s - 2) if i else 0 : e].strip() for i, (s, e) in enumerate(zip(starts, ends))] for line in lines]
+    """(key, place, columns, rows): answers of three lines or more in which three columns or more begin at the same places in half of the lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k, p, t in zip(batch["k"], batch["p"], batch["t"]):
-                lines = [x for x in (t or "").split("\n") if x.strip()]
-                found = table(lines) if len(lines) >= 3 else None
-                if found:
-                    out.append((k, p, *found))
+                lines = (t or "").strip().split("\n")
+                starts = _columns_of(lines) if len(lines) >= 3 else []
+                if len(starts) >= 3:
+                    cells = [[line[a:b].strip() for a, b in zip(starts, [*starts[1:], None])] for line in lines]
+                    rows = [row for row in cells if any(row)]
+                    if len(rows) >= 2:
+                        out.append((k, p, len(starts), rows))
             yield pd.DataFrame(out, columns=[key, "place", "columns", "rows"])
 
     kind = dict(qa.dtypes)[key]
     return qa.select(F.col(key).alias("k"), F.col(place).cast("int").alias("p"), F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, place int, columns int, rows array<array<string>>")
 
 
+# What tells a degree and a school, a role and a field of expertise.
+DEGREES = r"(?i)Ph\.?D|M\.?Tech|B\.?Tech|MBA|M\.?Sc|B\.?Sc|M\.?S\.|B\.?E\.?"
+SCHOOLS = "(?i)IIT|IIM|NIT|BITS|Stanford|MIT|Harvard|Cambridge"
+ROLES = ("CEO", "CTO", "COO", "CFO", "Founder", "Co-founder", "Director", "Lead", "Head", "Manager", "Advisor", "Chief", "Officer", "VP", "President")
+EXPERTISE = ("AI/ML", "Machine Learning", "Deep Learning", "Computer Vision", "NLP", "Data Science", "Agronomy", "Agriculture", "Remote Sensing", "IoT", "Satellite", "GIS", "Product", "Engineering", "Business")
+PROFILE = r"https?://(?:www\.)?linkedin\.com/\S+"
+
+
 def people_blocks(df: DataFrame, key: str = "doc_id", text: str = "answer") -> DataFrame:
-    """(key, place, name, role, years, qualification): one row a person.
+    """(key, place, name, role, years, qualification, expertise, profile): one row a person; what is not told is empty, the profile null.
 
-    Blocks end at a profile address; without any, a line that begins with two capitalised words begins one.
+    Blocks end at a profile's address; without any, a line that begins with two capitalised words begins one. A block's first line is the name, if it is two to
+    six words without digits and below 60 characters; blocks without a name are left out. The role is the first of the next three lines that holds a word for one.
     """
-    profile = r"https?://\S+"
-    by_profile = F.split(text, profile)
-    by_name = F.split(text, r"\n(?=\p{Lu}\p{L}+ \p{Lu}\p{L}+)")
-    blocks = F.filter(F.when(F.col(text).rlike(profile), by_profile).otherwise(by_name), lambda b: F.trim(b) != "")
-    rows = df.select(key, F.posexplode(blocks).alias("place", "block"))
-    nonempty = lambda c: F.when(c != "", c)
-    return rows.select(
+    has = F.col(text).rlike(PROFILE)
+    by_profile = F.split(text, PROFILE)
+    ends = F.regexp_extract_all(text, F.lit(f"({PROFILE})"), F.lit(1))
+    with_end = F.transform(F.slice(by_profile, F.lit(1), F.size(ends)), lambda b, i: F.struct(F.concat(b, F.get(ends, i)).alias("text"), F.get(ends, i).alias("profile")))
+    by_name = F.transform(F.split(text, r"\n(?=[A-Z][a-z]+ [A-Z])"), lambda b: F.struct(b.alias("text"), F.lit(None).cast("string").alias("profile")))
+    rows = df.select(key, F.posexplode(F.when(has, with_end).otherwise(by_name)).alias("place", "block")).withColumn("block_text", strip(F.col("block.text"))).where(F.length("block_text") >= 10)
+    lines = F.filter(F.transform(F.split("block_text", "\n"), strip), lambda x: x != "")
+    rows = rows.withColumn("lines", lines)
+    first, rest = F.get("lines", F.lit(0)), F.array_join(F.slice("lines", F.lit(2), F.size("lines")), " ")
+    named = word_count(first).between(2, 6) & ~first.rlike(r"\p{Nd}") & (F.length(first) < 60)
+    holds = lambda line, words: reduce(Column.__or__, (F.contains(F.lower(line), F.lit(w.lower())) for w in words))
+    skills = F.filter(F.array(*map(F.lit, EXPERTISE)), lambda w: F.contains(F.lower(F.col("rest")), F.lower(w)))
+    out = rows.where(named).select(key, "place", first.alias("name"), "lines", rest.alias("rest"), F.col("block.profile").alias("profile"))
+    role = F.get(F.filter(F.slice("lines", 2, 3), lambda line: holds(line, ROLES)), F.lit(0))
+    return out.select(
         key,
         "place",
-        nonempty(F.regexp_extract("block", r"(\p{Lu}[\p{L}.]+(?: \p{Lu}[\p{L}.]+)+)", 1)).alias("name"),
-        nonempty(F.regexp_extract("block", r"(?i)\b(co-?founder|founder|ceo|cto|coo|director|manager|advisor|engineer|scientist|lead)\b", 1)).alias("role"),
-        F.regexp_extract("block", r"(?i)(\d{1,2})\+?\s*(?:years|yrs)", 1).try_cast("int").alias("years"),
-        nonempty(F.regexp_extract("block", r"\b(Ph\.?D|M\.?Tech|B\.?Tech|MBA|M\.?Sc|B\.?Sc|B\.?E|M\.?S)\b", 1)).alias("qualification"),
-    ).where("name IS NOT NULL")
+        "name",
+        F.coalesce(role, F.lit("")).alias("role"),
+        F.regexp_extract("rest", r"(?i)\d+\+?\s*(?:years?|yrs?)", 0).alias("years"),
+        F.trim(F.concat_ws(" ", F.regexp_extract("rest", DEGREES, 0), F.regexp_extract("rest", SCHOOLS, 0))).alias("qualification"),
+        F.array_join(skills, ", ").alias("expertise"),
+        "profile",
+    )
 
 
 def form_completeness(fields: DataFrame, key: str = "doc_id", wanted: tuple[str, ...] = KEY_FIELDS) -> DataFrame:
@@ -141,22 +171,28 @@ def normalise_table(df: DataFrame, rows: str = "rows") -> DataFrame:
     return out.withColumn("headers", headers).withColumn(rows, F.when(several, F.slice("_rows", F.lit(2), F.size("_rows"))).otherwise(F.col("_rows"))).drop("_rows")
 
 
+METADATA_TEXTS = ("title", "company", "contact_email", "website", "category", "theme", "problem_statement", "solution_summary", "target_beneficiaries")
+METADATA_LISTS = {"categories": 2, "technology_used": None, "districts": None}  # how many stay
+
+
 def clean_metadata(df: DataFrame) -> DataFrame:
-    """Null words become null, lists are trimmed, of categories two stay, the year is a number, the level 1 to 9, the confidence 0 to 1."""
-    from ..functions.text import known_or_null
-
-    number = lambda c, t: F.col(c).cast("string").try_cast(t)
-    level = number("level", "int")
-    sure = number("confidence", "double")
-    kept = F.filter(F.transform("categories", lambda x: F.trim(x)), lambda x: x != "")
-    return df.withColumns({
-        "title": known_or_null(F.col("title")),
-        "company": known_or_null(F.col("company")),
-        "categories": F.slice(kept, 1, 2),
-        "year": number("year", "int"),
-        "level": F.when(level.between(1, 9), level),
-        "confidence": F.when(sure.isNotNull(), F.least(F.greatest(sure, F.lit(0.0)), F.lit(1.0))),
-    })
+    """Words for nothing become null, in texts and in lists; of categories two stay; years are numbers, levels 1 to 9, the confidence is 0 to 1 (0 where it is no number).
+
+    Whichever of the known columns are there are cleaned: METADATA_TEXTS, METADATA_LISTS, year, level and confidence.
+    """
+    number = lambda c, t: strip(F.col(c).cast("string")).try_cast(t)
+    out = {c: known_or_null(F.col(c)) for c in METADATA_TEXTS}
+    for c, most in METADATA_LISTS.items():
+        kept = F.array_compact(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), known_or_null)) if c in df.columns else None
+        out[c] = F.slice(kept, 1, most) if most and kept is not None else kept
+    if "level" in df.columns:
+        level = number("level", "int")
+        out["level"] = F.when(level.between(1, 9), level)
+    if "year" in df.columns:
+        out["year"] = number("year", "int")
+    if "confidence" in df.columns:
+        out["confidence"] = F.least(F.greatest(F.coalesce(number("confidence", "double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return df.withColumns({c: v for c, v in out.items() if c in df.columns})
 
 
 def metadata_input(sections: DataFrame, names: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("identity", "problem", "solution", "team", "vision")) -> DataFrame:

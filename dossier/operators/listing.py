@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SORT_KEYS = ("created_at", "title", "filename", "status", "category", "latest_score", "retry_count", "batch_id", "company_id")
+# What a list can be sorted by, and the column behind it.
+SORT_KEYS = {
+    "created_at": "created_at",
+    "updated_at": "updated_at",
+    "title": "title",
+    "filename": "filename",
+    "status": "status",
+    "score": "latest_score",
+    "evaluated_at": "evaluated_at",
+    "pages": "total_pages",
+    "words": "total_words",
+}
 
 
 def status_in(df: DataFrame, listed: str | None) -> DataFrame:
@@ -27,7 +38,7 @@ def exclude_duplicates(df: DataFrame) -> DataFrame:
     return df.where(F.col("review_decision") != "skipped_duplicate")
 
 
-def search(df: DataFrame, text: str | None, columns: tuple[str, ...] = ("title", "filename")) -> DataFrame:
+def search(df: DataFrame, text: str | None, columns: tuple[str, ...] = ("title", "filename", "problem_statement")) -> DataFrame:
     """Case-insensitive substring in any of the columns; % and _ stay wildcards."""
     if not text:
         return df
@@ -65,10 +76,10 @@ def retry_queue(df: DataFrame, most: int = 3) -> DataFrame:
 def ineligible(force: bool = False) -> Column:
     """The first reason against evaluating a proposal, or null. Forcing never beats the gate."""
     status, gate = F.col("status"), F.col("review_decision")
-    reason = F.when((gate == "pending") & (status == "pending_review"), "Awaiting duplicate review").when(gate == "skipped_duplicate", "Ruled a duplicate")
+    reason = F.when(gate == "pending", "Awaiting duplicate review").when(gate == "skipped_duplicate", "Ruled a duplicate")
     if not force:
         reason = reason.when(F.col("is_evaluated"), "Already evaluated")
-    busy = status.isin("uploaded", "extracting", "extracted", "metadata_ready", "evaluating")
+    busy = status.isin("uploaded", "extracting", "extracted")
     return reason.when(busy, "Still in processing").when(status == "failed", "Processing failed")
 
 
@@ -93,7 +104,7 @@ def newest_first(df: DataFrame, ts: str, *ties: str) -> DataFrame:
 
 def sort_listing(df: DataFrame, by: str = "created_at", descending: bool = True) -> DataFrame:
     """By an allowed key (any other: created_at), nulls last both ways, newest first among equals."""
-    key = F.col(by if by in SORT_KEYS else "created_at")
+    key = F.col(SORT_KEYS.get(by, "created_at"))
     return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), F.desc("created_at"), F.desc("proposal_id"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import GAP, HIGH_WITH_FLAG, SPREAD
 from ..functions.text import fold
+from ..sources.tables import with_verdicts
 
 QUOTE_LEAST, QUOTE_MOST, QUOTES, HEAD, HEAD_LEAST = 10, 1200, 5, 80, 40
 BROADCAST_QUOTES = 1000
@@ -184,11 +185,11 @@ def compose_report(verdict: DataFrame, parameters: DataFrame, tokens: DataFrame)
 
 
 def publish_verdict(proposals: DataFrame, newest: DataFrame) -> DataFrame:
-    """Newest completed run onto its proposal; clears the error. Proposals without one stay."""
-    runs = newest.select("proposal_id", F.col("score").alias("_score"), F.col("created_at").alias("_at"))
-    out = proposals.join(runs, "proposal_id", "left")
-    done = F.col("_at").isNotNull()
-    return out.withColumn("latest_score", F.when(done, F.col("_score")).otherwise(F.col("latest_score"))).withColumn("status", F.when(done, "evaluated").otherwise(F.col("status"))).withColumn("error_stage", F.when(~done, F.col("error_stage"))).withColumn("evaluated_at", F.col("_at")).drop("_score", "_at")
+    """Newest completed run onto its proposal: score, label, id and time; clears the error. Proposals without one stay."""
+    out = with_verdicts(proposals, newest, only_missing=False)
+    done = F.col("filled")
+    cleared = {c: F.when(~done, F.col(c)) for c in ("error_stage", "error_message") if c in proposals.columns}
+    return out.withColumns({"status": F.when(done, "evaluated").otherwise(F.col("status")), "is_evaluated": done | F.col("is_evaluated"), **cleared}).drop("filled")
 
 
 def to_evaluate(proposals: DataFrame, runs: DataFrame, force: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ MOST_CENTROIDS = 200
 def drop_repeated_lines(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.split(F.col(text), "\n")
     again = X.repeated_lines(lines)
-    return df.withColumn("_again", again).withColumn(text, F.when(F.size("_again") == 0, F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~F.array_contains(F.col("_again"), F.trim(x))), "\n"))).drop("_again")
+    return df.withColumn("_again", again).withColumn(text, F.when(F.size("_again") == 0, F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~F.array_contains(F.col("_again"), X.strip(x))), "\n"))).drop("_again")
 
 
 def clean_text(df: DataFrame, text: str = "text", is_ocr: bool = False) -> DataFrame:
@@ -42,7 +42,7 @@ def _is_heading(line: Column) -> Column:
 def detect_headings(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line, heading): the first line that has each heading of a document."""
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line", "heading"))
-    hits = lines.withColumn("heading", F.trim("heading")).where(_is_heading(F.col("heading")))
+    hits = lines.withColumn("heading", X.strip(F.col("heading"))).where(_is_heading(F.col("heading")))
     return hits.groupBy(key, "heading").agg(F.min("line").alias("line"))
 
 

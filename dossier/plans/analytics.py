@@ -15,7 +15,7 @@ APPROVED = "SELECT * FROM decisions WHERE decision IN ('approved', 'selected_for
 PERIOD = "strftime(decided_at, '%Y-%m')"
 STAGE_ROWS = ", ".join(f"({i}, '{s}')" for i, s in enumerate(["uploaded", "extracting", "extracted", "metadata_ready", "pending_review", "queued", "evaluating", "evaluated", "skipped", "failed"]))
 STAGES = f"""SELECT CAST(position AS INT) AS position, stage, count(p.status) AS n, (SELECT count(*) FROM proposals) AS total,
-    (SELECT count(*) FROM proposals WHERE status IN ('pending_review', 'queued', 'failed')) AS actionable
+    (SELECT count(*) FROM proposals WHERE NOT is_evaluated AND review_decision = 'approved_for_eval') AS actionable
     FROM (VALUES {STAGE_ROWS}) s(position, stage) LEFT JOIN proposals p ON p.status = s.stage GROUP BY ALL"""
 
 
@@ -108,9 +108,9 @@ def gate_matches(a: Archive) -> DataFrame:
 
 
 @query(f"""WITH m AS ({MATCHES}), c AS (SELECT count(*) FILTER (WHERE review_decision = 'skipped_duplicate') AS confirmed, count(*) FILTER (WHERE review_decision = 'pending') AS pending FROM proposals),
-    t AS (SELECT CAST(floor(sum(tokens) / count(tokens)) AS BIGINT) AS each_ FROM evaluations WHERE status = 'completed')
+    t AS (SELECT CAST(sum(tokens) AS DOUBLE) / count(tokens) AS each_ FROM evaluations WHERE status = 'completed')
     SELECT (SELECT count(DISTINCT proposal_id) FROM m) AS flagged, confirmed, pending, (SELECT count(*) FROM m WHERE status = 'dismissed') AS dismissed,
-           CASE WHEN confirmed > 0 THEN confirmed * each_ END AS tokens_saved FROM c, t""")
+           CASE WHEN confirmed > 0 AND each_ <> 0 THEN CAST(floor(confirmed * each_) AS BIGINT) END AS tokens_saved FROM c, t""")
 def a12_duplicate_gate_report(a: Archive) -> DataFrame:
     return A.duplicate_gate_report(a.proposals, gate_matches(a), a.evaluations)
 
@@ -162,9 +162,9 @@ def a20_overview(a: Archive) -> DataFrame:
     return A.overview(a.proposals, a.decisions)
 
 
-@query("""WITH s AS (SELECT batch_id, status, count(*) AS n FROM proposals GROUP BY ALL)
+@query("""WITH s AS (SELECT batch_id, status, count(*) AS n, count(*) FILTER (WHERE is_evaluated) AS e, count(*) FILTER (WHERE review_decision = 'pending') AS w FROM proposals GROUP BY ALL)
     SELECT batch_id, string_agg(status || '=' || n, ',' ORDER BY status) AS by_status, CAST(sum(n) AS BIGINT) AS total,
-           CAST(coalesce(sum(n) FILTER (WHERE status = 'evaluated'), 0) AS BIGINT) AS evaluated, CAST(coalesce(sum(n) FILTER (WHERE status = 'pending_review'), 0) AS BIGINT) AS awaiting,
+           CAST(sum(e) AS BIGINT) AS evaluated, CAST(sum(w) AS BIGINT) AS awaiting,
            CAST(coalesce(sum(n) FILTER (WHERE status = 'failed'), 0) AS BIGINT) AS failed,
            CAST(coalesce(sum(n) FILTER (WHERE status NOT IN ('queued', 'evaluated', 'skipped', 'failed', 'pending_review')), 0) AS BIGINT) AS in_progress FROM s GROUP BY batch_id""")
 def a21_batch_state(a: Archive) -> DataFrame:
@@ -172,7 +172,7 @@ def a21_batch_state(a: Archive) -> DataFrame:
     return A.batch_state(a.proposals).withColumn("by_status", shown)
 
 
-@query("""SELECT batch_id, count(*) FILTER (WHERE status = 'queued' AND NOT is_evaluated) AS ready, count(*) FILTER (WHERE status = 'pending_review') AS blocked,
+@query("""SELECT batch_id, count(*) FILTER (WHERE review_decision = 'approved_for_eval' AND NOT is_evaluated) AS ready, count(*) FILTER (WHERE review_decision = 'pending') AS blocked,
     count(*) FILTER (WHERE review_decision = 'skipped_duplicate') AS skipped, count(*) FILTER (WHERE is_evaluated) AS already FROM proposals GROUP BY batch_id""")
 def a22_batch_partition(a: Archive) -> DataFrame:
     return A.batch_partition(a.proposals)

@@ -42,12 +42,12 @@ def d2_similarity_gate(a: Archive) -> DataFrame:
     return D.similarity_gate(a.vectors, D.knn_cosine(a.vectors, a.vectors, threshold=0.3))
 
 
-@query(f"""WITH m AS ({NEAR}) SELECT m.id, m.matched, CAST(floor(similarity * 100 + 0.5) AS BIGINT) || '% similar;' || CASE WHEN x.label = y.label THEN 'Same organisation' ELSE 'Different organisation' END
+@query(f"""WITH m AS ({NEAR}) SELECT m.id, m.matched, CAST(floor(similarity * 100 + 0.5) AS BIGINT) || '% similar;' || CASE WHEN x.label = y.label THEN 'Same organisation' ELSE 'Different organisation' END || ';Category: kind ' || m.matched % 5
     || CASE WHEN m.matched % 2 = 0 THEN ';Already evaluated' ELSE '' END AS reasons FROM m JOIN embeddings x ON x.vec_id = m.id JOIN embeddings y ON y.vec_id = m.matched""")
 def d3_match_reasons(a: Archive) -> DataFrame:
     near = D.knn_cosine(a.vectors, a.vectors, threshold=0.3)
-    rows = a.vectors.select("id", "company", (F.col("id") % 2 == 0).alias("evaluated"))
-    pairs = L.match_pairs(near.select(F.col("id").alias("a"), F.col("matched").alias("b"), "similarity"), rows, "id", ("company", "evaluated"))
+    rows = a.vectors.select("id", "company", F.concat(F.lit("kind "), (F.col("id") % 5).cast("string")).alias("category"), (F.col("id") % 2 == 0).alias("evaluated"))
+    pairs = L.match_pairs(near.select(F.col("id").alias("a"), F.col("matched").alias("b"), "similarity"), rows, "id", ("company", "category", "evaluated"))
     return D.match_reasons(pairs).select(F.col("a").alias("id"), F.col("b").alias("matched"), F.array_join("reasons", ";").alias("reasons"))
 
 
@@ -76,12 +76,35 @@ def d5_resolve_reviews(a: Archive) -> DataFrame:
     return m.select("proposal_id", F.col("status").alias("match_status")).join(p.select("proposal_id", "status"), "proposal_id")
 
 
-@query("""WITH q AS (SELECT proposal_id * 2 AS proposal_id, proposal_id + proposal_id % 3 AS original_id FROM proposals)
-    SELECT coalesce(CASE WHEN p.proposal_id IS NULL THEN 'Not found' WHEN q.proposal_id = q.original_id THEN 'Same proposal' WHEN p.is_evaluated THEN 'Already evaluated' WHEN o.proposal_id IS NULL THEN 'Original not found' END, 'accepted') AS outcome, count(*) AS n
-    FROM q LEFT JOIN proposals p ON p.proposal_id = q.proposal_id LEFT JOIN proposals o ON o.proposal_id = q.original_id GROUP BY 1""")
+#: Rulings on proposals and on ids that are there or not; every fifth takes a ruling back.
+RULED = f"""r AS (SELECT proposal_id * 2 AS proposal_id, proposal_id % 5 > 0 AS is_duplicate, CASE WHEN proposal_id % 7 > 0 THEN proposal_id + proposal_id % 3 END AS original_id FROM proposals),
+    w AS (SELECT r.*, CASE WHEN p.proposal_id IS NULL THEN 'Not found' WHEN is_duplicate AND p.is_evaluated THEN 'Already evaluated' WHEN is_duplicate AND r.original_id IS NOT NULL AND o.proposal_id IS NULL THEN 'Original not found'
+        WHEN is_duplicate AND r.original_id = r.proposal_id THEN 'Same proposal' END AS reason FROM r LEFT JOIN proposals p ON p.proposal_id = r.proposal_id LEFT JOIN proposals o ON o.proposal_id = r.original_id),
+    ok AS (SELECT * FROM w WHERE reason IS NULL), m AS ({MATCHES})"""
+
+
+def _marked(a: Archive) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = F.col("proposal_id")
+    rulings = a.proposals.select((p * 2).alias("proposal_id"), (p % 5 > 0).alias("is_duplicate"), F.when(p % 7 > 0, p + p % 3).alias("original_id"))
+    return D.mark_duplicates(a.proposals, gate_matches(a), rulings)
+
+
+@query(f"WITH {RULED} SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM w GROUP BY 1")
 def d6_mark_duplicates(a: Archive) -> DataFrame:
-    asked = a.proposals.select((F.col("proposal_id") * 2).alias("proposal_id"), (F.col("proposal_id") + F.col("proposal_id") % 3).alias("original_id"))
-    return D.mark_duplicates(a.proposals, asked).groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+    return _marked(a)[2].groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {RULED} SELECT p.proposal_id, CASE WHEN ok.proposal_id IS NULL THEN p.status WHEN is_duplicate THEN 'skipped' ELSE 'queued' END AS status,
+    CASE WHEN ok.proposal_id IS NULL THEN p.review_decision WHEN is_duplicate THEN 'skipped_duplicate' ELSE 'approved_for_eval' END AS review_decision, CASE WHEN is_duplicate THEN original_id END AS duplicate_of_id
+    FROM proposals p LEFT JOIN ok USING (proposal_id)""")
+def d6_marked_proposals(a: Archive) -> DataFrame:
+    return _marked(a)[0].select("proposal_id", "status", "review_decision", "duplicate_of_id")
+
+
+@query(f"""WITH {RULED} SELECT m.proposal_id, m.matched_id, CASE WHEN m.status = 'pending' AND ok.proposal_id IS NOT NULL THEN CASE WHEN is_duplicate THEN 'confirmed_duplicate' ELSE 'dismissed' END ELSE m.status END AS status
+    FROM m LEFT JOIN ok USING (proposal_id)""")
+def d6_marked_matches(a: Archive) -> DataFrame:
+    return _marked(a)[1]
 
 
 SPELT = "'Client ' || lpad(CAST(company_id % 100 AS VARCHAR), 3, '0') || CASE company_id % 4 WHEN 0 THEN ' Pvt. Ltd.' WHEN 1 THEN ' PRIVATE LIMITED' WHEN 2 THEN ', Inc' ELSE '' END"
@@ -134,7 +157,7 @@ def batch(a: Archive) -> DataFrame:
 
 @query()
 def g2_decide_batch(a: Archive) -> DataFrame:
-    return G.decide_batch(batch(a), a.decisions.where("decision = 'approved'"))
+    return G.decide_batch(batch(a), a.decisions)
 
 
 @query("SELECT d.proposal_id, coalesce(CASE WHEN d.proposal_id % 2 = 0 THEN d.category END, p.category) AS category, p.company_id, CAST(year(decided_at) AS INT) AS decision_year, CAST(month(decided_at) AS INT) AS decision_month FROM decisions d JOIN proposals p USING (proposal_id)")
@@ -149,9 +172,10 @@ def g4_override_audit(a: Archive) -> DataFrame:
     return G.override_audit(G.conflicts(a.proposals.withColumn("decision", F.lit("approved")), a.decisions))
 
 
-@query("SELECT proposal_id, CASE WHEN proposal_id IN (SELECT proposal_id FROM decisions WHERE decision = 'selected_for_funding') THEN 'selected_for_funding' ELSE 'unselected' END AS decision FROM proposals WHERE is_evaluated")
+@query()
 def g5_funding(a: Archive) -> DataFrame:
-    return G.funding(a.proposals.where("is_evaluated").select("proposal_id"), a.decisions.where("decision = 'selected_for_funding'"))
+    """All proposals with a selection in the ledger's place; selecting goes through the conflict check."""
+    return G.funding(batch(a), a.decisions.where("decision = 'selected_for_funding'"), a.decisions.where("decision = 'approved'"))
 
 
 @query("""WITH h AS (SELECT proposal_id, count(*) AS runs, max(created_at) AS latest FROM evaluations GROUP BY 1), d AS (SELECT proposal_id, max(decided_at) AS decided_at, count(*) AS decisions FROM decisions GROUP BY 1)

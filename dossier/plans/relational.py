@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ from ..registry import query
 from ..session import shared_dir
 from ..sources import files, tables
 
-ELIGIBLE = """CASE WHEN review_decision = 'pending' AND status = 'pending_review' THEN 'Awaiting duplicate review'
+ELIGIBLE = """CASE WHEN review_decision = 'pending' THEN 'Awaiting duplicate review'
     WHEN review_decision = 'skipped_duplicate' THEN 'Ruled a duplicate' {forced}
-    WHEN status IN ('uploaded', 'extracting', 'extracted', 'metadata_ready', 'evaluating') THEN 'Still in processing'
+    WHEN status IN ('uploaded', 'extracting', 'extracted') THEN 'Still in processing'
     WHEN status = 'failed' THEN 'Processing failed' END"""
 NEWEST = "created_at DESC, line DESC, part_id DESC, supp_id DESC, score DESC, tokens DESC, duration_ms DESC, coverage DESC"
 
@@ -31,7 +32,7 @@ def s4_load_tables(a: Archive) -> DataFrame:
 
 
 @query("""SELECT filename AS name, proposal_id % 60000000 AS size, CASE
-    WHEN lower(split_part(filename, '.', -1)) NOT IN ('pdf','docx','doc','pptx','ppt','txt','md','png','jpg','jpeg','tiff') THEN 'Unsupported format'
+    WHEN lower(split_part(filename, '.', -1)) NOT IN ('pdf','docx','doc','pptx','ppt','txt','png','jpg','jpeg','tiff','bmp') THEN 'Unsupported format'
     WHEN proposal_id % 60000000 = 0 THEN 'Empty file' WHEN proposal_id % 60000000 > 52428800 THEN 'File too large' END AS reason FROM proposals""")
 def s2_validate_files(a: Archive) -> DataFrame:
     return files.validate_files(a.proposals.select(F.col("filename").alias("name"), (F.col("proposal_id") % 60000000).alias("size")))
@@ -43,11 +44,20 @@ def s1_read_files(a: Archive) -> DataFrame:
     return files.read_files(a.spark, f"{a.dir}/*.parquet").select("name", "size", "sha256")
 
 
+def _with_bad_bytes(a: Archive) -> DataFrame:
+    """Texts as bytes, one of which is wrong."""
+    return a.texts.select("doc_id", F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("20C3A9FF20656E64"))).alias("content"))
+
+
 @query("SELECT doc_id, sha256(text || ' é' || chr(65533) || ' end') AS digest FROM documents")
+def s3_decode_text(a: Archive) -> DataFrame:
+    return _with_bad_bytes(a).select("doc_id", F.sha2(files.decoded(F.col("content")), 256).alias("digest"))
+
+
+@query()
 def s3_read_text(a: Archive) -> DataFrame:
-    """Texts from bytes of which one is wrong."""
-    content = F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("20C3A9FF20656E64")))
-    return files.read_text(a.texts.select("doc_id", content.alias("content"))).select("doc_id", F.sha2("text", 256).alias("digest"))
+    """Decoded and cleaned; SQL has no such normal form."""
+    return files.read_text(_with_bad_bytes(a)).select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
 @query("SELECT CAST(year(decided_at) AS INT) AS decision_year, CAST(month(decided_at) AS INT) AS decision_month, decision, count(*) AS n, CAST(sum(proposal_id) AS BIGINT) AS ids FROM decisions GROUP BY ALL")
@@ -90,11 +100,13 @@ def s8_cascade_delete(a: Archive) -> DataFrame:
 
 
 @query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY {NEWEST}) AS place FROM evaluations WHERE status = 'completed')
-    SELECT p.proposal_id, coalesce(p.latest_score, r.score) AS latest_score, r.created_at AS evaluated_at
+    SELECT p.proposal_id, coalesce(p.latest_score, r.score) AS latest_score, CASE WHEN p.latest_score IS NULL AND r.place = 1 THEN r.recommendation ELSE p.latest_recommendation END AS latest_recommendation,
+           CASE WHEN p.latest_score IS NULL AND r.place = 1 THEN r.run_id ELSE p.latest_evaluation_id END AS latest_evaluation_id,
+           CASE WHEN p.latest_score IS NULL AND r.place = 1 THEN coalesce(r.completed_at, r.created_at) ELSE p.evaluated_at END AS evaluated_at
     FROM proposals p LEFT JOIN r ON p.proposal_id = r.proposal_id AND r.place = 1""")
 def s9_backfill_verdict(a: Archive) -> DataFrame:
     newest = L.latest_per_key(a.evaluations.where("status = 'completed'"), "proposal_id", *newest_run())
-    return tables.backfill_verdict(a.proposals, newest).select("proposal_id", "latest_score", "evaluated_at")
+    return tables.backfill_verdict(a.proposals, newest).select("proposal_id", *tables.VERDICT)
 
 
 @query("SELECT proposal_id, status, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS DOUBLE) AS confidence FROM proposals")
@@ -118,9 +130,10 @@ def f3_exclude_duplicates(a: Archive) -> DataFrame:
     return L.exclude_duplicates(a.proposals).select("proposal_id", "review_decision")
 
 
-@query("SELECT proposal_id FROM proposals WHERE lower(title) LIKE '%l 1_0%' OR lower(filename) LIKE '%l 1_0%'")
+@query("SELECT proposal_id, pattern FROM proposals, (VALUES ('L 1_0'), ('District 1')) v(pattern) WHERE lower(title) LIKE '%' || lower(pattern) || '%' OR lower(filename) LIKE '%' || lower(pattern) || '%' OR lower(problem_statement) LIKE '%' || lower(pattern) || '%'")
 def f4_search(a: Archive) -> DataFrame:
-    return L.search(a.proposals, "L 1_0").select("proposal_id")
+    found = [L.search(a.proposals, p).select("proposal_id", F.lit(p).alias("pattern")) for p in ("L 1_0", "District 1")]
+    return found[0].unionAll(found[1])
 
 
 LABEL = "CASE category WHEN '1-URGENT' THEN 'Urgent' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' WHEN '4-NOT SPECIFIED' THEN 'Not Specified' WHEN '5-LOW' THEN 'Low' END"
@@ -179,13 +192,24 @@ def f14_scoreable_sections(a: Archive) -> DataFrame:
 @query("""SELECT proposal_id, latest_score, CAST(row_number() OVER (ORDER BY latest_score ASC NULLS LAST, created_at DESC, proposal_id DESC) AS INT) AS position FROM proposals
     ORDER BY position LIMIT 200""")
 def o1_sort_listing(a: Archive) -> DataFrame:
-    first = L.sort_listing(a.proposals, "latest_score", descending=False).limit(200)  # the feature: a page of a sorted list
+    first = L.sort_listing(a.proposals, "score", descending=False).limit(200)  # the feature: a page of a sorted list
     order = [F.col("latest_score").asc_nulls_last(), F.desc("created_at"), F.desc("proposal_id")]
     from pyspark.sql import Window as W
 
     return first.select("proposal_id", "latest_score", F.row_number().over(W.orderBy(*order)).alias("position"))
 
 
+@query("""SELECT 'words' AS by, proposal_id FROM (SELECT proposal_id FROM proposals ORDER BY total_words DESC NULLS LAST, created_at DESC, proposal_id DESC LIMIT 50)
+    UNION ALL SELECT 'evaluated_at', proposal_id FROM (SELECT proposal_id FROM proposals ORDER BY evaluated_at DESC NULLS LAST, created_at DESC, proposal_id DESC LIMIT 50)
+    UNION ALL SELECT 'updated_at', proposal_id FROM (SELECT proposal_id FROM proposals ORDER BY updated_at DESC NULLS LAST, created_at DESC, proposal_id DESC LIMIT 50)
+    UNION ALL SELECT 'pages', proposal_id FROM (SELECT proposal_id FROM proposals ORDER BY total_pages DESC NULLS LAST, created_at DESC, proposal_id DESC LIMIT 50)
+    UNION ALL SELECT 'latest_score', proposal_id FROM (SELECT proposal_id FROM proposals ORDER BY created_at DESC, proposal_id DESC LIMIT 50)""")
+def o1_sort_keys(a: Archive) -> DataFrame:
+    """First pages by other keys; a name that is no key sorts by creation."""
+    pages = [L.sort_listing(a.proposals, by).limit(50).select(F.lit(by).alias("by"), "proposal_id") for by in ("words", "evaluated_at", "updated_at", "pages", "latest_score")]
+    return reduce(DataFrame.unionAll, pages)
+
+
 @query("""SELECT proposal_id, CAST((SELECT count(*) FROM proposals) AS BIGINT) AS total, CAST(ceil((SELECT count(*) FROM proposals) / 25.0) AS BIGINT) AS pages
     FROM (SELECT proposal_id FROM proposals ORDER BY created_at DESC, proposal_id DESC LIMIT 25 OFFSET 50)""")
 def o3_page(a: Archive) -> DataFrame:

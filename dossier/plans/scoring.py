@@ -10,6 +10,7 @@ from ..config import CONFLICT_PAIRS, RUBRIC, rubric_table
 from ..operators import listing as L
 from ..operators import scoring as R
 from ..registry import query
+from ..sources.tables import VERDICT
 from .relational import NEWEST, newest_run
 
 WEIGHTS = ", ".join(f"({i + 1}, {r[2]}, '{r[1]}')" for i, r in enumerate(RUBRIC))
@@ -159,11 +160,13 @@ def r16_compose_report(a: Archive) -> DataFrame:
 
 
 @query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY {NEWEST}) AS place FROM evaluations WHERE status = 'completed')
-    SELECT p.proposal_id, CASE WHEN r.place IS NULL THEN p.latest_score ELSE r.score END AS latest_score, CASE WHEN r.place IS NULL THEN p.status ELSE 'evaluated' END AS status, r.created_at AS evaluated_at
+    SELECT p.proposal_id, CASE WHEN r.place IS NULL THEN p.latest_score ELSE r.score END AS latest_score, CASE WHEN r.place IS NULL THEN p.status ELSE 'evaluated' END AS status, CASE WHEN r.place IS NULL THEN p.evaluated_at ELSE coalesce(r.completed_at, r.created_at) END AS evaluated_at,
+    CASE WHEN r.place IS NULL THEN p.latest_recommendation ELSE r.recommendation END AS latest_recommendation, CASE WHEN r.place IS NULL THEN p.latest_evaluation_id ELSE r.run_id END AS latest_evaluation_id,
+    r.place IS NOT NULL OR p.is_evaluated AS is_evaluated, CASE WHEN r.place IS NULL THEN p.error_stage END AS error_stage
     FROM proposals p LEFT JOIN r ON r.proposal_id = p.proposal_id AND r.place = 1""")
 def r17_publish_verdict(a: Archive) -> DataFrame:
     newest = L.latest_per_key(a.evaluations.where("status = 'completed'"), "proposal_id", *newest_run())
-    return R.publish_verdict(a.proposals, newest).select("proposal_id", "latest_score", "status", "evaluated_at")
+    return R.publish_verdict(a.proposals, newest).select("proposal_id", *VERDICT, "status", "is_evaluated", "error_stage")
 
 
 @query("SELECT proposal_id FROM proposals WHERE proposal_id NOT IN (SELECT proposal_id FROM evaluations WHERE status = 'completed')")

@@ -228,19 +228,21 @@ def x22_metadata_input(a: Archive) -> DataFrame:
 
 
 @query("""SELECT proposal_id, CASE WHEN proposal_id % 3 <> 0 THEN title END AS title, CASE WHEN proposal_id % 2 = 1 THEN CAST(retry_count + 2000 AS INT) END AS year,
-    CASE WHEN proposal_id % 12 BETWEEN 1 AND 9 THEN CAST(proposal_id % 12 AS INT) END AS level, least(retry_count / 2.0, 1.0)::DOUBLE AS confidence, 'a|b' AS categories FROM proposals""")
+    CASE WHEN proposal_id % 12 BETWEEN 1 AND 9 THEN CAST(proposal_id % 12 AS INT) END AS level, CASE WHEN proposal_id % 7 = 0 THEN 0.0 ELSE least(retry_count / 2.0, 1.0) END::DOUBLE AS confidence, CAST(NULL AS VARCHAR) AS company, 'a|b' AS categories,
+    'sensors|' || category AS technology_used FROM proposals""")
 def x23_clean_metadata(a: Archive) -> DataFrame:
     p = F.col("proposal_id")
     raw = a.proposals.select(
         "proposal_id",
-        F.when(p % 3 == 0, " N/A ").otherwise(F.concat(F.lit("  "), "title")).alias("title"),
+        F.when(p % 6 == 0, " N/A ").when(p % 6 == 3, "Not Stated").otherwise(F.concat(F.lit("  "), "title")).alias("title"),
         F.lit("none").alias("company"),
         F.when(p % 2 == 1, (F.col("retry_count") + 2000).cast("string")).otherwise("soon").alias("year"),
         (p % 12).cast("string").alias("level"),
-        (F.col("retry_count") / 2).alias("confidence"),
-        F.array(F.lit(" a "), F.lit(" "), F.lit("b"), F.lit("c")).alias("categories"),
+        F.when(p % 7 == 0, "high").otherwise((F.col("retry_count") / 2).cast("string")).alias("confidence"),
+        F.array(F.lit(" a "), F.lit("Not stated"), F.lit("b\t"), F.lit("c")).alias("categories"),
+        F.array(F.lit("sensors"), F.lit("not found"), F.concat(F.lit(" "), "category")).alias("technology_used"),
     )
-    return Q.clean_metadata(raw).select("proposal_id", "title", "year", "level", "confidence", F.array_join("categories", "|").alias("categories"))
+    return Q.clean_metadata(raw).select("proposal_id", "title", "company", "year", "level", "confidence", F.array_join("categories", "|").alias("categories"), F.array_join("technology_used", "|").alias("technology_used"))
 
 
 @query()
@@ -255,11 +257,15 @@ def x27_safe_key(a: Archive) -> DataFrame:
     return a.table("pages").select("page_id", safe_key("originals", F.col("page_id"), F.col("url")).alias("key"))
 
 
-@query("""SELECT proposal_id, CAST(0 AS INT) AS place, replace(regexp_extract('INR ' || printf('%,d', CAST(floor(latest_score * 5000) AS BIGINT)), 'INR\\s*(\\d{1,3}(?:,\\d{2})*(?:,\\d{3})?)', 1), ',', '') AS value FROM proposals WHERE latest_score IS NOT NULL""")
+@query(r"""WITH t AS (SELECT proposal_id, printf('%,d', CAST(floor(latest_score * 5000) AS BIGINT)) AS a FROM proposals WHERE latest_score IS NOT NULL),
+    v AS (SELECT proposal_id, regexp_extract(a, '^\d{1,3}(,\d{2})*(,\d{3})?') AS v, 'Total cost: INR ' || a || ' in all, Rs. ' || proposal_id % 100 || ' a day' AS t FROM t)
+    SELECT proposal_id, CAST(0 AS INT) AS place, replace(v, ',', '') AS value, trim(substr(t, 1, 16 + length(v) + 20)) AS context FROM v
+    UNION ALL SELECT proposal_id, 1, CAST(proposal_id % 100 AS VARCHAR), trim(substr(t, greatest(1, strpos(t, 'Rs. ') - 50), least(50, strpos(t, 'Rs. ') - 1) + 100)) FROM v""")
 def x28_extract_amounts(a: Archive) -> DataFrame:
-    text = F.concat(F.lit("Total cost of the project: INR "), F.format_number(F.floor(F.col("latest_score") * 5000), 0), F.lit(" in all"))
+    """Two amounts that stand close, so that their contexts overlap."""
+    text = F.concat(F.lit("Total cost: INR "), F.format_number(F.floor(F.col("latest_score") * 5000), 0), F.lit(" in all, Rs. "), (F.col("proposal_id") % 100).cast("string"), F.lit(" a day"))
     rows = a.proposals.where("latest_score IS NOT NULL").select("proposal_id", text.alias("text"))
-    return Q.extract_amounts(rows, "proposal_id").select("proposal_id", "place", "value")
+    return Q.extract_amounts(rows, "proposal_id")
 
 
 #: The lines of documents with their places, for the SQL of forms and layout.

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FORMATS, MAX_BYTES
+from ..config import FORMATS, MAX_BYTES, MEDIA_TYPES
+from ..operators.sections import clean_text
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -18,6 +19,14 @@ def extension(name: Column) -> Column:
     return F.when(name.contains("."), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise("")
 
 
+def format_of(name: Column, media_type: Column | None = None) -> Column:
+    """The extension of the name, or the format that the media type stands for where it has none."""
+    if media_type is None:
+        return extension(name)
+    known = F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])
+    return F.when(F.coalesce(extension(name), F.lit("")) != "", extension(name)).otherwise(F.coalesce(known[media_type], F.lit("")))
+
+
 def reject_reason(name: Column, size: Column, formats=FORMATS, most: int = MAX_BYTES) -> Column:
     """Why a file is not taken, or null."""
     return F.when(~extension(name).isin(*formats), "Unsupported format").when(size == 0, "Empty file").when(size > most, "File too large")
@@ -27,9 +36,14 @@ def validate_files(df: DataFrame, formats=FORMATS, most: int = MAX_BYTES) -> Dat
     return df.withColumn("reason", reject_reason(F.col("name"), F.col("size"), formats, most))
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8, bad ones replaced."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def read_text(df: DataFrame) -> DataFrame:
-    """``content`` as text, bad bytes replaced."""
-    return df.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
+    """``content`` as cleaned text."""
+    return clean_text(df.withColumn("text", decoded(F.col("content"))))
 
 
 def safe_key(prefix: str, ident: Column, name: Column) -> Column:

@@ -60,12 +60,25 @@ def cascade_delete(proposals: DataFrame, evaluations: DataFrame, decisions: Data
     return (*kept, matches)
 
 
-def backfill_verdict(proposals: DataFrame, newest: DataFrame, only_missing: bool = True) -> DataFrame:
-    """Score and time of the newest completed run; by default only where the proposal has none."""
-    runs = newest.select("proposal_id", F.col("score").alias("_score"), F.col("created_at").alias("_at"))
+VERDICT = ("latest_score", "latest_recommendation", "latest_evaluation_id", "evaluated_at")
+
+
+def with_verdicts(proposals: DataFrame, newest: DataFrame, only_missing: bool) -> DataFrame:
+    """``proposals`` with a boolean ``filled``: where it is true, score, label, id and time are those of the newest completed run.
+
+    ``newest`` holds one row a proposal: proposal_id, run_id, score, recommendation, completed_at (or null) and created_at.
+    """
+    runs = newest.select("proposal_id", F.struct("score", "recommendation", "run_id", F.coalesce("completed_at", "created_at")).alias("_run"))
     out = proposals.join(runs, "proposal_id", "left")
-    score = F.coalesce("latest_score", "_score") if only_missing else F.coalesce("_score", "latest_score")
-    return out.withColumn("evaluated_at", F.when(F.col("_score").isNotNull(), F.col("_at"))).withColumn("latest_score", score).drop("_score", "_at")
+    filled = F.col("_run").isNotNull() & F.col("latest_score").isNull() if only_missing else F.col("_run").isNotNull()
+    out = out.withColumn("filled", filled)
+    news = [F.col("_run").getField(f) for f in out.schema["_run"].dataType.names]
+    return out.withColumns({c: F.when(F.col("filled"), new).otherwise(F.col(c)) for c, new in zip(VERDICT, news, strict=True)}).drop("_run")
+
+
+def backfill_verdict(proposals: DataFrame, newest: DataFrame) -> DataFrame:
+    """The newest completed run onto proposals without a score; verdicts that are there stay as they are."""
+    return with_verdicts(proposals, newest, only_missing=True).drop("filled")
 
 
 def widen_schema(df: DataFrame, columns: T.StructType) -> DataFrame:
