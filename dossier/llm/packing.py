@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -32,21 +33,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bpe import coder
 from .common import in_small_batches, written
 
+LONG = 200_000  # characters that the compiled encoder gets at a time
+CUT = re.compile(r"(?<=\S) (?=\S)")
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-@lru_cache(maxsize=2)
-def tokenizer(ranks_path: str, json_path: str, pattern: str):
-    """The vocabulary as a compiled encoder; strings of its special tokens count as such."""
-    import tiktoken
+class Tokenizer:
+    """The vocabulary as a compiled encoder; strings of its special tokens count as such.
+
+    Long texts are cut where the pattern begins a new piece in any case: before a single space between two other characters. The compiled encoder gives up on
+    a million characters of white space, so a stretch without a cut for more than LONG characters goes to the coder of ``bpe``, which takes any length.
+    """
 
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    with open(json_path, encoding="utf-8") as file:
-        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"] if t["special"]}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    def __init__(self, ranks_path: str, json_path: str, pattern: str):
+        import tiktoken
+
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        with open(json_path, encoding="utf-8") as file:
+            self.special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"] if t["special"]}
+        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
+        self.any_length = lambda: coder(ranks_path, pattern)
+
+    def stretches(self, text: str) -> Iterator[str]:
+        start = 0
+        while len(text) - start > LONG:
+            cut = CUT.search(text, start + LONG // 2)
+            if not cut:
+                break
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:]
+
+    def encode(self, text: str) -> np.ndarray:
+        parts = []
+        for part in self.stretches(text):
+            if len(part) <= LONG:
+                parts.append(np.array(self.fast.encode(part, allowed_special="all"), dtype="<u4"))
+                continue
+            for piece in re.split("(" + "|".join(map(re.escape, self.special)) + ")", part) if self.special else [part]:
+                ids = np.array([self.special[piece]], dtype="<u4") if piece in self.special else np.frombuffer(self.any_length().encode_bytes(piece), dtype="<u4")
+                parts.append(ids)
+        return np.concatenate(parts)
+
+
+@lru_cache(maxsize=2)
+def tokenizer(ranks_path: str, json_path: str, pattern: str) -> Tokenizer:
+    return Tokenizer(ranks_path, json_path, pattern)
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, json_path: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -57,7 +93,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, json_path: str, pattern: str,
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.array([*encode.encode(text or "", allowed_special="all"), end_id], dtype="<u4")
+                ids = np.append(encode.encode(text or ""), np.array([end_id], dtype="<u4"))
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 rows += [(doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -5,7 +5,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-from dossier.llm.packing import Plan, pack, pack_documents, token_pieces
+import pytest
+from dossier.llm.packing import Plan, pack, pack_documents, token_pieces, tokenizer
 from dossier.llm.queries import op4_best_fit_packing, tokenizer_files
 
 
@@ -55,6 +56,23 @@ def test_plans():
     assert Plan({}, 8).sequences == 0
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "ab cd  ", "é", "<|endoftext|>", "\t \n"])
+def test_long_texts_have_the_ids_of_the_library(unit):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(tokenizer_files()[1]), tokenizer(*tokenizer_files())
+    for text in (unit * (1_000_000 // len(unit)), "x " + unit * (700_000 // len(unit)) + "<|endoftext|> y  z" + unit * 7):
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a"])
+def test_the_longest_texts_are_packed(spark, unit):
+    docs = spark.createDataFrame([(1, unit * 5_000_000), (2, "short"), (3, None)], "doc_id bigint, text string")
+    rows = pack_documents(docs, *tokenizer_files()).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3}
+    assert gapless([(r.sequence_id, r.offset, r.length) for r in rows], 1024) == len({r.sequence_id for r in rows})
+
+
 def test_query(spark, small_dir):
     from tokenizers import Tokenizer
 
