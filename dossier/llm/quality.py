@@ -3,15 +3,17 @@
 The content view is naive Bayes over letter n-grams: every three bytes in a row of the whole text, digits taken as
 one, hashed into ``SLOTS`` counts, and over how much its words repeat (shares of words like the one before, of different words for
 its length, and of its commonest word). A document's evidence is the mean log ratio of its trigrams, so long and short ones
-weigh alike, and that of its repetitions. The metadata view is naive Bayes over language, source, stored length and the ratio of
-that to the text's. Both are sums over documents, so they are learned from all documents with partial aggregates: only sums
+weigh alike, and that of its repetitions. The metadata view is naive Bayes over what is known of the page without reading it: language, source, stored length,
+the ratio of that to the text's, characters a word and characters a line. Both are sums over documents, so they are learned from all documents with partial aggregates: only sums
 (SLOTS + STYLE + METADATA rows) come to the driver.
 
 First both views learn from the labelled sample. Then, in each of ``ROUNDS`` rounds, every unlabelled
 document of the corpus of which one view is sure teaches the other view (Blum and Mitchell), and both are made anew from
 the labels and these pseudo-labels. After each round both are calibrated on labelled documents that neither
-learns from. A view is sure of a document whose odds lie beyond the median of its class among those, so either class is taught at its
-own share; a view that is right there less often than ``SURE`` teaches nothing. Scores add the calibrated log odds of both views, less the prior that both contain.
+learns from. A view is sure of the documents that it ranks first in a class: beyond the odds that a share of that class reaches among those, ``SHARE`` of it in the first round and as much more in
+each that follows, so either class is taught at its own rate; while it is right about them less often than ``SURE``, the share is halved, up to ``HALVED`` times. A round that changes no count ends the
+loop. What each view has taught, and how often it was right, is kept in ``history``. Scores combine the calibrated log
+odds of both views, weighed by a logistic regression on the same documents (the views aren't independent, so odds that are merely added up would count some evidence twice).
 
 The labelled sample is bounded: about ``LABELLED`` labelled ids drawn by a hash of doc_id, never over twice as many; other labels count
 as absent. Of several rows with a labelled id the smallest (text, then the other columns) teaches. All else, pseudo-labels and
@@ -39,7 +41,9 @@ from .words import CHUNK, SPACES, hashed_words, stretches
 LABELLED = 4000
 ROUNDS = 3
 SURE = 0.95  # how often a view must be right about the documents that it teaches the other
+SHARE, HALVED = 0.1, 3  # of a class, taught in the first round; how often it may be halved
 ACCEPT = 0.25  # documents with a lower probability of good quality are rejected
+JOINT_RIDGE = 0.1
 SLOTS, STYLE, METADATA = 1 << 15, 1024, 256
 PARTS = (slice(0, SLOTS), slice(SLOTS, SLOTS + STYLE), slice(SLOTS + STYLE, SLOTS + STYLE + METADATA))
 SMOOTH = 0.02  # added to each count; a document's trigrams count as 1 in total, as do its repetitions and its metadata
@@ -64,15 +68,16 @@ def trigrams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield owner[:-2][inside], slot[inside]
 
 
-def metadata_slots(lang, source, n_chars, size: int) -> list[int]:
+def metadata_slots(lang, source, n_chars, size: int, words: int, lines: int) -> list[int]:
     stated = None if n_chars is None or pd.isna(n_chars) else max(0, int(n_chars))
     ratio = None if stated is None else max(-20, min(20, round(4 * float(np.log((1 + stated) / (1 + size))))))
     length = None if stated is None else int(2 * np.log2(1 + stated))
-    return [zlib.crc32(f"{i} {value}".encode()) % METADATA for i, value in enumerate((lang, source, length, ratio))]
+    word, line = min(80, 4 * size // max(1, words)), int(2 * np.log2(1 + size / lines))
+    return [zlib.crc32(f"{i} {value}".encode()) % METADATA for i, value in enumerate((lang, source, length, ratio, word, line))]
 
 
-def style_slots(texts: list[bytes]) -> np.ndarray:
-    """For each text, the slots of how much its words repeat: three numbers."""
+def style_slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(for each text, the slots of how much its words repeat: three numbers; how many words it has)."""
     words, bounds = hashed_words(texts, SPACES)
     sizes = np.diff(bounds)
     text = np.repeat(np.arange(len(texts)), sizes)
@@ -86,7 +91,7 @@ def style_slots(texts: list[bytes]) -> np.ndarray:
     np.maximum.at(most, text[first], np.diff(np.append(first, len(words))))
     n = np.maximum(1, sizes)
     length = np.minimum(15, np.log2(n).astype(int))
-    return np.stack([20 * again // n, 64 + 32 * length + 20 * different // n, 600 + 20 * most // n], 1)
+    return np.stack([20 * again // n, 64 + 32 * length + 20 * different // n, 600 + 20 * most // n], 1), sizes
 
 
 class Batch:
@@ -96,8 +101,9 @@ class Batch:
         texts = [t if isinstance(t, str) else "" for t in rows["text"]]
         self.texts = [b"\n" + t.encode("utf-8", "replace") + b"\n" for t in texts]
         self.sizes = np.array([max(1, len(t) - 2) for t in self.texts], dtype=float)
-        self.style = style_slots(self.texts)
-        self.metadata = np.array([metadata_slots(a, b, c, len(t)) for a, b, c, t in zip(rows["lang"], rows["source"], rows["n_chars"], texts)], dtype=np.int64).reshape(-1, 4)
+        self.style, words = style_slots(self.texts)
+        known = zip(rows["lang"], rows["source"], rows["n_chars"], texts, words.tolist())
+        self.metadata = np.array([metadata_slots(a, b, c, len(t), n, 1 + t.count("\n")) for a, b, c, t, n in known], dtype=np.int64).reshape(-1, 6)
 
     def evidence(self, ratios: list[np.ndarray]) -> np.ndarray:
         """Mean log ratio of each document by trigrams, repetitions and metadata, in three columns."""
@@ -159,24 +165,29 @@ def log_ratios(counts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def bounds(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Odds up to which a view is sure of bad and from which it is sure of good; infinite if it is not right often enough."""
-    low, high = float(np.median(odds[y == 0])), float(np.median(odds[y == 1]))
-    right = min((y[odds <= low] == 0).mean(), (y[odds >= high] == 1).mean())
-    return (low, high) if low < high and right >= SURE else (-np.inf, np.inf)
+def bounds(odds: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float, float]:
+    """(odds up to which a view is sure of bad, odds from which it is sure of good, how often it is right there); infinite if it is never right often enough."""
+    for part in (share / 2**i for i in range(HALVED + 1)):
+        low, high = float(np.quantile(odds[y == 0], part)), float(np.quantile(odds[y == 1], 1 - part))
+        right = float(min((y[odds <= low] == 0).mean(), (y[odds >= high] == 1).mean()))
+        if low < high and right >= SURE:
+            return low, high, right
+    return -np.inf, np.inf, 0.0
 
 
 class CoTrained:
-    """Two calibrated views and the prior."""
+    """Two calibrated views and their combination."""
 
     COLUMNS = ([0, 1], [2])  # of the evidence, by view
 
-    def __init__(self, ratios: list[np.ndarray], evidence: np.ndarray, y: np.ndarray):
-        """From rows with known classes that the views have not learned from."""
+    def __init__(self, ratios: list[np.ndarray], evidence: np.ndarray, y: np.ndarray, share: float):
+        """From rows with known classes that the views have not learned from; ``share`` of each class is to be taught next."""
+        self.history: list[tuple[float, ...]] = []  # a round each: documents that content taught and that metadata taught, how often each view was right
         self.ratios = ratios
         self.calibrated = [Logistic().fit(evidence[:, at], y) for at in self.COLUMNS]
-        self.prior = float(np.log(y.mean() / (1 - y.mean())))
-        self.bounds = [bounds(c.odds(evidence[:, at]), y) for c, at in zip(self.calibrated, self.COLUMNS)]
+        views = [c.odds(evidence[:, at]) for c, at in zip(self.calibrated, self.COLUMNS)]
+        self.joint = Logistic().fit(np.stack(views, 1), y, JOINT_RIDGE)
+        self.bounds = [bounds(v, y, share) for v in views]
 
     def odds(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         x = batch.evidence(self.ratios)
@@ -185,11 +196,11 @@ class CoTrained:
     def scores(self, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of good quality: both views together, content alone, metadata alone."""
         a, b = self.odds(batch)
-        return tuple(1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in (a + b - self.prior, a, b))
+        return tuple(1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in (self.joint.odds(np.stack([a, b], 1)), a, b))
 
     def taught(self, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
         """Pseudo-labels (nan: none) for content, of which metadata is sure, and for metadata, of which content is sure."""
-        a, b = (np.where(o >= high, 1.0, np.where(o <= low, 0.0, np.nan)) for o, (low, high) in zip(self.odds(batch), self.bounds))
+        a, b = (np.where(o >= high, 1.0, np.where(o <= low, 0.0, np.nan)) for o, (low, high, _) in zip(self.odds(batch), self.bounds))
         return b, a
 
 
@@ -217,7 +228,7 @@ def _sums(rows: DataFrame, marks: Callable[[pd.DataFrame, Batch], tuple[np.ndarr
     return out
 
 
-def _calibrated(sample: DataFrame, counts: np.ndarray) -> CoTrained | None:
+def _calibrated(sample: DataFrame, counts: np.ndarray, share: float) -> CoTrained | None:
     """The views of these sums, calibrated on the sample's rows of fold 0; None if those lack a class."""
     ratios = log_ratios(counts)
 
@@ -230,7 +241,7 @@ def _calibrated(sample: DataFrame, counts: np.ndarray) -> CoTrained | None:
     y = got["y"].to_numpy(float)
     if len(set(y)) < 2:
         return None
-    return CoTrained(ratios, got[["a", "b", "c"]].to_numpy(float), y)
+    return CoTrained(ratios, got[["a", "b", "c"]].to_numpy(float), y, share)
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
@@ -252,10 +263,17 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     base = _sums(sample.where("fold <> 0").select("y", "text", "lang", "source", "n_chars"), known)
     if not base.any(0).all():
         return None
-    model = _calibrated(sample, base)
+    model = _calibrated(sample, base, SHARE)
     unlabelled = rows.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_anti").select("text", "lang", "source", "n_chars")
-    for _ in range(rounds if model else 0):
-        model = _calibrated(sample, base + _sums(unlabelled, lambda some, batch, now=model: now.taught(batch)))
+    before = None
+    for i in range(rounds if model else 0):
+        taught = _sums(unlabelled, lambda some, batch, now=model: now.taught(batch))
+        if before is not None and np.allclose(taught, before, rtol=1e-9, atol=1e-12):
+            break
+        to_content, to_metadata = (round(float(taught[p].sum())) for p in PARTS[1:])  # each document counts as 1
+        history = [*model.history, (to_metadata, to_content, *(b[2] for b in model.bounds))]
+        model, before = _calibrated(sample, base + taught, SHARE * (i + 2)), taught
+        model.history = history
     return model
 
 
