@@ -57,9 +57,9 @@ def in_small_batches(spark: SparkSession, rows: int = TEXTS_A_BATCH) -> None:
         spark.conf.set(name, str(rows))
 
 
-def in_slices(batch, column: str, size: int = BYTES_A_SLICE) -> Iterator:
-    """An Arrow batch in slices whose texts have about so many bytes together; a longer text is a slice of its own."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+def in_slices(batch, texts, size: int = BYTES_A_SLICE) -> Iterator:
+    """An Arrow batch in slices whose ``texts`` (an array of the batch) have about so many bytes together; a longer text is a slice of its own."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if i > first and held + n > size:

@@ -24,12 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import in_slices
 
 MIN_LENGTH, MIN_EXPONENT = 6, 4
 WORDS = 1 << 17  # words of several texts that are looked at together
-RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
+RUN = T.StructType().add("start", "long").add("length", "long").add("period", "long")
 RESULT = ("n_words", "runs", "collapsed")
 
 
@@ -130,15 +131,15 @@ def periodic_runs(docs: DataFrame, min_length: int = MIN_LENGTH, min_exponent: i
     ``collapsed``: the words that no run contains after its first period, joined by single spaces.
     """
     own = [c for c in docs.columns if c.lower() not in RESULT]
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in own}
-    # other columns travel as they are, in a struct, so that no name can clash
-    packed = docs.select(F.col("text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"))
-    schema = "row struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in own) + f">, n_words bigint, runs {RUNS}, collapsed string"
+    # all columns travel in a struct, so that no name can clash
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"))
+    schema = T.StructType([packed.schema["row"]]).add("n_words", "long").add("runs", T.ArrayType(RUN)).add("collapsed", "string")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in in_slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("row"), *_judged(part.column("text"), min_length, min_exponent)], names=["row", *RESULT])
+            for part in in_slices(batch, pc.struct_field(batch.column("row"), "text")):
+                rows = part.column("row")
+                yield pa.RecordBatch.from_arrays([rows, *_judged(pc.struct_field(rows, "text"), min_length, min_exponent)], names=["row", *RESULT])
 
     found = packed.mapInArrow(judged, schema)
-    return found.select(*(F.col("row")[c].alias(c) for c in own), *RESULT)
+    return found.select(*(F.col("row").getField(c).alias(c) for c in own), *RESULT)

@@ -100,7 +100,7 @@ def shard(rows: DataFrame, n_shards: int = 24, order_by: str = "doc_id", seed: s
     place = permuted(F.col("row_number"), n_rows, walk_length(rows.sparkSession, n_rows, seed), seed)
     own = [F.col("row")[c].alias(c) for c in rows.columns if c.lower() not in RESULT]
     placed = placed.select(*own, "row_number", place.alias("slot"))
-    return placed.select(*placed.columns[:-1], (F.col("slot") % n_shards).cast("int").alias("shard"), _div(F.col("slot"), n_shards).alias("slot"))
+    return placed.select(*(f"`{c}`" for c in placed.columns[:-1]), (F.col("slot") % n_shards).cast("int").alias("shard"), _div(F.col("slot"), n_shards).alias("slot"))
 
 
 def row_number_at(shard: Column, slot: Column, n_rows: int, passes: int, n_shards: int = 24, seed: str = SEED) -> Column:
