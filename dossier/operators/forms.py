@@ -16,6 +16,20 @@ from ..functions.text import AMOUNT, known_or_null, strip, word_count
 
 # Words that make a short title line a label.
 LABEL_WORDS = ("name", "email", "address", "state", "website", "stage", "status", "level", "model", "plan", "strategy", "no.", "registration", "gstin", "cin", "employees")
+# The labels of the form, in the order in which a line is compared with them.
+LABELS = (
+    "Application Id", "Problem Statements", "Choose Application Track", "Name", "Email", "Contact Number", "Company Name", "CIN/Registration No", "GSTIN",
+    "Startup India / DPIIT Recognition No", "UDYAM Registration", "State", "Registered Address", "Operational Address", "Website", "Year of Incorporation", "Employees", "Stage",
+    "Revenue", "Funding raised till date", "Unit economics", "Committed pipeline or LOIs", "Upload financial documents",
+    "Project/Product Name", "Solution Synopsis", "Explain the technology you are using in detail", "TRL Level", "IP Status", "Current Customers/Pilots", "Data Sources Used",
+    "Unique Value Proposition", "Farmer-centric Benefits", "Farmer\u2011centric Benefits", "Number of farmers expected to be impacted", "How many farmers, farmer groups, or land plots",
+    "Please explain your pricing strategy", "Revenue Model", "Sustainability of the Business", "Strength of Business Model", "Market size", "Total Addressable Market", "Go-to-market Strategy", "Prior Govt. Collaboration",
+    "Proposed Project Duration", "Total Project Cost", "Workplan & Milestones", "Risk Assessment & Mitigation", "Training & Capacity-Building Plan", "Training & Capacity\u2011Building Plan",
+    "Output expected through this project", "Proposed Project Districts", "Please specify the baseline values",
+    "Founders Background", "Core Team and Leadership",
+    "Describe how the solution ensures compliance with data governance", "DPDP Act", "practices do you use to evaluate model safety", "Does your project incorporate any open-source technologies",
+    "Gender and Social Inclusion Plan", "Strategic impact on Maharashtra", "We confirm the accuracy",
+)
 # Fields that a complete form has.
 KEY_FIELDS = (
     "Solution Synopsis", "TRL Level", "IP Status", "Current Customers/Pilots", "Proposed Project Duration", "Total Project Cost", "Revenue Model", "Go-to-market Strategy",
@@ -37,7 +51,13 @@ def extract_amounts(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return held.select(key, F.posexplode(_amounts("_text")).alias("place", "a")).select(key, "place", "a.value", "a.context")
 
 
-def qa_pairs(df: DataFrame, labels: tuple[str, ...] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
+def label_pattern(label: str) -> str:
+    """A label in any case, with white space or dashes between its words, and dots that may be left out."""
+    loose = {" ": r"[\s\-–]+", ".": r"\.?"}
+    return "(?i)" + "".join(loose.get(c, c if c.isalnum() else re.escape(c) if c.isascii() else c) for c in label)
+
+
+def qa_pairs(df: DataFrame, labels: tuple[str, ...] = LABELS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, place, field, question, answer): a line that is a question, and the lines up to the next one.
 
     Lines before the first question answer ``Preamble``. Questions without an answer are dropped. Lines stay in one array per document until they are
@@ -45,9 +65,10 @@ def qa_pairs(df: DataFrame, labels: tuple[str, ...] = (), key: str = "doc_id", t
     """
     lines = df.select(key, F.posexplode(F.transform(F.split(text, "\n"), strip)).alias("at", "line")).where("line <> ''")
     line, low = F.col("line"), F.lower("line")
-    field = F.lit(None).cast("string")
-    for label in reversed(labels):
-        field = F.when(F.contains(low, F.lit(label.lower())), label).otherwise(field)
+    # one pattern tells whether any label is there; only then is it asked which is the first
+    which = F.filter(F.array(*(F.struct(F.lit(x).alias("label"), F.lit(label_pattern(x)).alias("pattern")) for x in labels)), lambda p: F.rlike(line, p["pattern"])) if labels else None
+    known = line.rlike("|".join(f"(?:{label_pattern(x)})" for x in labels)) if labels else F.lit(False)
+    field = F.when(known, F.get(which, F.lit(0))["label"]) if labels else F.lit(None).cast("string")
     title = (F.length(line) < 120) & (word_count(line) <= 15) & line.rlike(r"^\p{Lu}") & ~line.endswith(".")
     labelled = F.lit(False)
     for word in LABEL_WORDS:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 STALL, MOST, PRIORITY = 900, 3, {"ingest": 10, "evaluate": 100}
 
 
@@ -13,11 +15,15 @@ def _time(now: str) -> Column:
     return F.lit(now).cast("timestamp_ntz")
 
 
+STATUSES = ("", "queued", "running", "succeeded", "failed", "cancelled")  # the first: never queued
+OVER = ("", "succeeded", "failed", "cancelled")
+STRETCH = 11  # bits: 2048 events, or stretches, are folded at a time
+
+
 def step(status: Column, event: Column) -> Column:
     """The state after an event; events that don't apply leave it."""
-    over = status.isin("succeeded", "failed", "cancelled")
     return (
-        F.when((event == "enqueue") & (status.isNull() | over), "queued")
+        F.when((event == "enqueue") & status.isin(*OVER), "queued")
         .when((event == "claim") & (status == "queued"), "running")
         .when((event == "succeed") & (status == "running"), "succeeded")
         .when((event == "fail") & (status == "running"), "failed")
@@ -26,41 +32,123 @@ def step(status: Column, event: Column) -> Column:
     )
 
 
+def _outcome(status: Column, fresh: Column, attempts: Column, beats: Column, heartbeat: Column, queues: Column, queued_at: Column) -> Column:
+    """What a stretch of events makes of one state: the state after it; attempts, counted anew (``fresh``) or on top; the last heartbeat and when it was queued, if it has set them."""
+    values = {"status": status, "fresh": fresh, "attempts": attempts, "beats": beats, "heartbeat": heartbeat, "queues": queues, "queued_at": queued_at}
+    return F.struct(*(v.alias(n) for n, v in values.items()))
+
+
+def _untouched() -> Column:
+    """The table of no events: an outcome for each state, which is the state itself."""
+    no, never = F.lit(False), F.lit(None).cast("timestamp_ntz")
+    return F.array(*(_outcome(F.lit(s), no, F.lit(0), no, never, no, never) for s in STATUSES))
+
+
+def _after(table: Column, e: Column) -> Column:
+    """The table of a stretch with one event more."""
+
+    def moved(x: Column) -> Column:
+        status = step(x["status"], e["event"])
+        queued = (e["event"] == "enqueue") & (status != x["status"])
+        claimed = (e["event"] == "claim") & (x["status"] == "queued")
+        beat = claimed | ((e["event"] == "heartbeat") & (x["status"] == "running"))
+        return _outcome(
+            status,
+            queued | x["fresh"],
+            F.when(queued, 0).when(claimed, x["attempts"] + 1).otherwise(x["attempts"]),
+            queued | beat | x["beats"],
+            F.when(queued, None).when(beat, e["ts"]).otherwise(x["heartbeat"]),
+            queued | x["queues"],
+            F.when(queued, e["ts"]).otherwise(x["queued_at"]),
+        )
+
+    return F.transform(table, moved)
+
+
+def _of(table: Column, status: Column) -> Column:
+    return F.element_at(table, F.array_position(F.array(*map(F.lit, STATUSES)), status).cast("int"))
+
+
+def _composed(first: Column, second: Column) -> Column:
+    """The table of two stretches, one after the other."""
+
+    def through(x: Column) -> Column:
+        y = _of(second, x["status"])
+        return _outcome(
+            y["status"],
+            x["fresh"] | y["fresh"],
+            F.when(y["fresh"], y["attempts"]).otherwise(x["attempts"] + y["attempts"]),
+            x["beats"] | y["beats"],
+            F.when(y["beats"], y["heartbeat"]).otherwise(x["heartbeat"]),
+            x["queues"] | y["queues"],
+            F.when(y["queues"], y["queued_at"]).otherwise(x["queued_at"]),
+        )
+
+    return F.transform(first, through)
+
+
+def _stretches(events: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, stretch, events in order, table): at most 2**STRETCH neighbouring events of a job; stretches are numbered in order.
+
+    Events are range-partitioned by job and time, so a job with a third of all events is spread over many tasks.
+    """
+    order = [*keys, "ts", "event_id"]
+    dealt = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = F.array_sort(F.collect_list(F.struct("_at", "ts", "event", F.struct(*events.columns).alias("row"))))
+    grouped = dealt.groupBy(*keys, F.shiftright("_at", STRETCH).alias("stretch")).agg(rows.alias("events"))
+    return grouped.withColumn("table", F.aggregate("events", _untouched(), _after))
+
+
+def _joined(tables: DataFrame, keys: tuple[str, ...], stretch: Column | None) -> DataFrame:
+    """Tables of stretches composed in order, by ``stretch`` (a coarser number) or to one a job. Keeps what was composed as ``parts``."""
+    by = [*keys] if stretch is None else [*keys, stretch.alias("_coarse")]
+    out = tables.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("stretch", "table"))).alias("parts"))
+    return out.withColumn("table", F.aggregate("parts", _untouched(), lambda t, p: _composed(t, p["table"]))).withColumnRenamed("_coarse", "stretch")
+
+
 def job_state(events: DataFrame, keys: tuple[str, ...] = ("job_id",)) -> DataFrame:
     """Per job: status, attempts (claims), last heartbeat and when it was last queued, from its events in order.
 
-    A job's events are few; they are sorted in an array and folded there.
+    What a stretch of events does is a table with an outcome for each of the six states; tables compose, and that is associative. So stretches are folded
+    apart, however long a job's history is, and their tables are composed in order, 2**STRETCH at a time.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event")))
-    empty = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp_ntz").alias("heartbeat"), F.lit(None).cast("timestamp_ntz").alias("queued_at"))
-
-    def fold(s: Column, e: Column) -> Column:
-        status = step(s["status"], e["event"])
-        claimed = (e["event"] == "claim") & (s["status"] == "queued")
-        queued = (e["event"] == "enqueue") & ~status.eqNullSafe(s["status"])
-        beat = claimed | ((e["event"] == "heartbeat") & (s["status"] == "running"))
-        return F.struct(
-            status.alias("status"),
-            F.when(queued, 0).when(claimed, s["attempts"] + 1).otherwise(s["attempts"]).alias("attempts"),
-            F.when(queued, None).when(beat, e["ts"]).otherwise(s["heartbeat"]).alias("heartbeat"),
-            F.when(queued, e["ts"]).otherwise(s["queued_at"]).alias("queued_at"),
-        )
-
-    folded = events.groupBy(*keys).agg(F.aggregate(ordered, empty, fold).alias("s"))
-    return folded.select(*keys, "s.status", "s.attempts", "s.heartbeat", "s.queued_at").where("status IS NOT NULL")
+    tables = _stretches(events.select(*keys, "ts", "event_id", "event"), keys).select(*keys, "stretch", "table")
+    coarse = _joined(tables, keys, F.shiftright("stretch", STRETCH)).select(*keys, "stretch", "table")
+    last = _joined(coarse, keys, None).select(*keys, _of(F.col("table"), F.lit("")).alias("s"))
+    return last.select(*keys, "s.status", "s.attempts", "s.heartbeat", "s.queued_at").where("status <> ''")
+
+
+def _begun(parts: Column, start: Column) -> Column:
+    """For each part, in order, the state that it begins in."""
+    none = F.array().cast("array<struct<stretch: bigint, begins: string>>")
+    walked = F.aggregate(
+        parts,
+        F.struct(start.alias("now"), none.alias("seen")),
+        lambda s, p: F.struct(_of(p["table"], s["now"])["status"].alias("now"), F.concat(s["seen"], F.array(F.struct(p["stretch"].alias("stretch"), s["now"].alias("begins")))).alias("seen")),
+    )
+    return walked["seen"]
 
 
 def enqueue_dedup(events: DataFrame, keys: tuple[str, ...] = ("job_id",)) -> DataFrame:
     """Enqueue requests with ``opens``: whether each opens a job or joins the open one of its key.
 
-    A request opens one if none came since the last closing event (succeed or fail).
+    A request joins as long as the job is queued or running by the fold of ``job_state``; a job that is out of place (claimed twice, cancelled while it runs) changes nothing.
+    The state that each stretch of events begins in comes from the tables of those before it, coarse stretches first.
     """
-    past = W.partitionBy(*keys).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    closed = F.max(F.when(F.col("event").isin("succeed", "fail", "cancel"), F.struct("ts", "event_id"))).over(past)
-    asked = F.max(F.when(F.col("event") == "enqueue", F.struct("ts", "event_id"))).over(past)
-    marked = events.withColumn("_closed", closed).withColumn("_asked", asked)
-    opens = F.col("_asked").isNull() | (F.col("_closed").isNotNull() & (F.col("_closed") > F.col("_asked")))
-    return marked.where("event = 'enqueue'").withColumn("opens", opens).drop("_closed", "_asked")
+    stretches = written(_stretches(events, keys), "stretches")
+    coarse = written(_joined(stretches.select(*keys, "stretch", "table"), keys, F.shiftright("stretch", STRETCH)), "coarse")
+    whole = _joined(coarse.select(*keys, "stretch", "table"), keys, None)
+    begun = whole.select(*keys, F.inline(_begun(F.col("parts"), F.lit(""))))
+    begun = coarse.join(begun, [*keys, "stretch"]).select(*keys, F.inline(_begun(F.col("parts"), F.col("begins"))))
+    kind = stretches.schema["events"].dataType.elementType["row"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<row: {kind}, opens: boolean>>")
+
+    def walk(s: Column, e: Column) -> Column:
+        asked = F.array(F.struct(e["row"].alias("row"), s["now"].isin(*OVER).alias("opens")))
+        return F.struct(step(s["now"], e["event"]).alias("now"), F.when(e["event"] == "enqueue", F.concat(s["out"], asked)).otherwise(s["out"]).alias("out"))
+
+    judged = F.aggregate("events", F.struct(F.col("begins").alias("now"), none.alias("out")), walk)["out"]
+    return stretches.join(begun, [*keys, "stretch"]).select(F.inline(judged)).select("row.*", "opens")
 
 
 def stalled(jobs: DataFrame, now: str, seconds: int = STALL, most: int = MOST) -> DataFrame:

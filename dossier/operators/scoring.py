@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ..config import GAP, HIGH_WITH_FLAG, SPREAD
 from ..functions.text import fold
+from ..session import written
 from ..sources.tables import with_verdicts
 
 QUOTE_LEAST, QUOTE_MOST, QUOTES, HEAD, HEAD_LEAST = 10, 1200, 5, 80, 40
-BROADCAST_QUOTES = 1000
+GRAM = 4  # characters of an anchor
 MOST_QUESTIONS = 1000
 
 
@@ -52,24 +53,27 @@ def ground_quotes(citations: DataFrame, texts: DataFrame, key: str = "doc_id") -
     return rows.withColumn("grounded", F.coalesce(_within(fold(F.col("_text")), fold(F.col("quote"))), F.lit(False))).drop("_text")
 
 
+def _grams(text: Column | str) -> Column:
+    """The different stretches of GRAM characters in a row."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
 def find_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(item_id, doc_id) wherever a quote of at least ten folded characters stands in a text.
+    """(item_id, doc_id) wherever a quote of at least ten folded characters stands in a text; a repeated quote of one item counts once.
 
-    Few quotes are broadcast and looked for in one pass over the texts. Beyond that count, quotes and texts meet on four consecutive
-    whole words from inside the quote; quotes too short for that stay with the broadcast, in groups.
+    A quote can only stand where all its stretches of four characters do. Of these it is looked for by the one that the fewest texts hold, which is counted on the texts
+    first: quotes and texts meet by equality on that anchor, then the whole quote is checked. A quote with a stretch that no text has is dropped. What moves are ids and
+    stretches that occur in quotes; texts move once, to be checked against their candidates.
     """
     q = quotes.select("item_id", fold(F.col("text")).alias("quote")).where(F.length("quote") >= QUOTE_LEAST)
     t = texts.select("doc_id", fold(F.col("text")).alias("body"))
-    if q.limit(BROADCAST_QUOTES + 1).count() <= BROADCAST_QUOTES:
-        return t.join(F.broadcast(q), F.col("body").contains(F.col("quote"))).select("item_id", "doc_id")
-    words = F.split("quote", " ")
-    long = q.where(F.size(words) >= 8).withColumn("anchor", F.xxhash64(F.array_join(F.slice(words, 3, 4), " ")))
-    own = F.split("body", " ")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(own, i, 4), " "))))
-    met = t.select("doc_id", F.explode(grams).alias("anchor")).join(long.select("item_id", "anchor"), "anchor").select("doc_id", "item_id").distinct()
-    met = met.join(t, "doc_id").join(long, "item_id").where(F.col("body").contains(F.col("quote"))).select("item_id", "doc_id")
-    short = q.where(F.size(words) < 8)
-    return met.unionAll(t.join(short, F.col("body").contains(F.col("quote"))).select("item_id", "doc_id"))
+    own = q.distinct().select("item_id", "quote", F.explode(_grams("quote")).alias("gram"))
+    held = t.select("doc_id", F.explode(_grams("body")).alias("gram"))
+    counts = held.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "gram", "left").groupBy("item_id", "quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"))
+    anchors = written(rarest.where("a.n > 0").select("item_id", "quote", "a.gram"), "anchors")
+    pairs = held.join(anchors, "gram").select("item_id", "quote", F.col("doc_id").alias("_doc")).distinct()
+    return pairs.join(t, F.col("_doc").eqNullSafe(F.col("doc_id"))).where(F.col("body").contains(F.col("quote"))).select("item_id", "doc_id")
 
 
 def downgraded(score: Column, evidenced: Column, grounded: Column) -> Column:

@@ -68,15 +68,30 @@ def split_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     return out.where((F.col("heading") != "") | (F.length("body") >= least) | ((F.col("n") == 1) & (F.col("body") != ""))).drop("n")
 
 
+WORD = r"\p{L}\p{N}_"
+
+
+def phrases(text: Column, most: int) -> Column:
+    """Different stretches of one to ``most`` whole words, in small letters, with what stands between the words as it is."""
+    parts = F.regexp_extract_all(text, F.lit(f"[{WORD}]+|[^{WORD}]+"), F.lit(0))
+    own = lambda n: F.transform(parts, lambda p, i: F.when(p.rlike(f"^[{WORD}]") & (i + 2 * n - 1 <= F.size(parts)), F.array_join(F.slice(parts, i + 1, F.lit(2 * n - 1)), "")))
+    return F.array_distinct(F.transform(F.array_compact(F.flatten(F.array(*(own(n) for n in range(1, most + 1))))), F.lower))
+
+
 def keyword_scores(blocks: DataFrame, taxonomy: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, block, section, position, score): three times the heading's keywords and half those of the body's first 600 characters.
 
-    The taxonomy is a config table of a few hundred keywords at most; it is broadcast.
+    A keyword stands between word boundaries, in any case, and counts once in each. Blocks are cut into phrases as long as the longest keyword, which meet the keywords by equality; the
+    taxonomy is a config table of a few hundred keywords, each of which begins and ends with a word character.
     """
-    bound = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}_])\Q"), F.col("keyword"), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    hits = blocks.join(F.broadcast(taxonomy), F.rlike(F.col("heading"), bound) | F.rlike(F.substring("body", 1, 600), bound))
-    weight = F.col("weight") * (3.0 * F.rlike(F.col("heading"), bound).cast("int") + 0.5 * F.rlike(F.substring("body", 1, 600), bound).cast("int"))
-    return hits.groupBy(key, "block", "section", "position").agg(F.sum(weight).alias("score"))
+    edges = F.regexp_extract_all("keyword", F.lit(f"[{WORD}]+"), F.lit(0))
+    words = taxonomy.agg(F.max(F.size(edges)), F.count_if(~F.col("keyword").rlike(f"^[{WORD}](.*[{WORD}])?$"))).first()
+    if words[1]:
+        raise ValueError("keywords must begin and end with a letter, a digit or an underscore")
+    found = lambda text, times: F.transform(phrases(text, words[0] or 1), lambda p: F.struct(p.alias("phrase"), F.lit(times).alias("times")))
+    both = F.concat(found(F.coalesce("heading", F.lit("")), 3.0), found(F.substring(F.coalesce("body", F.lit("")), 1, 600), 0.5))
+    hits = blocks.select(key, "block", F.inline(both)).join(F.broadcast(taxonomy.withColumn("phrase", F.lower("keyword"))), "phrase")
+    return hits.groupBy(key, "block", "section", "position").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
 
 
 def classify_keyword(scores: DataFrame, key: str = "doc_id", least: float = 3.0) -> DataFrame:

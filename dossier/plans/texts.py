@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bindings import Archive
-from ..config import FINANCIAL, TECHNICAL, taxonomy_table
+from ..config import FINANCIAL, TAXONOMY, TECHNICAL, taxonomy_table
 from ..functions import text as X
 from ..operators import forms as Q
 from ..operators import layout as P
@@ -143,9 +145,21 @@ def x14_split_blocks(a: Archive) -> DataFrame:
 
 #: The documents' words are invented, so the demonstration's sections are made of frequent ones.
 DEMO = (("grammar", "the, of the, and"), ("french", "le, la, elle"), ("german", "der, die, und"), ("spanish", "que, los, de la"))
-DEMO_ROWS = ", ".join(f"('{s}', {i}, '{w.strip()}', {len(w.split())}.0)" for i, (s, words) in enumerate(DEMO) for w in words.split(","))
-SCORES = f"""SELECT doc_id, block, section, position, sum(weight * (3 * CAST(regexp_matches(heading, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || keyword || '($|[^\\p{{L}}\\p{{N}}_])') AS INT) + 0.5 * CAST(regexp_matches(substr(body, 1, 600), '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || keyword || '($|[^\\p{{L}}\\p{{N}}_])') AS INT))) AS score
-    FROM ({BLOCKS}) JOIN (VALUES {DEMO_ROWS}) t(section, position, keyword, weight) ON regexp_matches(heading, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || keyword || '($|[^\\p{{L}}\\p{{N}}_])') OR regexp_matches(substr(body, 1, 600), '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || keyword || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY ALL"""
+
+
+def taxonomy_rows(taxonomy) -> str:
+    """Sections, positions, keywords with each word in marks, weights."""
+    words = [(s, i, w.strip()) for i, (s, listed) in enumerate(taxonomy) for w in listed.split(",")]
+    return ", ".join(f"('{s}', {i}, '{re.sub(r'(\w+)', r'«\1»', w)}', {len(w.split())}.0)" for s, i, w in words)
+
+
+def word_marks(text: str) -> str:
+    """Each word of a text in marks, so that a keyword between word boundaries is a plain part of it."""
+    return f"regexp_replace(lower({text}), '([\\p{{L}}\\p{{N}}_]+)', '«\\1»', 'g')"
+
+
+SCORES = f"""SELECT doc_id, block, section, position, sum(weight * (3 * CAST(contains(h, keyword) AS INT) + 0.5 * CAST(contains(b, keyword) AS INT))) AS score
+    FROM (SELECT doc_id, block, {word_marks("heading")} AS h, {word_marks("substr(body, 1, 600)")} AS b FROM ({BLOCKS})), (VALUES {taxonomy_rows(DEMO)}) t(section, position, keyword, weight) WHERE contains(h, keyword) OR contains(b, keyword) GROUP BY ALL"""
 
 
 @query(f"SELECT doc_id, block, section, CAST(score AS DOUBLE) AS score FROM ({SCORES})")
@@ -153,6 +167,27 @@ def x15_keyword_scores(a: Archive) -> DataFrame:
     return S.keyword_scores(blocks(a), taxonomy_table(a.spark, DEMO)).select("doc_id", "block", "section", "score")
 
 
+#: The real keywords, on addresses as headings and markup as bodies: names, types and prices stand there.
+REAL_SCORES = f"""SELECT page_id, CAST(0 AS INT) AS block, section, CAST(position AS INT) AS position, CAST(sum(weight * (3 * CAST(contains(h, keyword) AS INT) + 0.5 * CAST(contains(b, keyword) AS INT))) AS DOUBLE) AS score
+    FROM (SELECT page_id, {word_marks("url")} AS h, {word_marks("substr(html, 1, 600)")} AS b FROM pages), (VALUES {taxonomy_rows(TAXONOMY)}) t(section, position, keyword, weight) WHERE contains(h, keyword) OR contains(b, keyword) GROUP BY ALL"""
+
+
+def real_scores(a: Archive) -> DataFrame:
+    rows = a.table("pages").select("page_id", F.lit(0).alias("block"), F.col("url").alias("heading"), F.col("html").alias("body"))
+    return S.keyword_scores(rows, taxonomy_table(a.spark), key="page_id")
+
+
+@query(REAL_SCORES)
+def x15_keyword_scores_of_pages(a: Archive) -> DataFrame:
+    return real_scores(a)
+
+
+@query(f"""SELECT page_id, block, section, CAST(round(least(1.0, (score - second) / greatest(score, 1.0) + 0.5), 4) AS DOUBLE) AS confidence FROM (
+    SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0.0) AS second FROM ({REAL_SCORES}) WINDOW w AS (PARTITION BY page_id ORDER BY score DESC, position)) WHERE place = 1 AND score >= 0.5""")
+def x16_classify_pages(a: Archive) -> DataFrame:
+    return S.classify_keyword(real_scores(a), key="page_id", least=0.5)
+
+
 CLASSIFIED = f"""SELECT doc_id, block, section, CAST(round(least(1.0, (score - second) / greatest(score, 1.0) + 0.5), 4) AS DOUBLE) AS confidence FROM (
     SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0.0) AS second FROM (SELECT * REPLACE (CAST(score AS DOUBLE) AS score) FROM ({SCORES})) WINDOW w AS (PARTITION BY doc_id, block ORDER BY score DESC, position)) WHERE place = 1 AND score >= 3"""
 
@@ -271,23 +306,32 @@ def x28_extract_amounts(a: Archive) -> DataFrame:
 #: The lines of documents with their places, for the SQL of forms and layout.
 LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
 LINE_WORDS = "len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> ''))"
-QA = f"""WITH named AS (SELECT doc_id, pos, trim(line, ' ') AS line, CASE WHEN contains(lower(line), 'the') THEN 'the' WHEN contains(lower(line), 'elle') THEN 'elle' END AS known FROM ({LINES}) WHERE trim(line, ' ') <> ''),
+#: The markup of pages, a tag or a text a line, is the nearest thing to a form among the given tables: names, states and stages stand in it.
+FORM_LINES = "SELECT page_id, unnest(string_split(replace(html, '>', '>' || chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(html, '>', '>' || chr(10)), chr(10)), 1) - 1 AS pos FROM pages"
+WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+LABELS_SQL = ", ".join("{'label': '" + x + "', 'pattern': '" + Q.label_pattern(x) + "'}" for x in Q.LABELS)
+QA = f"""WITH named AS MATERIALIZED (SELECT page_id, pos, line, list_filter([{LABELS_SQL}], lambda p: regexp_matches(line, p.pattern))[1].label AS known
+        FROM (SELECT page_id, pos, trim(line, {WHITE_SQL}) AS line FROM ({FORM_LINES})) WHERE line <> ''),
     asked AS (SELECT *, known IS NOT NULL OR (line LIKE '%?' AND length(line) < 300) OR (line LIKE '%)' AND length(line) < 200 AND {LINE_WORDS} <= 30)
         OR (length(line) < 120 AND {LINE_WORDS} <= 15 AND regexp_matches(line, '^\\p{{Lu}}') AND line NOT LIKE '%.' AND len(list_filter([{", ".join(f"'{w}'" for w in Q.LABEL_WORDS)}], lambda w: contains(lower(line), w))) > 0) AS asks FROM named),
-    placed AS (SELECT *, sum(CAST(asks AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS place FROM asked),
-    qa AS (SELECT doc_id, CAST(place AS BIGINT) AS place, coalesce(max(line) FILTER (WHERE asks), 'Preamble') AS question, max(known) FILTER (WHERE asks) AS known,
+    placed AS (SELECT *, sum(CAST(asks AS INT)) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS place FROM asked),
+    qa AS (SELECT page_id, CAST(place AS BIGINT) AS place, coalesce(max(line) FILTER (WHERE asks), 'Preamble') AS question, max(known) FILTER (WHERE asks) AS known,
         string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT asks) AS answer FROM placed GROUP BY 1, 2)
-    SELECT doc_id, place, coalesce(known, question) AS field, question, answer FROM qa WHERE answer <> ''"""
+    SELECT page_id, place, coalesce(known, question) AS field, question, answer FROM qa WHERE answer <> ''"""
+
+
+def form_answers(a: Archive) -> DataFrame:
+    return Q.qa_pairs(a.table("pages").select("page_id", F.regexp_replace("html", ">", ">\n").alias("text")), key="page_id")
 
 
 @query(QA)
 def x29_qa_pairs(a: Archive) -> DataFrame:
-    return Q.qa_pairs(a.texts, ("the", "elle"))
+    return form_answers(a)
 
 
-@query(f"SELECT doc_id, field, string_agg(answer, chr(10) ORDER BY place) AS answer FROM ({QA}) GROUP BY 1, 2")
+@query(f"SELECT page_id, field, string_agg(answer, chr(10) ORDER BY place) AS answer FROM ({QA}) GROUP BY 1, 2")
 def x30_field_map(a: Archive) -> DataFrame:
-    return Q.field_map(Q.qa_pairs(a.texts, ("the", "elle")))
+    return Q.field_map(form_answers(a), key="page_id")
 
 
 @query(f"""WITH widths AS (SELECT doc_id, len(list_filter(string_split(line, '|'), lambda c: trim(c, ' ') <> '')) AS width FROM ({LINES}) WHERE contains(line, '|')),
@@ -308,11 +352,11 @@ def x33_people_blocks(a: Archive) -> DataFrame:
     return Q.people_blocks(a.texts.withColumnRenamed("text", "answer"))
 
 
-@query("""WITH f AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, lower(unnest(string_split(text, chr(10)))) AS line FROM documents), (VALUES ('the'), ('of'), ('elle'), ('der')) v(w) WHERE contains(line, w))
-    SELECT doc_id, round(count(w) / 4, 4) AS completeness FROM (SELECT doc_id FROM documents) LEFT JOIN f USING (doc_id) GROUP BY 1""")
+@query(f"""WITH f AS (SELECT DISTINCT page_id, field FROM ({QA})), k AS (SELECT unnest([{", ".join(f"'{w}'" for w in Q.KEY_FIELDS)}]) AS w),
+    h AS (SELECT DISTINCT page_id, w FROM f JOIN k ON contains(lower(field), lower(w)))
+    SELECT page_id, round(count(w) / {len(Q.KEY_FIELDS)}, 4) AS completeness FROM (SELECT DISTINCT page_id FROM f) LEFT JOIN h USING (page_id) GROUP BY 1""")
 def x34_form_completeness(a: Archive) -> DataFrame:
-    fields = a.texts.select("doc_id", F.explode(F.split("text", "\n")).alias("field"))
-    return Q.form_completeness(fields, wanted=("THE", "of", "Elle", "der"))
+    return Q.form_completeness(Q.field_map(form_answers(a), key="page_id"), key="page_id")
 
 
 @query(f"""SELECT doc_id, CAST(CASE WHEN count(*) > 1 THEN arg_min(width, pos) ELSE 0 END AS INT) AS columns, CAST(CASE WHEN count(*) > 1 THEN count(*) - 1 ELSE 1 END AS INT) AS n_rows
