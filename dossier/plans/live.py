@@ -54,17 +54,40 @@ def st10_live_throughput(a: Archive) -> DataFrame:
 def st9_live_verdicts(a: Archive) -> DataFrame:
     out = f"{shared_dir(a.spark)}/verdicts-{uuid.uuid4().hex}"
     done = a.view("evaluations", lineitem=_stream(a, "lineitem")).where("status = 'completed'").select("proposal_id", "score", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
-    writer = streams.latest_verdicts(done, f"{out}/rows", f"{out}/state").trigger(availableNow=True).start()
-    writer.awaitTermination()
-    last = max(p["batchId"] for p in writer.recentProgress if p["numInputRows"])
-    return a.spark.read.parquet(f"{out}/rows/v{last}")
+    streams.latest_verdicts(done, f"{out}/table", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return streams.verdicts(a.spark, f"{out}/table")
 
 
-@query()
+@query("""SELECT event_id, CAST(sum(tokens) OVER (PARTITION BY model ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM calls""")
+def st6_live_budget(a: Archive) -> DataFrame:
+    """The stream's windows, to the last call: a mark far in the future lets the watermark pass them all."""
+    mark = f"{shared_dir(a.spark)}/mark-{uuid.uuid4().hex}"
+    kinds = "event_id bigint, model string, ts timestamp, tokens bigint"
+    a.spark.sql("SELECT -1L AS event_id, 'mark' AS model, TIMESTAMP '2200-01-01 00:00:00' AS ts, 0L AS tokens").write.parquet(mark)
+    calls = a.view("calls", events=_stream(a, "events")).select("event_id", "model", F.col("ts").cast("timestamp").alias("ts"), "tokens")
+    both = calls.unionByName(a.spark.readStream.schema(kinds).parquet(mark))
+    return _finished(a, streams.rolling_usage(both, seconds=3600), "append").where("event_id >= 0").select("event_id", "used")
+
+
+@query("""SELECT doc_id, 'in/' || coalesce(source, 'none') AS upload, count(*) OVER (PARTITION BY source) > 1 AS is_batch, CASE WHEN strlen(text) = 0 THEN 'Empty file' END AS reason,
+    CASE WHEN strlen(text) > 0 THEN min(doc_id) OVER (PARTITION BY text) END AS first_id FROM documents""")
 def st11_file_intake(a: Archive) -> DataFrame:
-    """The files of the given tables as they would arrive: equal files once, with why they are not taken."""
-    taken = streams.file_intake(a.spark, f"{a.dir}/*.parquet").select("name", "size", "sha256", "reason")
-    return _finished(a, taken, "append").drop("batch")
+    """The documents as files of their sources' folders, taken in as a stream."""
+    out = f"{shared_dir(a.spark)}/intake-{uuid.uuid4().hex}"
+    path = F.concat_ws("/", F.lit("in"), F.coalesce("source", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    arrived = F.timestamp_seconds(F.col("doc_id"))
+    rows = _stream(a, "documents").select(path.alias("path"), arrived.alias("modificationTime"), F.octet_length("text").cast("bigint").alias("length"), F.col("text").cast("binary").alias("content"))
+    streams.file_intake(rows, out, f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    ident = lambda c: F.regexp_extract(c, r"(\d+)\.txt$", 1).try_cast("bigint")
+    return streams.taken_in(a.spark, out).select(ident("path").alias("doc_id"), "upload", "is_batch", "reason", ident("first_path").alias("first_id"))
+
+
+@query()
+def st3_live_retries(a: Archive) -> DataFrame:
+    """All changes of the jobs that the stream tries again."""
+    event = F.expr("CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'succeed' ELSE 'fail' END")
+    stream = _stream(a, "events").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", event.alias("event"))
+    return _finished(a, streams.live_retries(stream), "append").drop("batch")
 
 
 @query()

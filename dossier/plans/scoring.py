@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bindings import Archive
 from ..config import CONFLICT_PAIRS, RUBRIC, rubric_table
+from ..functions.hooks import answer
 from ..operators import listing as L
 from ..operators import scoring as R
 from ..registry import query
@@ -76,6 +78,26 @@ def r3_ground_quotes(a: Archive) -> DataFrame:
     return R.ground_quotes(a.texts.select("doc_id", second.alias("quote")), a.texts).select("doc_id", "grounded")
 
 
+def first_words():
+    """A stand-in for a reader that answers two questions about each text: one with the text's own first words, one with words of its own making."""
+
+    def model(rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows[rows["text"].notna()]
+        own = pd.DataFrame({"doc_id": known["doc_id"], "question": 1, "raw_score": [str(len(t) % 14 - 2) for t in known["text"]], "quote": [t[:60] for t in known["text"]]})
+        return pd.concat([own, own.assign(question=2, raw_score="9", quote="words that nobody has written anywhere")])
+
+    return model
+
+
+@query("""SELECT doc_id, CAST(1 AS INT) AS question, CAST(least(greatest(length(text) % 14 - 2, 0), 10) AS DOUBLE) AS score FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT doc_id, 2, CASE WHEN contains(lower(text), 'words that nobody has written anywhere') THEN 9.0 END::DOUBLE FROM documents WHERE text IS NOT NULL""")
+def r4_answers_of_a_model(a: Archive) -> DataFrame:
+    """A caller's answers: only those whose quote stands in the text keep their score."""
+    given = answer(a.texts, first_words, "doc_id bigint, question int, raw_score string, quote string")
+    checked = R.ground_quotes(given, a.texts)
+    return checked.select("doc_id", "question", R.downgraded(F.col("raw_score"), F.lit(True), F.col("grounded")).alias("score"))
+
+
 @query("SELECT proposal_id, parameter, question, CASE WHEN evidenced THEN least(greatest(raw_score, 0.0), 10.0) END AS score FROM answers")
 def r4_downgrade(a: Archive) -> DataFrame:
     return scored_answers(a).select("proposal_id", "parameter", "question", "score")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bindings import Archive
 from ..config import FINANCIAL, TAXONOMY, TECHNICAL, taxonomy_table
 from ..functions import text as X
+from ..functions.hooks import embed
 from ..operators import forms as Q
 from ..operators import layout as P
 from ..operators import sections as S
@@ -221,6 +223,40 @@ def x18_sectionise(a: Archive) -> DataFrame:
     return out.select("doc_id", "section", "blocks", F.sha2("text", 256).alias("digest"))
 
 
+LETTERS = "aeiounrstl"
+
+
+def letter_counts():
+    """A stand-in for a model of meaning: how often each of ten letters stands in a text, at unit length."""
+
+    def model(texts: list[str]) -> np.ndarray:
+        counts = np.array([[t.lower().count(c) for c in LETTERS] for t in texts], dtype=float).reshape(-1, len(LETTERS))
+        return counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-300)
+
+    return model
+
+
+COUNTS_SQL = "[" + ", ".join(f"length(lower({{0}})) - length(replace(lower({{0}}), '{c}', ''))" for c in LETTERS) + "]"
+SENSE = f"""SELECT doc_id, block, CASE WHEN score >= 0.9 THEN section ELSE 'vision' END AS sense FROM (
+    SELECT doc_id, block, section, position, coalesce(round(list_sum(list_transform(list_zip(v, c), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(v, lambda x: x * x))) / sqrt(list_sum(list_transform(c, lambda x: x * x))), 9), 0) AS score
+    FROM (SELECT doc_id, block, {COUNTS_SQL.format("body")} AS v FROM b), (SELECT section, position, {COUNTS_SQL.format("words")} AS c FROM (VALUES {", ".join(f"('{s}', {i}, '{w}')" for i, (s, w) in enumerate(TAXONOMY))}) t(section, position, words)))
+    QUALIFY row_number() OVER (PARTITION BY doc_id, block ORDER BY score DESC, position) = 1"""
+
+
+@query(f"""WITH b AS MATERIALIZED (SELECT * FROM ({BLOCKS}) WHERE length(body) >= 40 OR heading <> ''), k AS ({CLASSIFIED}), m AS ({SENSE})
+    SELECT b.doc_id, coalesce(k.section, CASE WHEN length(body) < 120 THEN 'identity' END, sense, 'vision') AS section, count(*) AS blocks,
+           sha256(string_agg(CASE WHEN heading <> '' THEN '## ' || heading || chr(10) || body ELSE body END, chr(10) || chr(10) ORDER BY b.block)) AS digest
+    FROM b LEFT JOIN k USING (doc_id, block) LEFT JOIN m USING (doc_id, block) GROUP BY 1, 2""")
+def x18_sectionise_by_meaning(a: Archive) -> DataFrame:
+    """Blocks that no keyword files go to the section whose keywords are nearest by the caller's vectors."""
+    vector = embed(letter_counts)
+    centres = a.spark.createDataFrame([(s, i, w) for i, (s, w) in enumerate(TAXONOMY)], "section string, position int, words string").select("section", "position", vector("words").alias("centre"))
+    rows = blocks(a)
+    sense = S.classify_semantic(rows.select("doc_id", "block", vector("body").alias("vec")), centres, least=0.9)
+    out = S.sectionise(rows, taxonomy_table(a.spark, DEMO), sense)
+    return out.select("doc_id", "section", "blocks", F.sha2("text", 256).alias("digest"))
+
+
 NAMES = ("problem", "vision", "adoption", "solution", "pilot", "identity")
 LINES = "SELECT doc_id, [" + ", ".join(f"'{n}'" for n in NAMES) + "][1 + (i - 1) % 6] AS section, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY ALL HAVING trim(string_agg(line, chr(10) ORDER BY i), ' ') <> ''"
 

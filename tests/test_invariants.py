@@ -303,25 +303,4 @@ def test_live_jobs_agree_with_the_fold(spark, small_dir):
     fold = {r.job_id: (r.status, r.attempts, r.heartbeat, r.queued_at) for r in J.job_state(Archive(spark, small_dir).job_events).collect()}
     assert live.keys() == fold.keys()
     # the stream also puts back running jobs that nothing was heard of for too long
-    assert all(live[k] == v or (v[0] == "running" and live[k] == ("queued", *v[1:])) for k, v in fold.items())
-
-
-def test_verdict_stream(spark, tmp_path):
-    from dossier.streaming.streams import file_intake, latest_verdicts, rolling_usage
-
-    source, out = tmp_path / "in", str(tmp_path / "out")
-    rows = [[(1, 10.0, dt.datetime(2024, 1, 2)), (2, 20.0, dt.datetime(2024, 1, 1))], [(1, 99.0, dt.datetime(2024, 1, 1)), (2, 30.0, dt.datetime(2024, 1, 3)), (3, 5.0, dt.datetime(2024, 1, 1))]]
-    schema = "proposal_id int, score double, created_at timestamp"
-    for i, batch in enumerate(rows):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
-        stream = spark.readStream.schema(schema).parquet(str(source))
-        latest_verdicts(stream, out, str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    assert {r.proposal_id: r.score for r in spark.read.parquet(f"{out}/v1").collect()} == {1: 10.0, 2: 30.0, 3: 5.0}
-    for name, body in (("a.txt", b"one"), ("b.txt", b"one"), ("c.txt", b"two")):
-        (tmp_path / "drop" / "batch1").mkdir(parents=True, exist_ok=True)
-        (tmp_path / "drop" / "batch1" / name).write_bytes(body)
-    name = "intake" + uuid.uuid4().hex
-    q = file_intake(spark, str(tmp_path / "drop")).select("name", "batch", "sha256").writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table(name).count() == 2 and spark.table(name).first().batch == "batch1"
-    assert rolling_usage(spark.readStream.schema("model string, ts timestamp, tokens bigint").parquet(str(source))).isStreaming
+    assert all(live[k] == v or (v[0] == "running" and live[k] == ("failed" if v[1] >= J.MOST else "queued", *v[1:])) for k, v in fold.items())
