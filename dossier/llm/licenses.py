@@ -8,16 +8,18 @@ The templates are a fixed list of a few dozen terms, so their table is broadcast
 
 Licences are also written as headers of several lines and as whole files: ``licence_texts`` holds the standard headers and whole texts
 by SPDX name. Every file's whole text is scored against the whole texts, and every run of as many words as a header has
-that starts at a line against the headers. Files go on only if they can reach the threshold: the text holds some anchor without
-which no template is reached, then the shared terms are long enough (as for sentences), then the run shares enough different terms.
+that starts at a line against the headers. Files go on only if they can reach the threshold: the different terms that they share with a template, found by a join with the templates' terms as an
+inverted table, are long enough (as for sentences), then the run shares enough different terms. An SPDX tag names its licence and counts as a header.
 
-A file's licence is that of its best header or whole text, else that of its best sentence. A file that is called like one (LICENSE, COPYING, NOTICE) or whose
+A file's licence is that of its best header or whole text, else that of its best sentence; "All rights reserved" stands for none
+where the text grants a permission. A file that is called like one (LICENSE, COPYING, NOTICE) or whose
 notice makes up a third of it is a licence file and speaks for its directory. Files without a licence
 of their own inherit that of the nearest directory above them that has one; the directories, not
 the files, are joined with their ancestors.
 
 Null texts and null paths have no licence; a null path inherits none. Ties go to the licence that comes first by name. Files that
-repeat a path count as one file with several texts: the best notice of any holds for all.
+repeat a path count as one file with several texts: the best notice of any holds for all. Empty texts have no licence, texts of any length are scored whole, and an empty table
+gives an empty result. Other columns stay, whatever they are called, but for ``text`` and those that the result's own replace.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ TEMPLATES = (
 #: Words that carry no weight.
 STOPWORDS = ("a", "and", "are", "by", "for", "in", "is", "of", "or", "the", "this", "to", "with", "without")
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
+PERMISSION = r"(?i)permission\s+to\s+use|permission\s+is\s+hereby\s+granted|redistribution\s+and\s+use\s+in"
+TAG = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)"
 THRESHOLD = 0.8
 WORD = r"[\p{L}\p{N}]+"
 
@@ -89,20 +93,6 @@ def _licence_of(name: str) -> str:
     return name.removesuffix(".txt").rsplit(".", 1)[0]
 
 
-def _anchors(units: dict[str, dict[str, float]], threshold: float) -> list[str]:
-    """Words so chosen that a text in which none of them stands cannot reach any template."""
-    out: list[str] = []
-    for unit in units.values():
-        left = sum(u * u for w, u in unit.items() if not any(x in w for x in out))
-        for word, _ in sorted(unit.items(), key=lambda x: (len(x[0]) < 5, -x[1], x[0])):  # long ones stand in few other words
-            if left < threshold * threshold - 1e-6:
-                break
-            if not any(x in word for x in out):
-                out.append(word)
-                left = sum(v * v for w, v in unit.items() if not any(x in w for x in out))
-    return out
-
-
 def _least_shared(unit: dict[str, float], threshold: float) -> int:
     """How many different terms a text must share with a template at least to reach it."""
     shared = 0.0
@@ -139,20 +129,15 @@ def passages(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return listed.select(*keys, F.explode(F.filter("t", lambda t: t["shared"] + 1e-9 >= threshold * threshold)).alias("t"), "norm").select(
             *keys, "t.template", F.round(F.col("t.dot") / F.col("norm"), 6).alias("score"))
 
+    # before any text is shuffled: a file goes on only if the different terms that it shares with some template are long enough
+    terms = F.broadcast(spark.createDataFrame([(w, n, u[w] ** 2) for n, u in units.items() for w in sorted(u)], "word string, name string, square double"))
     low = F.lower("text")
-    anchored = F.lit(False)
-    for anchor in _anchors(units, threshold):
-        anchored = anchored | low.contains(anchor)
-    # before anything is shuffled: a file goes on only if it shares enough different terms with some template
-    rows = files.where(F.col("path").isNotNull() & anchored).select("path", "text", low.alias("low"))
-    shared = F.array_intersect(F.regexp_extract_all("low", F.lit(WORD), F.lit(0)), F.split(F.lit(" ".join(sorted(idf))), " "))
-    least = {n: _least_shared(u, threshold) for n, u in units.items()}
-    rows = rows.withColumn("shared", shared).where(F.size("shared") >= min(least.values()))
-    reaches = F.lit(False)
-    for name, unit in units.items():
-        reaches = reaches | (F.size(F.array_intersect("shared", F.split(F.lit(" ".join(sorted(unit))), " "))) >= least[name])
+    own = files.where(F.col("path").isNotNull()).select("path", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))).alias("word"))
+    # a term that two texts of one path have counts twice here, which only lets more through
+    near_enough = own.join(terms, "word").groupBy("path", "name").agg(F.sum("square").alias("square")).where(F.col("square") + 1e-9 >= threshold * threshold)
+    rows = files.join(near_enough.select("path").distinct(), "path", "left_semi").select("path", "text", low.alias("low"))
     # dealt by file once: all that is grouped below has the file among its keys and is not dealt again
-    rows = rows.where(reaches).select("path", F.md5("text").alias("key"), "low").groupBy("path", "key").agg(F.max("low").alias("low"))
+    rows = rows.select("path", F.md5("text").alias("key"), "low").groupBy("path", "key").agg(F.max("low").alias("low"))
     split = rows.withColumn("words", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
     near = scored(split.select("path", "key", words("words").alias("words")), "path", "key")
     wholes = near.where(F.col("template").isin(*whole) & (F.col("score") >= threshold)).select("path", "template", "score", F.lit(1.0).alias("share"))
@@ -173,6 +158,14 @@ def passages(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return wholes.unionByName(hits.select("path", "template", "score", "share")).select("path", licence.alias("licence"), "score", "share")
 
 
+def tagged(files: DataFrame) -> DataFrame:
+    """(path, licence, score, share): the licences that SPDX tags name, without what says whether later versions hold too."""
+    rows = files.where(F.col("path").isNotNull() & F.contains("text", F.lit("SPDX-License-Identifier:")))
+    names = rows.select("path", F.length("text").alias("chars"), F.explode(F.regexp_extract_all("text", F.lit(TAG), F.lit(1))).alias("name"))
+    licence = F.regexp_replace("name", r"(-only|-or-later|\+)$", "")
+    return names.select("path", licence.alias("licence"), F.lit(1.0).alias("score"), ((F.length("name") + 25) / F.col("chars")).alias("share"))
+
+
 def notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(path, licence, score, share): the best notice of each file that has one at the threshold; headers and whole texts go before sentences.
 
@@ -185,19 +178,20 @@ def notices(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     any_known = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(known) + r")(?![\p{L}\p{N}])"
     rows = files.where(F.col("path").isNotNull() & F.col("text").rlike(any_known)).select("path", "text")
     sentences = F.filter(F.split("text", r"\n|(?<=[.!?])\s+"), lambda s: s.rlike(any_known))
-    rows = rows.select("path", F.length("text").alias("chars"), F.posexplode(sentences).alias("at", "sentence"))
+    rows = rows.select("path", F.length("text").alias("chars"), F.col("text").rlike(PERMISSION).alias("granted"), F.posexplode(sentences).alias("at", "sentence"))
     words = F.filter(F.regexp_extract_all(F.lower("sentence"), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(*STOPWORDS))
     rows = rows.withColumn("words", words).where(_could_reach(F.col("words"), units, threshold))
 
     weights = spark.createDataFrame([(w, idf[w], {n: units[n][w] for n in names if w in units[n]}) for w in known], "word string, idf double, unit map<string,double>")
-    counted = rows.select("path", "at", (F.length("sentence") / F.col("chars")).alias("share"), F.explode("words").alias("word"))
-    counted = counted.groupBy("path", "at", "share", "word").agg(F.count("*").alias("tf"))
+    counted = rows.select("path", "at", "granted", (F.length("sentence") / F.col("chars")).alias("share"), F.explode("words").alias("word"))
+    counted = counted.groupBy("path", "at", "granted", "share", "word").agg(F.count("*").alias("tf"))
     weighed = counted.join(F.broadcast(weights), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     dots = [F.sum(F.col("w") * F.coalesce(F.element_at("unit", F.lit(n)), F.lit(0.0))).alias(n) for n in names]
-    sums = weighed.groupBy("path", "at", "share").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    sums = weighed.groupBy("path", "at", "granted", "share").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
     scored = F.array(*[F.struct(F.round(F.col(f"`{n}`") / F.col("norm"), 6).alias("score"), F.lit(n).alias("licence")) for n in names])
-    long = sums.select("path", "share", F.explode(scored).alias("s")).where(F.col("s.score") >= threshold)
-    found = long.select("path", F.lit(1).alias("level"), "s.licence", "s.score", "share").unionByName(passages(files, threshold).withColumn("level", F.lit(0)))
+    long = sums.select("path", "granted", "share", F.explode(scored).alias("s")).where((F.col("s.score") >= threshold) & ~(F.col("granted") & (F.col("s.licence") == "Proprietary")))
+    headers = passages(files, threshold).unionByName(tagged(files)).withColumn("level", F.lit(0))
+    found = long.select("path", F.lit(1).alias("level"), "s.licence", "s.score", "share").unionByName(headers)
     best = found.groupBy("path").agg(F.min(F.struct("level", (-F.col("score")).alias("less"), "licence", (-F.col("share")).alias("part"))).alias("b"))
     return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.less")).alias("score"), (-F.col("b.part")).alias("share"))
 
@@ -224,8 +218,12 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, no
     nearest = chain.groupBy("folder").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "inherited")).alias("n"))
     nearest = nearest.select("folder", F.col("n.above").alias("governed_by"), "n.inherited")
 
-    rest = [c for c in files.columns if c not in ("text", "licence", "origin", "score", "governed_by", "folder", "inherited", "share")]
-    out = files.select(*rest).withColumn("folder", _directory(F.col("path"))).join(own.drop("share"), "path", "left").join(nearest, "folder", "left")
-    origin = F.when(F.col("licence").isNotNull(), "notice").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
-    governed = F.when(F.col("licence").isNull(), F.col("governed_by"))
-    return out.select(*rest, F.coalesce("licence", "inherited").alias("licence"), origin.alias("origin"), "score", governed.alias("governed_by"))
+    rest = [c for c in files.columns if c.lower() not in ("text", "licence", "origin", "score", "governed_by")]
+    # other columns travel in a struct, so that no name can clash
+    kept = files.select(F.col("path").alias("_path"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row")).withColumn("_folder", _directory(F.col("_path")))
+    out = kept.join(own.select(F.col("path").alias("_path"), F.col("licence").alias("_own"), F.col("score").alias("_score")), "_path", "left")
+    out = out.join(nearest.withColumnRenamed("folder", "_folder"), "_folder", "left")
+    origin = F.when(F.col("_own").isNotNull(), "notice").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
+    governed = F.when(F.col("_own").isNull(), F.col("governed_by"))
+    columns = [F.col("_row").getField(c).alias(c) for c in rest]
+    return out.select(*columns, F.coalesce("_own", "inherited").alias("licence"), origin.alias("origin"), F.col("_score").alias("score"), governed.alias("governed_by"))

@@ -69,3 +69,20 @@ def test_headers_and_whole_texts(spark):
     ]
     got = {r.path: r.licence for r in notices(spark.createDataFrame(rows, "path string, text string, want string")).collect()}
     assert got == {path: want for path, _, want in rows if want}
+
+
+def test_short_headers_tags_and_permissions(spark):
+    known = passage_templates()
+    rights = "Copyright (c) 2019, Jane Doe\nAll rights reserved.\n\n"
+    code = "\n".join(f"value{i} = compute{i}(alpha{i}, beta{i})" for i in range(60))
+    rows = [
+        ("i/LICENSE", rights + known["ISC.header.txt"], "ISC"), ("u/own.txt", rights + "Permission to use this text in school plays is given to anyone who asks.", None),
+        ("t/a.py", "# SPDX-License-Identifier: Apache-2.0\n" + code, "Apache-2.0"), ("t/b.c", "/* SPDX-License-Identifier:GPL-2.0-or-later */\n" + code, "GPL-2.0"), ("t/c.c", "// SPDX-License-Identifier:\n" + code, None),
+        *[(f"p/{n}.py", "".join(f"# {line}\n" for line in known[n].splitlines()) + code, n.rsplit(".", 2)[0]) for n in ("GPL-3.0.header2.txt", "GPL-2.0.header3.txt", "LGPL-3.0.header2.txt", "LGPL-2.1.header3.txt", "AGPL-3.0.header2.txt")],
+        ("e", "", None), ("n", None, None), ("z", "word " * 300_000, None),
+    ]
+    frame = spark.createDataFrame([(p, t, w, "f", "s", 1, "x") for p, t, w in rows], "path string, text string, want string, folder string, share string, inherited int, `a.b` string")
+    out = scan(frame)
+    assert out.columns == ["path", "want", "folder", "share", "inherited", "a.b", "licence", "origin", "score", "governed_by"]
+    got = {r.path: (r.licence if r.origin == "notice" else None, r.folder, r.share, r.inherited) for r in out.collect()}
+    assert got == {p: (w, "f", "s", 1) for p, _, w in rows}
