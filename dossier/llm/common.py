@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,14 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder is made, once per session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all run in one process (tests)
+    is a temporary folder made, once per session; elsewhere an unset one is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.conf.get("spark.dossier.scratch.dir", None)
     if not own:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.dossier.scratch.dir", own)
     return own
