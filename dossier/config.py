@@ -26,22 +26,22 @@ CONFLICT_PAIRS = (("scaleup", "farmer_adoption"), ("solution_readiness", "pilot_
 SPREAD, HIGH_WITH_FLAG, GAP = 30.0, 70.0, 25.0
 # Section keys in order, with their keywords.
 TAXONOMY = (
-    ("identity", "name, email, contact, phone, mobile, address, website, entity, type, registration, incorporation, cin, dipp, startup name, company name, applicant, authorized person, application track"),
-    ("problem", "problem, challenge, pain point, need, relevance, context, motivation, issue"),
-    ("solution", "solution, technology, technical, innovation, trl, readiness, product, platform, architecture, algorithm, machine learning, patent, intellectual property, prototype, data source, approach"),
-    ("pilot", "pilot, workplan, work plan, milestone, timeline, schedule, deliverable, implementation, deployment, rollout, duration, risk, mitigation, feasibility, district, phase"),
-    ("financial", "financial, budget, cost, funding, investment, capital, expenditure, unit economics, margin, valuation, projection, grant, fund, expense, outlay"),
-    ("business_model", "business model, revenue, pricing, price, market, customer, traction, go-to-market, gtm, commercial, monetisation, monetization, scale, scalability, scale-up, growth, sustainability, partnership, sales"),
-    ("adoption", "farmer, adoption, beneficiary, benefit, affordability, training, capacity building, extension, gender, inclusion, women, youth, smallholder, outreach, awareness"),
-    ("team", "team, founder, co-founder, employee, staff, personnel, leadership, management, advisor, credential, qualification, experience, background, organisation, organization, cv, resume, profile"),
-    ("compliance", "compliance, dpdp, privacy, data protection, governance, regulation, regulatory, legal, certification, standard, ethic, safety, responsible ai, consent, security, audit"),
-    ("vision", "vision, mission, objective, goal, aim, impact, outcome, strategic, significance, purpose, about us, overview, executive summary, introduction, synopsis"),
+    ("identity", ("name", "email", "contact", "phone", "mobile", "address", "website", "entity", "type", "registration", "incorporation", "cin", "dipp", "startup name", "company name", "applicant", "authorized person", "application track")),
+    ("problem", ("problem", "challenge", "pain point", "need", "relevance", "context", "motivation", "issue")),
+    ("solution", ("solution", "technology", "technical", "innovation", "trl", "readiness", "product", "platform", "architecture", "algorithm", "machine learning", "patent", "intellectual property", "prototype", "data source", "approach")),
+    ("pilot", ("pilot", "workplan", "work plan", "milestone", "timeline", "schedule", "deliverable", "implementation", "deployment", "rollout", "duration", "risk", "mitigation", "feasibility", "district", "phase")),
+    ("financial", ("financial", "budget", "cost", "funding", "investment", "capital", "expenditure", "unit economics", "margin", "valuation", "projection", "grant", "fund", "expense", "outlay")),
+    ("business_model", ("business model", "revenue", "pricing", "price", "market", "customer", "traction", "go-to-market", "gtm", "commercial", "monetisation", "monetization", "scale", "scalability", "scale-up", "growth", "sustainability", "partnership", "sales")),
+    ("adoption", ("farmer", "adoption", "beneficiary", "benefit", "affordability", "training", "capacity building", "extension", "gender", "inclusion", "women", "youth", "smallholder", "outreach", "awareness")),
+    ("team", ("team", "founder", "co-founder", "employee", "staff", "personnel", "leadership", "management", "advisor", "credential", "qualification", "experience", "background", "organisation", "organization", "cv", "resume", "profile")),
+    ("compliance", ("compliance", "dpdp", "privacy", "data protection", "governance", "regulation", "regulatory", "legal", "certification", "standard", "ethic", "safety", "responsible ai", "consent", "security", "audit")),
+    ("vision", ("vision", "mission", "objective", "goal", "aim", "impact", "outcome", "strategic", "significance", "purpose", "about us", "overview", "executive summary", "introduction", "synopsis")),
 )
 # Patterns that mark financial and technical text (two different ones are needed).
 FINANCIAL = (r"\$\d", "revenue", "profit", "cost", "budget", "funding", "investment", r"roi\b", "burn rate", "valuation", "arpu", r"cac\b", r"ltv\b", r"mrr\b", r"arr\b", "unit economics", "financial", "capital", "expenditure", "margin")
 TECHNICAL = (r"api\b", "cloud", "architecture", "database", "algorithm", "machine learning", r"ml\b", r"ai\b", "infrastructure", "scalab", "microservice", "docker", "kubernetes", "framework", "technology", "platform", "integration", "deploy", "devops", "pipeline", r"iot\b", "sensor")
 # Words that say nothing about who an organisation is.
-SUFFIXES = "pvt private ltd limited llp inc incorporated corp corporation co company technologies technology tech solutions labs laboratories industries enterprises ventures innovations agritech agro".split()
+SUFFIXES = ("pvt", "private", "ltd", "limited", "llp", "inc", "incorporated", "corp", "corporation", "co", "company", "technologies", "technology", "tech", "solutions", "labs", "laboratories", "industries", "enterprises", "ventures", "innovations", "agritech", "agro")
 # File formats that are taken, and the largest size.
 FORMATS = ("pdf", "docx", "doc", "pptx", "ppt", "txt", "png", "jpg", "jpeg", "tiff", "bmp")
 # The format that a media type stands for, where a name has no extension.
@@ -70,5 +70,5 @@ def rubric_table(spark: SparkSession) -> DataFrame:
 
 def taxonomy_table(spark: SparkSession, taxonomy=TAXONOMY) -> DataFrame:
     """One row a keyword: section, position, keyword, weight (its words)."""
-    rows = [(key, i, word.strip(), float(len(word.split()))) for i, (key, words) in enumerate(taxonomy) for word in words.split(",")]
+    rows = [(key, i, word, float(len(word.split()))) for i, (key, words) in enumerate(taxonomy) for word in words]
     return spark.createDataFrame(rows, "section string, position int, keyword string, weight double")

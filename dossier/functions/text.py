@@ -44,6 +44,7 @@ def collapse_ws(c: Column) -> Column:
 
 def drop_page_markers(c: Column) -> Column:
     """Without lines that are only a number, a page number, 'confidential' or 'draft'."""
+    # The shapes of such lines.
     c = F.regexp_replace(c, r"(?m)^\s*[-–—]?\s*\d+\s*[-–—]?\s*$", "")
     c = F.regexp_replace(c, r"(?mi)^\s*page\s+\d+\s*(of\s+\d+)?\s*$", "")
     c = F.regexp_replace(c, r"(?mi)^\s*confidential\s*$", "")
@@ -62,6 +63,7 @@ def repeated_lines(lines: Column, least_lines: int = 20, longer_than: int = 3, t
 
 def fix_ocr(c: Column) -> Column:
     """Lone strokes go, zeros and ones between small letters become letters, rows of dots or dashes a space."""
+    # What recognition leaves behind.
     c = F.regexp_replace(c, r"(?m)^\s*[|Il]\s*$", "")
     c = F.regexp_replace(c, r"(?<=[a-z])0(?=[a-z])", "o")
     c = F.regexp_replace(c, r"(?<=[a-z])1(?=[a-z])", "l")

@@ -43,10 +43,10 @@ def st9_live_stages(a: Archive) -> DataFrame:
     return _newest(rows, "status")
 
 
-@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, count(*) AS n FROM orders GROUP BY 1")
 def st10_live_throughput(a: Archive) -> DataFrame:
-    rows = _finished(a, streams.live_throughput(_stream(a, "events").withColumn("ts", F.col("ts").cast("timestamp"))), "update")
-    return _newest(rows, "day").withColumn("day", F.col("day").cast("timestamp_ntz"))
+    rows = _finished(a, streams.live_throughput(_stream(a, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts"))), "update")
+    return _newest(rows, "period").withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
 @query("""SELECT proposal_id, score, CAST(created_at AS TIMESTAMP) AS created_at FROM (

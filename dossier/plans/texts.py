@@ -146,12 +146,12 @@ def x14_split_blocks(a: Archive) -> DataFrame:
 
 
 #: The documents' words are invented, so the demonstration's sections are made of frequent ones.
-DEMO = (("grammar", "the, of the, and"), ("french", "le, la, elle"), ("german", "der, die, und"), ("spanish", "que, los, de la"))
+DEMO = (("grammar", ("the", "of the", "and")), ("french", ("le", "la", "elle")), ("german", ("der", "die", "und")), ("spanish", ("que", "los", "de la")))
 
 
 def taxonomy_rows(taxonomy) -> str:
     """Sections, positions, keywords with each word in marks, weights."""
-    words = [(s, i, w.strip()) for i, (s, listed) in enumerate(taxonomy) for w in listed.split(",")]
+    words = [(s, i, w) for i, (s, listed) in enumerate(taxonomy) for w in listed]
     return ", ".join(f"('{s}', {i}, '{re.sub(r'(\w+)', r'«\1»', w)}', {len(w.split())}.0)" for s, i, w in words)
 
 
@@ -239,7 +239,7 @@ def letter_counts():
 COUNTS_SQL = "[" + ", ".join(f"length(lower({{0}})) - length(replace(lower({{0}}), '{c}', ''))" for c in LETTERS) + "]"
 SENSE = f"""SELECT doc_id, block, CASE WHEN score >= 0.9 THEN section ELSE 'vision' END AS sense FROM (
     SELECT doc_id, block, section, position, coalesce(round(list_sum(list_transform(list_zip(v, c), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(v, lambda x: x * x))) / sqrt(list_sum(list_transform(c, lambda x: x * x))), 9), 0) AS score
-    FROM (SELECT doc_id, block, {COUNTS_SQL.format("body")} AS v FROM b), (SELECT section, position, {COUNTS_SQL.format("words")} AS c FROM (VALUES {", ".join(f"('{s}', {i}, '{w}')" for i, (s, w) in enumerate(TAXONOMY))}) t(section, position, words)))
+    FROM (SELECT doc_id, block, {COUNTS_SQL.format("body")} AS v FROM b), (SELECT section, position, {COUNTS_SQL.format("words")} AS c FROM (VALUES {", ".join(f"('{s}', {i}, '{', '.join(w)}')" for i, (s, w) in enumerate(TAXONOMY))}) t(section, position, words)))
     QUALIFY row_number() OVER (PARTITION BY doc_id, block ORDER BY score DESC, position) = 1"""
 
 
@@ -250,7 +250,7 @@ SENSE = f"""SELECT doc_id, block, CASE WHEN score >= 0.9 THEN section ELSE 'visi
 def x18_sectionise_by_meaning(a: Archive) -> DataFrame:
     """Blocks that no keyword files go to the section whose keywords are nearest by the caller's vectors."""
     vector = embed(letter_counts)
-    centres = a.spark.createDataFrame([(s, i, w) for i, (s, w) in enumerate(TAXONOMY)], "section string, position int, words string").select("section", "position", vector("words").alias("centre"))
+    centres = a.spark.createDataFrame([(s, i, ", ".join(w)) for i, (s, w) in enumerate(TAXONOMY)], "section string, position int, words string").select("section", "position", vector("words").alias("centre"))
     rows = blocks(a)
     sense = S.classify_semantic(rows.select("doc_id", "block", vector("body").alias("vec")), centres, least=0.9)
     out = S.sectionise(rows, taxonomy_table(a.spark, DEMO), sense)

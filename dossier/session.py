@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,14 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset, a temporary folder, once per session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where that is unset and all run in one process (tests) is it a temporary folder, once per session; a cluster must name one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.dossier.scratch.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.dossier.scratch.dir", named)
     return named.rstrip("/")
