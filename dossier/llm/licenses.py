@@ -8,8 +8,8 @@ The templates are a fixed list of a few dozen terms, so their table is broadcast
 
 Licences are also written as headers of several lines and as whole files: ``licence_texts`` holds the standard headers and whole texts
 by SPDX name. Every file's whole text is scored against the whole texts, and every run of as many words as a header has
-that starts at a line against the headers. Files go on only if they can reach the threshold: the different terms that they share with a template, found by a join with the templates' terms as an
-inverted table, are long enough (as for sentences), then the run shares enough different terms. An SPDX tag names its licence and counts as a header.
+that starts at a line against the headers. Files go on only if they can reach the threshold: the different terms that they share with a template, looked up in
+an inverted table, are long enough (as for sentences), then the run shares enough different terms. An SPDX tag names its licence and counts as a header.
 
 A file's licence is that of its best header or whole text, else that of its best sentence; "All rights reserved" stands for none
 where the text grants a permission. A file that is called like one (LICENSE, COPYING, NOTICE) or whose
@@ -24,6 +24,7 @@ gives an empty result. Other columns stay, whatever they are called, but for ``t
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -103,6 +104,23 @@ def _least_shared(unit: dict[str, float], threshold: float) -> int:
     return len(unit)
 
 
+def _reaches_any(known: Column, units: dict[str, dict[str, float]], threshold: float) -> Column:
+    """Whether the terms, all of them some template's, are long enough for a template.
+
+    What a term adds to each template is looked up in a constant, an inverted table: by its first two letters, then whole.
+    """
+    table: dict[str, dict[str, list]] = {}
+    for i, unit in enumerate(units.values()):
+        for w, u in sorted(unit.items()):
+            table.setdefault(w[:2], {}).setdefault(w, []).append({"i": i, "square": u * u})
+    inverted = F.from_json(F.lit(json.dumps(table)), "map<string,map<string,array<struct<i:int,square:double>>>>")
+    added = F.flatten(F.transform(known, lambda w: F.element_at(F.element_at(inverted, F.substring(w, 1, 2)), w)))
+    none = F.array_repeat(F.lit(0.0), len(units))
+    # all sums in one pass over what the terms add
+    sums = F.aggregate(added, none, lambda n, x: F.transform(n, lambda s, i: F.when(i == x["i"], s + x["square"]).otherwise(s)))
+    return F.array_max(sums) + 1e-9 >= threshold * threshold
+
+
 def passages(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(path, licence, score, share): every header and whole text in each file that is at the threshold."""
     texts = passage_templates()
@@ -129,13 +147,11 @@ def passages(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return listed.select(*keys, F.explode(F.filter("t", lambda t: t["shared"] + 1e-9 >= threshold * threshold)).alias("t"), "norm").select(
             *keys, "t.template", F.round(F.col("t.dot") / F.col("norm"), 6).alias("score"))
 
-    # before any text is shuffled: a file goes on only if the different terms that it shares with some template are long enough
-    terms = F.broadcast(spark.createDataFrame([(w, n, u[w] ** 2) for n, u in units.items() for w in sorted(u)], "word string, name string, square double"))
+    # in the row, before any text is shuffled: a file goes on only if the different terms that it shares with some template are long enough
     low = F.lower("text")
-    own = files.where(F.col("path").isNotNull()).select("path", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))).alias("word"))
-    # a term that two texts of one path have counts twice here, which only lets more through
-    near_enough = own.join(terms, "word").groupBy("path", "name").agg(F.sum("square").alias("square")).where(F.col("square") + 1e-9 >= threshold * threshold)
-    rows = files.join(near_enough.select("path").distinct(), "path", "left_semi").select("path", "text", low.alias("low"))
+    known = F.array_distinct(F.filter(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), lambda w: w.isin(*sorted(idf))))
+    rows = files.where(F.col("path").isNotNull()).select("path", "text", low.alias("low"), known.alias("known"))
+    rows = rows.where(F.size("known") >= min(_least_shared(u, threshold) for u in units.values())).where(_reaches_any(F.col("known"), units, threshold)).drop("known")
     # dealt by file once: all that is grouped below has the file among its keys and is not dealt again
     rows = rows.select("path", F.md5("text").alias("key"), "low").groupBy("path", "key").agg(F.max("low").alias("low"))
     split = rows.withColumn("words", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
