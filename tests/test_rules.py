@@ -244,3 +244,19 @@ def test_keywords_meet_phrases(spark):
     assert got == want and got[1, 0, "business_model"] == 7.0
     plan = S.keyword_scores(blocks, taxonomy_table(spark))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan
+
+
+def test_scratch_folder_must_be_named_on_a_cluster(tmp_path):
+    from types import SimpleNamespace
+
+    from dossier.session import shared_dir
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    for master in ("spark://host:7077", "local-cluster[3,2,3000]", "yarn", ""):
+        with pytest.raises(RuntimeError):
+            shared_dir(SimpleNamespace(conf=Conf({"spark.master": master})))
+    assert shared_dir(SimpleNamespace(conf=Conf({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/y/"}))) == "hdfs://x/y"
+    own = SimpleNamespace(conf=Conf({"spark.master": "local[8]"}))
+    assert shared_dir(own).startswith("file://") and shared_dir(own) == shared_dir(own)
