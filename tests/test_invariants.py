@@ -165,8 +165,8 @@ def test_batches_are_decided_in_order(spark, seed):
 def test_listing(spark):
     rows = [(i, s, dt.datetime(2024, 1, 1 + i)) for i, s in enumerate([5.0, None, 9.0, None])]
     frame = spark.createDataFrame(rows, "proposal_id int, latest_score double, created_at timestamp_ntz")
-    assert [r.proposal_id for r in L.sort_listing(frame, "latest_score").collect()] == [2, 0, 3, 1]
-    assert [r.proposal_id for r in L.sort_listing(frame, "latest_score", descending=False).collect()] == [0, 2, 3, 1]
+    assert [r.proposal_id for r in L.sort_listing(frame, "score").collect()] == [2, 0, 3, 1]
+    assert [r.proposal_id for r in L.sort_listing(frame, "score", descending=False).collect()] == [0, 2, 3, 1]
     assert [r.proposal_id for r in L.sort_listing(frame, "no such key").collect()] == [3, 2, 1, 0]
     assert L.page(L.sort_listing(frame), 1, 0)[2] == 0 and L.page(L.sort_listing(frame), 2, 3)[1:] == (4, 2)
     assert L.status_in(frame.withColumn("status", F.lit("a")), " , ").count() == 4
@@ -281,7 +281,7 @@ def test_budget_agrees_with_every_earlier_call(spark):
     assert got == {i: sum(n for t, n in of[m] if (t is None if s is None else t is not None and s - 300 <= t <= s)) for i, m, s, _ in calls}
 
 
-def test_given_files(spark, small_dir):
+def test_given_files(spark, small_dir, tmp_path):
     import hashlib
     from pathlib import Path
 
@@ -290,7 +290,10 @@ def test_given_files(spark, small_dir):
     registry.load()
     given = {(p.name, p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(small_dir).glob("*.parquet")}
     assert {tuple(r) for r in registry.QUERIES["s1_read_files"](spark, small_dir).collect()} == given
-    arrived = registry.QUERIES["st11_file_intake"](spark, small_dir).collect()
+    from dossier.streaming import streams
+
+    streams.file_intake(streams.arriving_files(spark, small_dir), str(tmp_path / "ledger"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    arrived = streams.taken_in(spark, str(tmp_path / "ledger")).collect()
     assert {(r.name, r.size, r.sha256) for r in arrived} == given and {r.reason for r in arrived} == {"Unsupported format"}
 
 
