@@ -345,8 +345,9 @@ LINE_WORDS = "len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <
 #: The markup of pages, a tag or a text a line, is the nearest thing to a form among the given tables: names, states and stages stand in it.
 FORM_LINES = "SELECT page_id, unnest(string_split(replace(html, '>', '>' || chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(html, '>', '>' || chr(10)), chr(10)), 1) - 1 AS pos FROM pages"
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+ANY_LABEL = "|".join(f"(?:{Q.label_pattern(x)})" for x in Q.LABELS)
 LABELS_SQL = ", ".join("{'label': '" + x + "', 'pattern': '" + Q.label_pattern(x) + "'}" for x in Q.LABELS)
-QA = f"""WITH named AS MATERIALIZED (SELECT page_id, pos, line, list_filter([{LABELS_SQL}], lambda p: regexp_matches(line, p.pattern))[1].label AS known
+QA = f"""WITH named AS MATERIALIZED (SELECT page_id, pos, line, CASE WHEN regexp_matches(line, '{ANY_LABEL}') THEN list_filter([{LABELS_SQL}], lambda p: regexp_matches(line, p.pattern))[1].label END AS known
         FROM (SELECT page_id, pos, trim(line, {WHITE_SQL}) AS line FROM ({FORM_LINES})) WHERE line <> ''),
     asked AS (SELECT *, known IS NOT NULL OR (line LIKE '%?' AND length(line) < 300) OR (line LIKE '%)' AND length(line) < 200 AND {LINE_WORDS} <= 30)
         OR (length(line) < 120 AND {LINE_WORDS} <= 15 AND regexp_matches(line, '^\\p{{Lu}}') AND line NOT LIKE '%.' AND len(list_filter([{", ".join(f"'{w}'" for w in Q.LABEL_WORDS)}], lambda w: contains(lower(line), w))) > 0) AS asks FROM named),
