@@ -9,33 +9,37 @@ The fingerprint is a string: the root, then the nodes of sections and paragraphs
 the leaves (8 digits each), the four parts parted by dots. Likeness is the Jaccard similarity of two fingerprints' leaves.
 
 Null texts count as empty; an empty text has one empty section with one empty paragraph and no leaves. Two texts without leaves are alike (1). Texts of any
-length are taken whole. Rows with a null id are ordered first, rows with one id by a hash of their texts, then the texts; many such rows are dealt into
-several ranges by that hash. An empty table gives an empty result. Other columns, whatever they are called, are left out.
+length are taken whole. Rows with a null id are ordered first; rows with one id by a hash of id and text. Rows that repeat both id and text are
+fingerprinted once and given as often as they came: each is followed by the next repeat, the last by the next row. An empty table gives an empty result. Other columns, whatever they are called, are left out.
+
+Texts move once, by a hash of id and text, so no id is hot. Their order is found on numbers alone: rows are numbered over ranges of ids,
+and each sends its leaves and the characters that are asked for to the row before it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sharding import numbered
+
 PIECE = 32
-BUCKET_ROWS = 128  # documents that are ordered together
-MOST_BUCKETS = 100_000
 
 
-def _leaves(paragraph: Column) -> Column:
-    return F.transform(F.regexp_extract_all(paragraph, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)), lambda x: F.sha2(x, 256))
+def leaves(text: Column) -> Column:
+    """The leaves of each paragraph, by section and paragraph."""
+    cut = lambda p: F.transform(F.regexp_extract_all(p, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)), lambda x: F.sha2(x, 256))
+    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), cut))
 
 
-def pieces(text: Column) -> Column:
-    """The leaves of all paragraphs in order, 8 digits each."""
-    return F.transform(F.flatten(F.transform(F.split(text, "\n"), _leaves)), lambda x: F.substring(x, 1, 8))
+def pieces(nested: Column) -> Column:
+    """All leaves in order, 8 digits each."""
+    return F.transform(F.flatten(F.flatten(nested)), lambda x: F.substring(x, 1, 8))
 
 
-def paragraph_nodes(text: Column) -> Column:
+def paragraph_nodes(nested: Column) -> Column:
     """The node of each paragraph over its leaves, by section."""
-    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), lambda p: F.sha2(F.array_join(_leaves(p), ","), 256)))
+    return F.transform(nested, lambda s: F.transform(s, lambda p: F.sha2(F.array_join(p, ","), 256)))
 
 
 def section_nodes(paragraphs: Column) -> Column:
@@ -51,8 +55,10 @@ def _short(nodes: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, pieces_column: str) -> DataFrame:
-    """``df`` with the fingerprint of a text column whose pieces are in another column."""
-    df = df.withColumn("_paragraphs", paragraph_nodes(F.col(text))).withColumn("_sections", section_nodes(F.col("_paragraphs")))
+    """``df`` with the fingerprint of a text column and, in another column, its pieces. Each leaf is hashed once."""
+    df = df.withColumn("_leaves", leaves(F.col(text)))
+    df = df.withColumn(pieces_column, pieces(F.col("_leaves"))).withColumn("_paragraphs", paragraph_nodes(F.col("_leaves"))).drop("_leaves")
+    df = df.withColumn("_sections", section_nodes(F.col("_paragraphs")))
     parts = [root_node(F.col("_sections")), _short(F.col("_sections")), _short(F.flatten("_paragraphs")), F.array_join(pieces_column, "")]
     return df.withColumn(out, F.concat_ws(".", *parts)).drop("_paragraphs", "_sections")
 
@@ -83,51 +89,27 @@ def differing(left: Column, right: Column) -> Column:
     return F.struct(F.when(same, none).otherwise(places(1)).alias("sections"), F.when(same, none).otherwise(places(2)).alias("paragraphs"))
 
 
-def _bucket(key: Column, share: Column, bounds: list[int]) -> Column:
-    """The range that a key falls into: how many of the ascending bounds are below it, plus, for a key that is a bound several times, a part by ``share``.
-
-    ``share``: from 0 to 1. The bounds are looked up first among every k-th, then between.
-    """
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not groups:
-        return F.lit(0)
-    heads, fine = F.lit([g[0] for g in groups]), F.array(*[F.lit(g) for g in groups])
-
-    def below(test) -> Column:
-        at = F.size(F.filter(heads, test))
-        inside = F.size(F.filter(F.element_at(fine, F.greatest(at, F.lit(1))), test))
-        return F.when(at == 0, 0).otherwise((at - 1) * step + inside)
-
-    first, last = below(lambda b: b < key), below(lambda b: b <= key)
-    return first + F.least(last - first, F.floor(share * (last - first + 1)).cast("int"))
-
-
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, next): each text (null: empty) beside that of the next larger key; after the last comes the first.
+    """(key, text, times, head, next_leaves) of each different row of key and text (null: empty), which came ``times`` times.
 
-    Rows are dealt out by ranges of the key, ordered within them, and the last of a range
-    takes the first row of the next one. Null keys stand first; equal keys are ordered by a hash of the text and the text.
+    ``head``: the first floor(n / 4) characters of the next row's text, n the length of this one's; ``next_leaves``: the next
+    row's leaves, 8 digits each, in one string. Next is the row of the next larger key; after the last comes the first. Null keys
+    stand first; equal keys are ordered by a hash of key and text. Rows are told apart by 128 bits of key and text.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    n_rows, n_keys = rows.agg(F.count("*"), F.count("key")).first()
-    buckets = min(MOST_BUCKETS, max(1, n_keys // BUCKET_ROWS))
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(rows.agg(F.percentile_approx("key", cuts, 20 * buckets)).first()[0] or []) if cuts else []  # MOST_BUCKETS numbers at most
-    of_null = min(MOST_BUCKETS, max(1, (n_rows - n_keys) // BUCKET_ROWS))
-    order_in_key = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    share = order_in_key / float(1 << 40)
-    at = F.when(F.col("key").isNull(), F.floor(share * of_null).cast("int") - of_null).otherwise(_bucket(F.col("key"), share, bounds))
-    dealt = rows.withColumn("order_in_key", order_in_key).withColumn("bucket", at).repartition("bucket")
-    order = W.partitionBy("bucket").orderBy("key", "order_in_key", "text")
-    dealt = dealt.withColumn("pieces", pieces(F.col("text")))
-    ordered = dealt.withColumn("after", F.lead(F.struct("text", "pieces")).over(order)).withColumn("place", F.row_number().over(order))
-    first = ordered.where(F.col("place") == 1).select(F.col("bucket").alias("at"), F.struct("text", "pieces").alias("first"))
-    ring = W.orderBy("at")  # the numbers of the ranges, 2 * MOST_BUCKETS rows at most
-    numbers = first.select("at").withColumn("bucket", F.lag("at").over(ring)).withColumn("last", F.max("at").over(W.partitionBy()))
-    onward = first.join(numbers.select("at", F.coalesce("bucket", "last").alias("bucket")), "at").select("bucket", "first")
-    joined = ordered.join(onward, "bucket").withColumn("after", F.coalesce("after", "first"))
-    return joined.select("key", "text", "pieces", F.col("after.text").alias("next_text"), F.col("after.pieces").alias("next_pieces"))
+    rows = rows.withColumn("a", F.xxhash64("key", "text")).withColumn("b", F.xxhash64(F.lit(PIECE), "key", "text"))
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    ids = rows.groupBy("a", "b").agg(F.first("key").alias("key"), F.first(quarter).alias("asked"), F.count("*").alias("times"))
+    placed, n_rows = numbered(ids, "key")
+    at = placed.select("row_number", "row.*")
+    before = at.select(F.pmod(F.col("row_number") + 1, F.lit(max(n_rows, 1))).alias("row_number"), *(F.col(c).alias(f"to_{c}") for c in ("a", "b", "asked")))
+    ring = at.join(before, "row_number").drop("row_number", "asked")
+    texts = rows.select("a", "b", "text").dropDuplicates(["a", "b"])  # the same columns for both joins, so that the texts are shuffled once
+    sent = texts.join(ring.drop("key", "times"), ["a", "b"])
+    head = F.substring("text", F.lit(1), F.col("to_asked"))
+    sent = sent.select(F.col("to_a").alias("a"), F.col("to_b").alias("b"), head.alias("head"), F.array_join(pieces(leaves(F.col("text"))), "").alias("next_leaves"))
+    own = texts.join(ring.select("a", "b", "key", "times"), ["a", "b"])
+    return own.join(sent, ["a", "b"]).select("key", "text", "times", "head", "next_leaves")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,13 +118,17 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Edited: the last floor(n / 4) characters replaced by the first as many of the next document.
     """
     rows = with_next(docs, key, text).withColumn("n_chars", F.length("text").cast("bigint")).withColumn("_m", F.floor(F.col("n_chars") / 4).cast("int"))
-    kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.col("_m")).cast("int"))
-    rows = rows.withColumn("edited", F.concat(kept, F.substring("next_text", F.lit(1), F.col("_m"))))
-    rows = rows.withColumn("edited_pieces", pieces(F.col("edited")))
     rows = with_fingerprint(rows, "text", "fingerprint", "pieces")
+    last = F.struct(F.lit(1).cast("bigint").alias("rows"), F.lit(False).alias("repeat"))
+    earlier = F.struct((F.col("times") - 1).alias("rows"), F.lit(True).alias("repeat"))  # rows whose next row is their repeat
+    rows = rows.select("*", F.inline(F.when(F.col("times") > 1, F.array(last, earlier)).otherwise(F.array(last))))
+    head = F.when(F.col("repeat"), F.substring("text", F.lit(1), F.col("_m"))).otherwise(F.col("head"))
+    following = F.when(F.col("repeat"), F.col("pieces")).otherwise(F.regexp_extract_all("next_leaves", F.lit(".{8}"), F.lit(0)))
+    kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.col("_m")).cast("int"))
+    rows = rows.withColumn("edited", F.concat(kept, head)).withColumn("next_pieces", following)
     rows = with_fingerprint(rows, "edited", "edited_fingerprint", "edited_pieces")
     rows = rows.withColumn("edits", differing(F.col("fingerprint"), F.col("edited_fingerprint")))
-    return rows.select(
+    rows = rows.select(
         F.col("key").alias("doc_id"),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -152,4 +138,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         likeness(F.col("pieces"), F.col("next_pieces")).alias("near_next"),
         F.size("edits.sections").alias("edited_sections"),
         F.size("edits.paragraphs").alias("edited_paragraphs"),
+        "rows",
     )
+    return rows.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows")))).drop("rows", "_row")

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from dossier.llm import merkle
-from dossier.llm.merkle import differing, fingerprints, likeness, pieces, with_fingerprint
+from dossier.llm.merkle import differing, fingerprints, likeness, with_fingerprint
 from pyspark.sql import functions as F
 
 
@@ -42,12 +42,11 @@ def unlike(a, b):
     return sum(i >= len(a) or i >= len(b) or a[i] != b[i] for i in range(max(len(a), len(b))))
 
 
-def test_edited_texts(spark, monkeypatch):
-    monkeypatch.setattr(merkle, "BUCKET_ROWS", 7)
+def test_edited_texts(spark):
     rng = random.Random(8)
     docs = {rng.randrange(10**9): "".join(rng.choices("ab é\n日😀", k=rng.choice([0, 1, 3, 50, 400, 4000]))) for _ in range(150)}
     docs[5] = None
-    frame = spark.createDataFrame([(i, t, "z", 1) for i, t in docs.items()], "doc_id bigint, text string, next string, bucket int")
+    frame = spark.createDataFrame([(i, t, "z", 1) for i, t in docs.items()], "doc_id bigint, text string, head string, times int")
     rows = {r.doc_id: r for r in fingerprints(frame).collect()}
     order = sorted(docs)
     assert sorted(rows) == order
@@ -70,29 +69,51 @@ def test_ties_and_null_ids(spark):
     assert len(got) == 5 and len({r.fingerprint for r in got}) == 4
 
 
-def test_many_rows_of_one_id_or_none(spark, monkeypatch):
-    """They are dealt into several ranges, and each row still stands before the next in one round trip."""
-    monkeypatch.setattr(merkle, "BUCKET_ROWS", 10)
-    rows = [(None, f"n{i}") for i in range(200)] + [(5, f"f{i}") for i in range(200)] + [(i, f"o{i}") for i in range(100)]
-    got = [(r.key, r.text, r.next_text) for r in merkle.with_next(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
-    onward = {text: following for _, text, following in got}
-    keys = {text: key for key, text in rows}
-    at, seen = "n0", []
+def test_whole_repeats(spark):
+    """Each repeat is followed by the next one, the last by the next document."""
+    a, b = "first text " * 30, "another one, quite unlike " * 20
+    got = fingerprints(spark.createDataFrame([(1, a), (2, b), (1, a), (1, a)], "doc_id bigint, text string")).collect()
+    near = sorted(r.near_next for r in got if r.doc_id == 1)
+    own, onward = a[: len(a) - len(a) // 4] + a[: len(a) // 4], a[: len(a) - len(a) // 4] + b[: len(a) // 4]
+    assert len(got) == 4 and near == [pytest.approx(jaccard(plain(a)[1], plain(b)[1])), 1.0, 1.0]
+    assert sorted(r.edited_sha256 for r in got if r.doc_id == 1) == sorted([sha(own), sha(own), sha(onward)])
+
+
+def test_many_rows_of_one_id_or_none(spark):
+    """Each row still stands before the next in one round trip."""
+    rows = [(i, f"{c}{k:03d}" * 8) for c, ids in (("n", [None] * 200), ("f", [5] * 200), ("o", range(100))) for k, i in enumerate(ids)]
+    got = [(r.key, r.text[:4], r.head) for r in merkle.with_next(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    onward = {name: head[:4] for _, name, head in got}
+    keys = {name: key for key, name, _ in got}
+    at, seen = "n000", []
     for _ in rows:
         seen.append(keys[at])
         at = onward[at]
-    assert at == "n0" and len(set(onward.values())) == len(rows)
+    assert len(got) == 500 and at == "n000" and len(set(onward.values())) == len(rows)
     first = seen.index(0)
     turned = seen[first:] + seen[:first]
     assert turned == sorted(k for k, _ in rows if k is not None) + [None] * 200
-    ranges = merkle.with_next(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert ranges.count() == 500
+
+
+def test_texts_move_once(spark):
+    """The texts' exchange is planned once and reused."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id bigint, text string")
+    plan = merkle.with_next(docs)
+    plan.collect()
+    assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts(spark):
+    rows = [(1, "x" * 3_000_000), (2, "\n" * 300_000), (3, None)]
+    got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1].n_chars == 3_000_000 and got[1].edited_sha256 == sha("x" * 2_250_000 + "\n" * 300_000)
+    assert got[2].edited_sha256 == sha("\n" * 225_000) and got[3].edited_sha256 == sha("")
 
 
 def test_edits_are_located(spark):
     a = "one line\nand another\n\nsecond section\nwith two lines of text that go on for a while, longer than a piece"
     b = a.replace("two lines", "2 lines")
-    frame = spark.createDataFrame([(a, b), (a, a)], "a string, b string").withColumn("pa", pieces(F.col("a"))).withColumn("pb", pieces(F.col("b")))
+    frame = spark.createDataFrame([(a, b), (a, a)], "a string, b string")
     frame = with_fingerprint(with_fingerprint(frame, "a", "fa", "pa"), "b", "fb", "pb")
     rows = frame.select(differing(F.col("fa"), F.col("fb")).alias("d"), likeness(F.col("pa"), F.col("pb")).alias("l")).collect()
     assert (rows[0].d.sections, rows[0].d.paragraphs) == ([1], [3]) and 0.2 < rows[0].l < 1
