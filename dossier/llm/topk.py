@@ -1,6 +1,6 @@
 """Exact search for the largest inner products.
 
-Candidates are range-partitioned by descending length into parts of about ``PART`` vectors; the
+Candidates are range-partitioned by descending length into parts of about ``HELD_BYTES`` as they are held in a task, so fewer of wider vectors; the
 parts' numbers and longest vectors are read off the written table, so however many parts Spark makes, all are
 searched. A first pass over the ``HEAD`` longest vectors gives each query the score that it has to
 beat; after that
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 HEAD = 2048  # longest vectors that set the scores to beat
-PART = 65_536  # vectors of a part
+HELD_BYTES = 1 << 27  # of a part's vectors in a task: 16 bytes a component, see ``part_rows``
 ASKING = 65_536  # queries that meet a part in one task
 BLOCK = 2048  # vectors met at a time
 QUERIES = 512  # queries that meet them at a time
@@ -90,6 +90,11 @@ def rotation(vectors: DataFrame, dims: int, kind: str) -> np.ndarray:
     return np.linalg.eigh(total)[1][:, ::-1].copy()
 
 
+def part_rows(dims: int) -> int:
+    """Vectors of a part: each is held as integers and rotated, 8 bytes a component both times, beside some numbers of its own."""
+    return max(1, HELD_BYTES // (16 * (dims + 16)))
+
+
 class Side:
     """Vectors with their rotated forms and, for each number of leading axes, the length of the rest."""
 
@@ -209,7 +214,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     # the last sort key spreads rows that repeat an id
     dealt = _packed(rows, dims, kind).withColumn("row", F.monotonically_increasing_id())
-    dealt = dealt.repartitionByRange(max(1, round(count / PART)), F.desc("n2"), "vec_id", "row").withColumn("part", F.spark_partition_id())
+    dealt = dealt.repartitionByRange(max(1, -(-count // part_rows(dims))), F.desc("n2"), "vec_id", "row").withColumn("part", F.spark_partition_id())
     ready = written(dealt, "ready")
     turn = rotation(ready, dims, kind)
     longest = ready.orderBy(F.desc("n2"), "vec_id", "row").limit(HEAD).select("vec_id", "v").toPandas()
@@ -218,7 +223,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     asks = ready.where("asks").groupBy("vec_id").agg(F.min_by("v", "row").alias("v"))
     floors = written(asks.mapInPandas(_floors(head, dims, kind, turn, k), "vec_id bigint, v binary, beat double, length double"), "floors")
 
-    # the parts' longest vectors in one value: a number for every PART vectors
+    # the parts' longest vectors in one value: two numbers a part
     parts = ready.groupBy("part").agg(F.sqrt(F.max("n2")).alias("longest")).agg(F.collect_list(F.struct("part", "longest")))
     reached = F.filter("parts", lambda p: F.col("length") * p["longest"] * (1 + 1e-9) + 1 >= F.col("beat"))
     deals = -(-asking // ASKING)

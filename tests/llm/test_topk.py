@@ -20,7 +20,7 @@ def brute(rows, k):
 def test_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(topk, "BLOCK", 50)
-    monkeypatch.setattr(topk, "PART", 130)
+    monkeypatch.setattr(topk, "HELD_BYTES", 130 * 16 * 56)
     for dims, n in ((3, 40), (40, 500), (64, 700)):
         x = rng.normal(size=(n, dims)) * rng.uniform(0.1, 3, size=(n, 1))
         x[n // 2 :: 3] = x[1]  # many ties
@@ -48,13 +48,20 @@ def test_any_number_of_parts(spark, monkeypatch, parts):
 
 
 def test_one_id_or_one_vector_in_many_rows(spark, monkeypatch):
-    monkeypatch.setattr(topk, "PART", 20)
+    monkeypatch.setattr(topk, "HELD_BYTES", 20 * 16 * 19)
     frame = spark.createDataFrame([(100, [1, 0])] * 50 + [(7, [1, 1])] * 60 + [(200, [-1, 2]), (8, [9, 9, 9])], "vec_id bigint, v array<bigint>")
     got = exact_top_k(frame, F.col("vec_id") % 100 == 0, 3)
     want = [(100, 1, 8, 9), (100, 2, 7, 1), (100, 3, 7, 1), (200, 1, 8, 9), (200, 2, 7, 1), (200, 3, 7, 1)]
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_parts_are_sized_by_bytes():
+    """Wider vectors make smaller parts, so what a task holds does not grow with their width."""
+    assert topk.part_rows(64) > 90_000 and topk.part_rows(4096) < 2100
+    assert all(16 * d * topk.part_rows(d) <= topk.HELD_BYTES for d in (1, 3, 64, 768, 4096))
+    assert topk.part_rows(1 << 30) == 1
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [1.0, nan]), (3, [inf, 0.0]), (4, [None, 1.0]), (5, [-0.5, 0.25]), (None, [1.0, 1.0]), (6, [0.0, 0.0])]
