@@ -6,6 +6,8 @@ scoring blocks against keywords makes rows: blocks times the keywords that occur
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,24 +73,33 @@ def split_blocks(df: DataFrame, key: str = "doc_id", text: str = "text", least:
 WORD = r"\p{L}\p{N}_"
 
 
-def phrases(text: Column, most: int) -> Column:
-    """Different stretches of one to ``most`` whole words, in small letters, with what stands between the words as it is."""
-    parts = F.regexp_extract_all(text, F.lit(f"[{WORD}]+|[^{WORD}]+"), F.lit(0))
-    own = lambda n: F.transform(parts, lambda p, i: F.when(p.rlike(f"^[{WORD}]") & (i + 2 * n - 1 <= F.size(parts)), F.array_join(F.slice(parts, i + 1, F.lit(2 * n - 1)), "")))
-    return F.array_distinct(F.transform(F.array_compact(F.flatten(F.array(*(own(n) for n in range(1, most + 1))))), F.lower))
+def held_keywords(text: Column, keywords: list[str], gap: int) -> Column:
+    """Those of ``keywords`` (in small letters) that stand in a text, whole words of it in any case; ``gap``: how many characters may stand between two words of a keyword.
+
+    Stretches of one length are cut out by one pattern, and only those that are keywords are kept: the work follows the text, whatever the number of keywords.
+    """
+    by_words: dict[int, list[str]] = {}
+    for word in keywords:
+        by_words.setdefault(len(re.findall(r"\w+", word)), []).append(word)
+    held = []
+    for n, listed in sorted(by_words.items()):
+        stretch = f"[{WORD}]+" if n == 1 else f"(?<![{WORD}])(?=([{WORD}]++(?:[^{WORD}]{{1,{gap}}}[{WORD}]++){{{n - 1}}}))"
+        held.append(F.array_intersect(F.transform(F.regexp_extract_all(text, F.lit(stretch), F.lit(min(n - 1, 1))), F.lower), F.array(*map(F.lit, listed))))
+    return F.concat(*held) if held else F.array().cast("array<string>")
 
 
 def keyword_scores(blocks: DataFrame, taxonomy: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, block, section, position, score): three times the heading's keywords and half those of the body's first 600 characters.
 
-    A keyword stands between word boundaries, in any case, and counts once in each. Blocks are cut into phrases as long as the longest keyword, which meet the keywords by equality; the
-    taxonomy is a config table of a few hundred keywords, each of which begins and ends with a word character.
+    A keyword stands between word boundaries, in any case, and counts once in each. The taxonomy is a config table of a few hundred keywords, each of which begins and ends with a word
+    character; they go out with the plan, and only keywords that a block holds become rows.
     """
-    edges = F.regexp_extract_all("keyword", F.lit(f"[{WORD}]+"), F.lit(0))
-    words = taxonomy.agg(F.max(F.size(edges)), F.count_if(~F.col("keyword").rlike(f"^[{WORD}](.*[{WORD}])?$"))).first()
-    if words[1]:
+    listed = taxonomy.select(F.lower("keyword").alias("phrase"), F.col("keyword").rlike(f"^[{WORD}](.*[{WORD}])?$").alias("sound")).distinct().collect()
+    if not all(r.sound for r in listed):
         raise ValueError("keywords must begin and end with a letter, a digit or an underscore")
-    found = lambda text, times: F.transform(phrases(text, words[0] or 1), lambda p: F.struct(p.alias("phrase"), F.lit(times).alias("times")))
+    words = sorted(r.phrase for r in listed)
+    gap = max((len(g) for w in words for g in re.findall(r"\W+", w)), default=1)
+    found = lambda text, times: F.transform(held_keywords(text, words, gap), lambda p: F.struct(p.alias("phrase"), F.lit(times).alias("times")))
     both = F.concat(found(F.coalesce("heading", F.lit("")), 3.0), found(F.substring(F.coalesce("body", F.lit("")), 1, 600), 0.5))
     hits = blocks.select(key, "block", F.inline(both)).join(F.broadcast(taxonomy.withColumn("phrase", F.lower("keyword"))), "phrase")
     return hits.groupBy(key, "block", "section", "position").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -280,3 +281,11 @@ def test_words_of_flags_end_at_letters_beyond_ascii(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.flag_financial(F.col("t")).alias("f"), X.flag_technical(F.col("t")).alias("t")).orderBy("i").collect()
     assert [r.f for r in rows] == [True, True, False, False, False, None]
     assert [r.t for r in rows] == [False, False, False, False, True, None]
+
+
+def test_only_held_keywords_become_rows(spark):
+    """Overlapping keywords of one to three words are all found; stretches that are none are not handed on."""
+    texts = [(0, "A go-to-market plan: CO-FOUNDER, machine  learning machine learning"), (1, "to market"), (2, ""), (3, "market_x co founder")]
+    words = ["go-to-market", "market", "machine learning", "learning", "co-founder", "founder"]
+    rows = spark.createDataFrame(texts, "i int, t string").select("i", S.held_keywords(F.col("t"), words, 1).alias("k")).collect()
+    assert {r.i: sorted(r.k) for r in rows} == {0: sorted(words), 1: ["market"], 2: [], 3: ["founder"]}
