@@ -108,10 +108,14 @@ TOLERANCE = 2  # characters that starts of one column may lie apart
 def _columns_of(lines: list[str]) -> list[int]:
     """Where columns begin: word starts that half of the lines share. A start counts for the first place, in order of appearance, that it lies near to."""
     votes: dict[int, int] = {}
+    first_near: dict[int, int] = {}  # for each place near to one that votes, the first such one
     for line in lines:
         for start in (m.start() for m in re.finditer(r"[^ ]+", line)):
-            near = next((at for at in votes if abs(at - start) <= TOLERANCE), start)
-            votes[near] = votes.get(near, 0) + 1
+            if start not in first_near:
+                votes[start] = 0
+                for place in range(start - TOLERANCE, start + TOLERANCE + 1):
+                    first_near.setdefault(place, start)
+            votes[first_near[start]] += 1
     return sorted(at for at, n in votes.items() if 2 * n >= len(lines))
 
 

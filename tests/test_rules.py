@@ -289,3 +289,18 @@ def test_only_held_keywords_become_rows(spark):
     words = ["go-to-market", "market", "machine learning", "learning", "co-founder", "founder"]
     rows = spark.createDataFrame(texts, "i int, t string").select("i", S.held_keywords(F.col("t"), words, 1).alias("k")).collect()
     assert {r.i: sorted(r.k) for r in rows} == {0: sorted(words), 1: ["market"], 2: [], 3: ["founder"]}
+
+
+def test_columns_of_a_long_line_take_the_first_near_place():
+    rng = random.Random(3)
+    for _ in range(30):
+        lines = [" ".join("x" * rng.randint(1, 4) for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 6))]
+        votes = {}
+        for line in lines:
+            for start in (m.start() for m in re.finditer("[^ ]+", line)):
+                near = next((at for at in votes if abs(at - start) <= Q.TOLERANCE), start)
+                votes[near] = votes.get(near, 0) + 1
+        assert Q._columns_of(lines) == sorted(at for at, n in votes.items() if 2 * n >= len(lines))
+    started = time.process_time()
+    Q._columns_of([" ".join(["ab"] * 60_000)] * 2)
+    assert time.process_time() - started < 5  # compared with all places, this takes minutes
