@@ -58,22 +58,42 @@ def _grams(text: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
+def _words(text: Column | str) -> Column:
+    """The different words of a folded text, which stand between single spaces."""
+    return F.array_distinct(F.split(text, " "))
+
+
+def _inner_words(quote: str) -> Column:
+    """The words of a folded quote but for the first and the last: those have a space on either side, so a text that holds the quote has them as words."""
+    words = F.split(quote, " ")
+    return F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
+
+
+def _candidates(own: DataFrame, held: DataFrame) -> DataFrame:
+    """(item_id, quote, _doc): quotes (item_id, quote, part) with the texts (doc_id, part) that have the quote's rarest part. A quote with a part that no text has is dropped."""
+    counts = held.join(own.select("part").distinct(), "part", "left_semi").groupBy("part").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "part", "left").groupBy("item_id", "quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("a"))
+    anchors = written(rarest.where("a.n > 0").select("item_id", "quote", "a.part"), "anchors")
+    return held.join(anchors, "part").select("item_id", "quote", F.col("doc_id").alias("_doc"))
+
+
 def find_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """(item_id, doc_id) wherever a quote of at least ten folded characters stands in a text; a repeated quote of one item counts once.
 
-    A quote can only stand where all its stretches of four characters do. Of these it is looked for by the one that the fewest texts hold, which is counted on the texts
-    first: quotes and texts meet by equality on that anchor, then the whole quote is checked. A quote with a stretch that no text has is dropped. What moves are ids and
-    stretches that occur in quotes; texts move once, to be checked against their candidates.
+    A quote can only stand where all its inner words do. Of these it is looked for by the one that the fewest texts hold, which is counted on the texts
+    first: quotes and texts meet by equality on that anchor, then the whole quote is checked. Quotes of one or two words have stretches of GRAM characters for words; texts are cut into
+    these only where there are such quotes. What moves are ids and parts that occur in quotes; texts move once, to be checked against their candidates.
     """
-    q = quotes.select("item_id", fold(F.col("text")).alias("quote")).where(F.length("quote") >= QUOTE_LEAST)
+    folded = quotes.select("item_id", fold(F.col("text")).alias("quote")).where(F.length("quote") >= QUOTE_LEAST).distinct()
+    q = written(folded.withColumn("inner", _inner_words("quote")), "quotes")
     t = texts.select("doc_id", fold(F.col("text")).alias("body"))
-    own = q.distinct().select("item_id", "quote", F.explode(_grams("quote")).alias("gram"))
-    held = t.select("doc_id", F.explode(_grams("body")).alias("gram"))
-    counts = held.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = own.join(counts, "gram", "left").groupBy("item_id", "quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"))
-    anchors = written(rarest.where("a.n > 0").select("item_id", "quote", "a.gram"), "anchors")
-    pairs = held.join(anchors, "gram").select("item_id", "quote", F.col("doc_id").alias("_doc")).distinct()
-    return pairs.join(t, F.col("_doc").eqNullSafe(F.col("doc_id"))).where(F.col("body").contains(F.col("quote"))).select("item_id", "doc_id")
+    inner = q.select("item_id", "quote", F.explode("inner").alias("part"))
+    pairs = _candidates(inner, t.select("doc_id", F.explode(_words("body")).alias("part")))
+    short = q.where(F.size("inner") == 0)
+    if not short.isEmpty():
+        grams = short.select("item_id", "quote", F.explode(_grams("quote")).alias("part"))
+        pairs = pairs.unionByName(_candidates(grams, t.select("doc_id", F.explode(_grams("body")).alias("part"))))
+    return pairs.distinct().join(t, F.col("_doc").eqNullSafe(F.col("doc_id"))).where(F.col("body").contains(F.col("quote"))).select("item_id", "doc_id")
 
 
 def downgraded(score: Column, evidenced: Column, grounded: Column) -> Column:

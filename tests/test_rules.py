@@ -321,3 +321,23 @@ def test_windows_of_a_busy_hour_are_running_sums(spark):
     assert {r.event_id: r.used for r in out.collect()} == {i: used(m, ts) for i, m, ts, _ in calls}
     assert out.columns == ["event_id", "model", "ts", "tokens", "used", "over", "too_large"]
     assert "RangeFrame, -" not in out._jdf.queryExecution().analyzed().toString()  # a moving frame is added up anew for each call
+
+
+def test_quotes_are_found_by_inner_words_and_cut_words_too(spark, monkeypatch):
+    texts = [(1, "The  Quick brown fox jumps over the lazy dog"), (2, "a quick brown foxglove"), (3, "unquick brown"), (4, None), (5, ""), (6, "quick  quick quick brown fox"), (None, "the lazy dog's den")]
+    long = [(1, "ick brown fox ju"), (2, "quick brown fox"), (2, "QUICK brown fox"), (3, "he lazy dog"), (4, "quick brown absent fox"), (None, "the lazy dog"), (5, None), (6, "quick quick")]
+    cut = [(7, "uick brown"), (8, "quick brow"), (9, "foxglovexx"), (10, "short")]
+    rows = spark.createDataFrame(texts, "doc_id int, text string")
+    fold = lambda s: re.sub(r"\s+", " ", s.lower()).strip()
+
+    def found(quotes):
+        return sorted(map(tuple, R.find_quotes(spark.createDataFrame(quotes, "item_id int, text string"), rows).collect()), key=str)
+
+    def plain(quotes):
+        return sorted(((i, d) for i, q in {(i, fold(q)) for i, q in quotes if q} if len(q) >= 10 for d, t in texts if t and q in fold(t)), key=str)
+
+    assert found(long + cut) == plain(long + cut)
+    more_words = [q for q in long if q[0] != 6]
+    with monkeypatch.context() as m:  # where all quotes have inner words, texts are never cut into stretches of characters
+        m.setattr(R, "_grams", lambda text: 1 / 0)
+        assert found(more_words) == plain(more_words)
