@@ -37,8 +37,17 @@ SLOTS = 1 << 16  # hashed features
 BUCKET = 32  # words that are folded into one step along a text
 MEMO = 200_000  # words whose features are kept
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Runs of letters: \w also takes signs of numbers, which are no letters.
-WORDS = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")))
+#: Signs of numbers, which \w takes too but which are no letters.
+NUMBER_SIGNS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+#: Runs of letters: of any text, and, some twenty times as fast, of one without number signs.
+WORDS = re.compile(r"[^\W\d_%s]+" % "".join(sorted(NUMBER_SIGNS)))
+PLAIN_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a whole text, in lower case."""
+    low = text.lower()
+    return (PLAIN_WORDS if low.isascii() or NUMBER_SIGNS.isdisjoint(low) else WORDS).findall(low)
 
 
 def slots_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +242,7 @@ def training_texts(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -
     for name, n in sorted(counts.items()):
         share = F.when(F.col(label) == name, min(1.0, sample / n)).otherwise(share)
     drawn = rows.where(draw < share).groupBy(F.col(label).alias("label"), "doc_id").agg(F.min("text").alias("text"))
-    texts = sorted((r.label, r.doc_id, WORDS.findall(r.text.lower())) for r in drawn.collect())  # the bounded sample
+    texts = sorted((r.label, r.doc_id, words_of(r.text)) for r in drawn.collect())  # the bounded sample
     return [t for t in texts if t[2]]
 
 
@@ -310,7 +319,7 @@ def predict(docs: DataFrame, model: Crf | None, together: int = 100_000) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(model) if model else None
         for batch in batches:
-            texts = [WORDS.findall(t.lower()) if t else [] for t in batch["text"]]
+            texts = [words_of(t) if t else [] for t in batch["text"]]
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
             at = 0
             while reader and at < len(texts):
