@@ -17,9 +17,8 @@ from ..functions import text as X
 MOST_CENTROIDS = 200
 
 def drop_repeated_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    lines = F.split(F.col(text), "\n")
-    again = X.repeated_lines(lines)
-    return df.withColumn("_again", again).withColumn(text, F.when(F.size("_again") == 0, F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~F.array_contains(F.col("_again"), X.strip(x))), "\n"))).drop("_again")
+    left = lambda lines: X.once(X.repeated_lines(lines), lambda again: F.when(F.size(again) > 0, F.array_join(F.filter(lines, lambda x: ~F.array_contains(again, X.strip(x))), "\n")))
+    return df.withColumn(text, F.coalesce(X.once(F.split(text, "\n"), left), F.col(text)))
 
 
 def clean_text(df: DataFrame, text: str = "text", is_ocr: bool = False) -> DataFrame:
