@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import AMOUNT, known_or_null, strip, word_count
+from ..functions.text import AMOUNT, known_or_null, once, strip, word_count
 
 # Words that make a short title line a label.
 LABEL_WORDS = ("name", "email", "address", "state", "website", "stage", "status", "level", "model", "plan", "strategy", "no.", "registration", "gstin", "cin", "employees")
@@ -95,11 +95,12 @@ def pipe_tables(qa: DataFrame, key: str = "doc_id", text: str = "answer", place:
     """(key, place, width, headers, rows): answers with two lines of cells or more; rows of the commonest width (the larger of equals)."""
     cells = lambda line: F.filter(F.transform(F.split(line, r"\|"), lambda x: F.trim(x)), lambda c: c != "")
     rows = F.filter(F.transform(F.filter(F.split(F.trim(text), "\n"), lambda x: F.contains(x, F.lit("|"))), cells), lambda r: F.size(r) > 0)
-    out = qa.select(key, place, rows.alias("all")).where(F.size("all") >= 2)
-    widths = F.transform("all", lambda r: F.size(r))
-    counted = F.transform(F.array_distinct(widths), lambda w: F.struct(F.size(F.filter(widths, lambda x: x == w)).alias("times"), w.alias("width")))
-    out = out.withColumn("width", F.array_max(counted)["width"]).withColumn("all", F.filter("all", lambda r: F.size(r) == F.col("width")))
-    return out.where(F.size("all") >= 2).select(key, place, "width", F.element_at("all", 1).alias("headers"), F.slice("all", F.lit(2), F.size("all")).alias("rows"))
+    counted = lambda widths: F.array_max(F.transform(F.array_distinct(widths), lambda w: F.struct(F.size(F.filter(widths, lambda x: x == w)).alias("times"), w.alias("width"))))["width"]
+    table = lambda width, kept: F.struct(width.alias("width"), F.get(kept, F.lit(0)).alias("headers"), F.slice(kept, F.lit(2), F.size(kept)).alias("rows"))
+    found = lambda every, width: once(F.filter(every, lambda r: F.size(r) == width), lambda kept: F.when(F.size(kept) >= 2, F.array(table(width, kept))))
+    # a list of one table or none, so that no condition on it is computed apart from it
+    tables = once(rows, lambda every: once(once(F.transform(every, lambda r: F.size(r)), counted), lambda width: found(every, width)))
+    return qa.select(key, place, F.inline(tables))
 
 
 TOLERANCE = 2  # characters that starts of one column may lie apart

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import time
 import uuid
 
 import numpy as np
@@ -307,3 +308,17 @@ def test_live_jobs_agree_with_the_fold(spark, small_dir):
     assert live.keys() == fold.keys()
     # the stream also puts back running jobs that nothing was heard of for too long
     assert all(live[k] == v or (v[0] == "running" and live[k] == ("failed" if v[1] >= J.MOST else "queued", *v[1:])) for k, v in fold.items())
+
+
+def test_lines_are_cut_once_a_text(spark):
+    """Columns that a lambda names are computed anew for each line that it sees: a text of many lines took hours."""
+    lines = [f"{'again and again' if i % 4 == 0 else f'a line that stands here but once and is long {i}'}" for i in range(30_000)]
+    frame = spark.createDataFrame([(1, 0, "\n".join(lines)), (2, 0, "\n".join(f"{i} | {i % 3 or ''} | x" for i in range(30_000)))], "doc_id int, place int, answer string")
+    began = time.monotonic()
+    kept = S.drop_repeated_lines(frame, "answer").select("answer").first()[0]
+    assert kept.split("\n") == [x for x in lines if x != "again and again"]
+    joined = frame.select(X.fix_line_breaks(F.col("answer")).alias("t")).first().t
+    assert joined.count("\n") == 7_501  # a long line without an end goes on in the next one, a short one stops
+    table = Q.pipe_tables(frame).select("width", F.size("rows").alias("n"), "headers").collect()
+    assert [tuple(r) for r in table] == [(3, 19_999, ["1", "1", "x"])]
+    assert time.monotonic() - began < 60
