@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_company, slugify
 from ..session import written
 
-ASKED = 256  # new rows that meet a part at a time
+PRODUCT = 1 << 19  # numbers that a task multiplies out at a time, whatever the sizes of parts and the count of pivots
 PIVOTS = 1024
 SLACK = 1e-9  # what rounding may take from a bound
 
@@ -45,8 +45,9 @@ def _nearest(k: int):
                     continue
                 if other is None and held:
                     ids, other, held = *(np.concatenate(x) for x in zip(*held)), []
-                for at in range(0, len(rows) if other is not None else 0, ASKED):
-                    some = rows.iloc[at : at + ASKED]
+                step = max(1, PRODUCT // len(other)) if other is not None else 1
+                for at in range(0, len(rows) if other is not None else 0, step):
+                    some = rows.iloc[at : at + step]
                     vec = np.stack(some["vec"].to_list()).astype(float)
                     like = vec @ other.T
                     like[some["id"].to_numpy()[:, None] == ids] = -np.inf
@@ -76,10 +77,13 @@ def _dealt(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vec = np.stack(batch["vec"].to_list()).astype(float) if len(batch) else np.zeros((0, pivots.shape[1]))
-            angles = _angles(vec, pivots)
-            cell = angles.argmin(axis=1)
-            yield batch.assign(cell=cell.astype(np.int32), angle=angles[np.arange(len(vec)), cell], length=_lengths(vec))
+            step = max(1, PRODUCT // len(pivots))
+            for at in range(0, len(batch), step):
+                some = batch.iloc[at : at + step]
+                vec = np.stack(some["vec"].to_list()).astype(float)
+                angles = _angles(vec, pivots)
+                cell = angles.argmin(axis=1)
+                yield some.assign(cell=cell.astype(np.int32), angle=angles[np.arange(len(vec)), cell], length=_lengths(vec))
 
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, vec array<double>, cell int, angle double, length double")
 
@@ -94,8 +98,9 @@ def _routed(asked: DataFrame, pivots: np.ndarray, cells: pd.DataFrame) -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                some = batch.iloc[at : at + 4096]
+            step = max(1, PRODUCT // len(cells))
+            for at in range(0, len(batch), step):
+                some = batch.iloc[at : at + step]
                 vec = np.stack(some["vec"].to_list()).astype(float)
                 to_pivot = _angles(vec, pivots[number])
                 apart = np.maximum(0, np.maximum(to_pivot - high, low - to_pivot))

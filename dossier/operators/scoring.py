@@ -31,8 +31,15 @@ def asked(proposals: DataFrame, questions: DataFrame, answers: DataFrame) -> Dat
     if len(rows) > MOST_QUESTIONS:
         raise ValueError(f"more than {MOST_QUESTIONS} questions")
     listed = F.array(*[F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in questions.dtypes]) for r in rows])
-    wanted = proposals.select("proposal_id", F.inline(listed))
-    out = wanted.join(answers, ["proposal_id", *questions.columns], "left")
+    names = questions.columns
+    known = answers.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in names]))
+    columns = ["proposal_id", *names, *[c for c in answers.columns if c not in ("proposal_id", *names)]]
+    given = proposals.select("proposal_id").join(known, "proposal_id").join(F.broadcast(proposals.sparkSession.createDataFrame([tuple(r.values()) for r in rows], questions.schema)), names).select(*columns)
+    # questions without an answer: only the answered ones of a proposal move, not every question of every proposal
+    done = known.groupBy("proposal_id").agg(F.collect_set(F.struct(*[F.col(c).cast(t).alias(c) for c, t in questions.dtypes])).alias("_done"))
+    left = F.filter(listed, lambda q: ~F.coalesce(F.array_contains("_done", q), F.lit(False)))
+    missing = proposals.select("proposal_id").join(done, "proposal_id", "left").select("proposal_id", F.inline(left))
+    out = given.unionByName(missing, allowMissingColumns=True)
     return out.withColumn("evidenced", F.coalesce("evidenced", F.lit(False)))
 
 
