@@ -4,9 +4,11 @@ import datetime as dt
 import json
 import random
 import time
+import tracemalloc
 import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from dossier.config import RUBRIC, rubric_table
 from dossier.functions import text as X
@@ -322,3 +324,19 @@ def test_lines_are_cut_once_a_text(spark):
     table = Q.pipe_tables(frame).select("width", F.size("rows").alias("n"), "headers").collect()
     assert [tuple(r) for r in table] == [(3, 19_999, ["1", "1", "x"])]
     assert time.monotonic() - began < 60
+
+
+def test_vectors_meet_in_products_of_bounded_size():
+    """256 new rows met a part of any size at a time: one worker held hundreds of MB."""
+    rng = np.random.default_rng(5)
+    vec = rng.normal(size=(20_512, 16))
+    asks = np.arange(len(vec)) >= 20_000
+    rows = pd.DataFrame({"cell": 0, "part": 0, "deal": 0, "asks": asks, "id": np.arange(len(vec)), "vec": list(vec), "floor": -1e9})
+    tracemalloc.start()
+    got = [x for x in D._nearest(3)(iter([rows]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = pd.concat(got).groupby("id").matched.apply(set)
+    like = vec[asks] @ vec[~asks].T
+    assert [found[i] for i in np.flatnonzero(asks)] == [set(x) for x in np.argpartition(like, -3, axis=1)[:, -3:].tolist()]
+    assert peak < 40 << 20, peak
