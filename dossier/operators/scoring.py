@@ -114,9 +114,12 @@ def parameter_scores(answers: DataFrame, score: str = "score") -> DataFrame:
 
 
 def parameter_status(parameters: DataFrame, failed: DataFrame) -> DataFrame:
-    """failed, unevidenced or scored; a failed parameter has no score and is never unevidenced."""
-    marks = failed.select("proposal_id", "parameter", F.lit(True).alias("_failed")).distinct()
-    out = parameters.join(marks, ["proposal_id", "parameter"], "left")
+    """failed, unevidenced or scored; a failed parameter has no score and is never unevidenced.
+
+    A proposal's failed parameters (a handful) are met as one row, so that tables dealt by proposal stay where they are.
+    """
+    marks = failed.groupBy("proposal_id").agg(F.collect_set("parameter").alias("_failed"))
+    out = parameters.join(marks, "proposal_id", "left").withColumn("_failed", F.array_contains("_failed", F.col("parameter")))
     status = F.when(F.col("_failed"), "failed").when(F.col("score").isNull(), "unevidenced").otherwise("scored")
     return out.withColumn("status", status).withColumn("score", F.when(status != "failed", F.col("score"))).drop("_failed")
 

@@ -340,3 +340,23 @@ def test_vectors_meet_in_products_of_bounded_size():
     like = vec[asks] @ vec[~asks].T
     assert [found[i] for i in np.flatnonzero(asks)] == [set(x) for x in np.argpartition(like, -3, axis=1)[:, -3:].tolist()]
     assert peak < 40 << 20, peak
+
+
+def test_lines_of_scores_are_dealt_by_size(spark, small_dir, monkeypatch):
+    """A task of the score queries gets about so many lines, and nothing after that is dealt again by another key."""
+    from dossier import bindings
+    from dossier.plans import scoring
+
+    monkeypatch.setattr(bindings, "ROWS_A_TASK", 300, raising=False)
+    a = bindings.Archive(spark, small_dir)
+    total = a.table("lineitem").count()
+    tasks = [r["count"] for r in a.answers.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) >= total // 300 and max(tasks) < 600
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scoring.verdicts(a)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 2 and all("REPARTITION_BY_NUM" in x for x in dealt)  # answers and failed parameters, by order
