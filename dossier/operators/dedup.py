@@ -106,8 +106,11 @@ def _routed(asked: DataFrame, pivots: np.ndarray, cells: pd.DataFrame) -> DataFr
                 apart = np.maximum(0, np.maximum(to_pivot - high, low - to_pivot))
                 most = np.maximum(0, np.cos(apart)) * _lengths(vec)[:, None] * longest
                 reach = (most >= some["floor"].to_numpy(float)[:, None] - SLACK) & (number != some["home"].to_numpy()[:, None])
-                row, cell = np.nonzero(reach)
-                yield pd.DataFrame({"id": some["id"].to_numpy()[row], "vec": some["vec"].to_numpy()[row], "cell": number[cell].astype(np.int32), "floor": some["floor"].to_numpy(float)[row]})
+                rows, places = np.nonzero(reach)
+                few = max(1, PRODUCT // vec.shape[1])  # each row takes its vector along
+                for lo in range(0, len(rows), few):
+                    row, cell = rows[lo : lo + few], places[lo : lo + few]
+                    yield pd.DataFrame({"id": some["id"].to_numpy()[row], "vec": some["vec"].to_numpy()[row], "cell": number[cell].astype(np.int32), "floor": some["floor"].to_numpy(float)[row]})
 
     return asked.mapInPandas(run, f"id {asked.schema['id'].dataType.simpleString()}, vec array<double>, cell int, floor double")
 

@@ -360,3 +360,20 @@ def test_lines_of_scores_are_dealt_by_size(spark, small_dir, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
     dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert len(dealt) == 2 and all("REPARTITION_BY_NUM" in x for x in dealt)  # answers and failed parameters, by order
+
+
+def test_routed_vectors_leave_a_few_at_a_time():
+    """A vector that reaches all cells is repeated for each; a frame of them holds PRODUCT numbers at most, and none is lost."""
+    class Asked:
+        schema = {"id": type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda self: "bigint"})()})}
+        mapInPandas = staticmethod(lambda run, kind: run)
+
+    rng = np.random.default_rng(3)
+    vec, pivots = rng.normal(size=(600, 64)), np.eye(64)
+    cells = pd.DataFrame({"cell": range(64), "low": 0.0, "high": 3.2, "longest": 1.0})
+    asked = pd.DataFrame({"id": range(600), "vec": list(vec), "home": 5, "floor": 0.0})
+    frames = list(D._routed(Asked, pivots, cells)(iter([asked])))
+    assert max(len(f) for f in frames) <= D.PRODUCT // 64
+    got = pd.concat(frames)
+    assert sorted(zip(got["id"], got["cell"])) == [(i, c) for i in range(600) for c in range(64) if c != 5]
+    assert all((v == vec[i]).all() for i, v in zip(got["id"], got["vec"]))
