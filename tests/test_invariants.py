@@ -300,6 +300,54 @@ def test_given_files(spark, small_dir, tmp_path):
     assert {(r.name, r.size, r.sha256) for r in arrived} == given and {r.reason for r in arrived} == {"Unsupported format"}
 
 
+def test_large_files_are_hashed_in_pieces(spark, small_dir, tmp_path, monkeypatch):
+    """Files that the reader of whole files refuses (here above 4,000 bytes), in splits and pieces that end within lines."""
+    import hashlib
+    import random
+    from pathlib import Path
+
+    from dossier import registry
+
+    registry.load()
+    monkeypatch.setattr(files, "WHOLE", 3000)
+    monkeypatch.setattr(files, "PIECE", 5500)
+    monkeypatch.setattr(files, "CHUNK", 700)
+    held = random.Random(5).randbytes(20_000)
+    contents = {
+        "small": b"a\nb", "as many as one task reads": held[:3000], "one more": held[:3001], "random": held, "a % of lines.txt": held.replace(b"\n", b"") + b"\n", "no line end": b"x" * 9000,
+        "line ends": b"\n" * 9000, "carriage returns": b"a\r\n\rb\r" * 1500 + b"\r", "mark": b"\xef\xbb\xbf" + held[:9000] + b"\n", "mark without line end": b"\xef\xbb\xbf" + held[:9000] + b"x", "mark and line end": b"\xef\xbb\xbf\n" + held[:5000],
+        "two marks": b"\xef\xbb\xbf" * 2 + held[:7000] + b"\n", "part of a mark": b"\xef\xbb" + held[:7000], "packed.gz": held[:3900], "sub/packed.json.BZ2": held[:3500], "sub/random": held,
+    }
+    (tmp_path / "sub").mkdir()
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    settings = {"spark.sql.sources.binaryFile.maxLength": "4000", "spark.sql.files.maxPartitionBytes": "1900", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted((r.path.removeprefix(f"file:{tmp_path}/"), r.name, r.size, r.sha256) for r in files.identify_files(spark, str(tmp_path)).collect())
+        assert got == sorted((n, n.split("/")[-1], len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items())
+        monkeypatch.setattr(files, "PIECE", 250_000)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+        given = sorted((p.name, p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(small_dir).glob("*.parquet"))
+        assert sorted(map(tuple, registry.QUERIES["s1_read_files"](spark, small_dir).collect())) == given
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
+def test_hash_goes_on_from_its_state():
+    import hashlib
+
+    data = bytes(range(256)) * 5
+    for cut in (0, 1, 63, 64, 65, 1000):
+        one = files.Sha256()
+        one.update(data[:cut])
+        two = files.Sha256(one.state())
+        two.update(data[cut:])
+        assert one.hexdigest() == hashlib.sha256(data[:cut]).hexdigest() and two.hexdigest() == hashlib.sha256(data).hexdigest()
+
+
 def test_live_jobs_agree_with_the_fold(spark, small_dir):
     from dossier import registry
     from dossier.bindings import Archive
